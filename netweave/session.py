@@ -25,6 +25,7 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.streaming.metricsEnabled", "false")
     )
     for key, value in SESSION_CONF.items():
