@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,16 +64,16 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str,
             groups: dict[tuple, list[_Search]] = {}
             for s in few:
                 groups.setdefault((s.column, s.low, s.high), []).append(s)
-            asked = []
-            for members in groups.values():
-                ordered = F.sort_array(F.collect_list(members[0].bracket(values)))
-                asked.append(F.transform(
-                    F.array(*[F.lit(s.rank - s.below) for s in members]),
-                    lambda at, ordered=ordered: F.element_at(ordered, at),
-                ))
-            for members, found in zip(groups.values(), _ask(df, asked)):
-                for s, v in zip(members, found):
-                    s.value = v
+            held = [m[0].bracket(values) for m in groups.values()]
+            sorted_values = df.agg(
+                *[F.sort_array(F.collect_list(h)).alias(f"_{i}") for i, h in enumerate(held)]
+            )
+            found = sorted_values.select(*[
+                F.element_at(f"_{i}", s.rank - s.below)
+                for i, members in enumerate(groups.values()) for s in members
+            ]).first()
+            for s, v in zip((s for members in groups.values() for s in members), found):
+                s.value = v
         many = [s for s in todo if s.inside > limit]
         if many:
             asked = []
@@ -117,9 +118,10 @@ def value_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
     return dict(zip(values, _ask(df, [F.count(v) for v in values.values()])))
 
 
-def exact_medians(df: DataFrame, values: dict[str, Column], limit: int = SORT_LIMIT) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, values: dict[str, Column], limit: int = SORT_LIMIT,
+                  counts: dict[str, int] | None = None) -> dict[str, float | None]:
     """Median per name: the mean of the two middle values when their number is even."""
-    counts = value_counts(df, values)
+    counts = counts or value_counts(df, values)
     ranks = {c: [(n + 1) // 2, n // 2 + 1] for c, n in counts.items() if n}
     found = order_statistics(df, values, ranks, counts, limit)
     return {
@@ -128,7 +130,7 @@ def exact_medians(df: DataFrame, values: dict[str, Column], limit: int = SORT_LI
     }
 
 
-def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: list[float],
+def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: list[Fraction],
                     limit: int = SORT_LIMIT) -> dict[str, list[float]]:
     """The smallest values that at least the given shares of values do not exceed."""
     counts = value_counts(df, values)

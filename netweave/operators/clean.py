@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.constants import CLASSES
-from netweave.functions.quantiles import exact_medians
+from netweave.functions.quantiles import exact_medians, value_counts
 from netweave.functions.scalars import col_of, finite_or_zero, is_finite, is_infinite, is_missing
 from netweave.operators.profile import numeric_columns
 
@@ -84,9 +84,12 @@ def infinity_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def medians(df: DataFrame, columns: list[str] | None = None) -> dict[str, float | None]:
-    """Exact median of the values that are there."""
-    names = _doubles(df, columns)
-    return exact_medians(df, {c: F.when(~is_missing(col_of(c)), col_of(c)) for c in names})
+    """Exact median of the values that are there, for columns that lack some."""
+    values = {c: F.when(~is_missing(col_of(c)), col_of(c)) for c in _doubles(df, columns)}
+    counts = value_counts(df, {"": F.lit(1), **values})
+    total = counts.pop("")
+    lacking = {c: n for c, n in counts.items() if n < total}
+    return exact_medians(df, {c: values[c] for c in lacking}, counts=lacking) if lacking else {}
 
 
 def fill_missing(df: DataFrame, fills: dict[str, float | None]) -> DataFrame:

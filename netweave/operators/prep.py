@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.constants import (
-    CLASS_WEIGHTS, LABEL_IDS, SMOTE_NEIGHBOURS, SMOTE_ROW_GATE, TEST_SHARE, VALIDATION_SHARE,
+    CLASS_WEIGHTS, LABEL_IDS, TEST_SHARE, VALIDATION_SHARE,
 )
 from netweave.functions.quantiles import order_statistics, value_counts
 from netweave.functions.scalars import col_of

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 from pyspark.ml.stat import Correlation
@@ -78,7 +79,7 @@ def anova_f(df: DataFrame, features: list[str], label: str = "label") -> DataFra
 
 
 def quantile_cuts(df: DataFrame, features: list[str], bins: int = 20) -> dict[str, list[float]]:
-    shares = [i / bins for i in range(1, bins)]
+    shares = [Fraction(i, bins) for i in range(1, bins)]
     return exact_quantiles(df, {c: col_of(c) for c in features}, shares)
 
 

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from netweave.constants import (
     BOOSTING, CLASS_WEIGHTS, CLASSES, SPLIT_SEED, TUNING_FOLDS, TUNING_GRID,
 )
-from netweave.functions.scalars import col_of
 from netweave.operators.clean import scorable_rows
 from netweave.operators.prep import feature_vector, fit_scaler, with_weight
+from netweave.session import pinned
 
 
 def scaling_stage(features: list[str], scaler: dict[str, tuple[float, float]]) -> PipelineModel:
@@ -121,6 +121,8 @@ def train(df: DataFrame, features: list[str], kind: str = "forest", rounds: int
         "features", "weight", number.cast("double").alias("target"),
         (F.col(part) == "validation" if part else F.lit(False)).alias("held"),
     )
+    # Fitting reads its rows many times over; they are prepared once.
+    rows = pinned(rows, "fit-rows")
     if kind == "forest":
         model = RandomForestClassifier(
             featuresCol="features", labelCol="target", weightCol="weight", numTrees=rounds,
@@ -154,7 +156,7 @@ def forest_importance(df: DataFrame, features: list[str], trees: int = 100, dept
         "features", "weight", F.col("label_id").cast("double").alias("target")
     )
     model = RandomForestClassifier(featuresCol="features", labelCol="target", weightCol="weight",
-                                   numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+                                   numTrees=trees, maxDepth=depth, seed=seed).fit(pinned(rows, "fit-rows"))
     return _scores(df.sparkSession, features, model.featureImportances.toArray())
 
 
@@ -163,7 +165,8 @@ def boosted_importance(df: DataFrame, features: list[str], rounds: int = 100,
                        weights: dict[int, float] = CLASS_WEIGHTS) -> DataFrame:
     """Mean importances of one boosted model per class; works with classes absent."""
     rows = with_weight(feature_vector(df, features), weights).select("features", "weight", "label_id")
-    ids = _present(df)
+    rows = pinned(rows, "fit-rows")
+    ids = _present(rows)
     total = 0
     for i in ids:
         model = GBTClassifier(featuresCol="features", labelCol="target", weightCol="weight", maxIter=rounds,
@@ -188,6 +191,7 @@ def grid_search(df: DataFrame, features: list[str], key: str, grid: dict[str, li
     rows = with_fold(with_weight(feature_vector(df, features), weights), key, folds).select(
         "features", "weight", "fold", F.col("label_id").cast("double").alias("target")
     )
+    rows = pinned(rows, "fit-rows")
     columns = dict(featuresCol="features", labelCol="target", weightCol="weight")
     if kind == "forest":
         model = estimator = RandomForestClassifier(seed=seed, **columns)
@@ -209,7 +213,7 @@ def grid_search(df: DataFrame, features: list[str], key: str, grid: dict[str, li
                             foldCol="fold", parallelism=parallelism, seed=seed).fit(rows)
     best = max(fitted.avgMetrics)
     table = [
-        (json.dumps({n: m[names[n]] for n in used}), float(f1), f1 == best)
+        (json.dumps({n: m[names[n]] for n in used}), float(f1), bool(f1 == best))
         for m, f1 in zip(maps, fitted.avgMetrics)
     ]
     return df.sparkSession.createDataFrame(table, "parameters string, mean_f1 double, is_best boolean")

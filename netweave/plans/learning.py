@@ -1 +1,269 @@
-"""Queries."""
+"""Queries over labelled flows: feature scores, classifiers, evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netweave.constants import CLASSES, METHOD_WEIGHTS
+from netweave.operators import clean, evaluation, prep, selection, training
+from netweave.plans.cleaning import CLEAN, cleaned, split
+from netweave.plans.registry import query
+from netweave.session import pinned, work_path
+from netweave.sources import documents, views
+from netweave.sources.views import FLOW_KEYS, FLOW_NUMERIC, PREDICTIONS
+
+CLASS_ROWS = "(values " + ", ".join(f"('{c}')" for c in CLASSES) + ")"
+
+MATRIX = f"""
+matrix as (
+ select t.c truth, p.c predicted, coalesce(k.n, 0) n
+ from {CLASS_ROWS} t(c) cross join {CLASS_ROWS} p(c)
+ left join (select truth, predicted, count(*) n from ({PREDICTIONS}) r group by 1, 2) k
+  on k.truth = t.c and k.predicted = p.c),
+errors as (
+ select c class_name,
+  cast((select sum(n) from matrix where truth = c and predicted = c) as bigint) tp,
+  cast((select sum(n) from matrix where truth <> c and predicted = c) as bigint) fp,
+  cast((select sum(n) from matrix where truth = c and predicted <> c) as bigint) fn,
+  cast((select sum(n) from matrix where truth <> c and predicted <> c) as bigint) tn
+ from {CLASS_ROWS} v(c)),
+scores as (
+ select *, tp + fn support, tp / (tp + fp) "precision", tp / (tp + fn) recall,
+  2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) f1_score, fp / (fp + tn) fpr
+ from errors)"""
+
+REPORT = f"""
+{MATRIX},
+report as (
+ select class_name, "precision", recall, f1_score, support from scores
+ union all select 'accuracy', null, null, sum(tp) / sum(support), cast(sum(support) as bigint) from scores
+ union all select 'macro avg', avg("precision"), avg(recall), avg(f1_score), cast(sum(support) as bigint) from scores
+ union all select 'weighted avg', sum("precision" * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1_score * support) / sum(support), cast(sum(support) as bigint) from scores)"""
+
+
+def matrix(spark, folder):
+    return evaluation.confusion_matrix(views.predictions(spark, folder))
+
+
+@query("confusion_matrix", f"""
+with {MATRIX} select truth, predicted, n, round(n * 100.0::double / sum(n) over (partition by truth), 4) row_pct from matrix""")
+def confusion_matrix(spark, folder):
+    return matrix(spark, folder)
+
+
+@query("class_fpr", f"""
+with {MATRIX} select class_name, tp true_positives, fp false_positives, tn true_negatives, fn false_negatives,
+ round(fpr, 9) false_positive_rate from scores""")
+def class_fpr(spark, folder):
+    found = evaluation.class_errors(matrix(spark, folder))
+    return found.drop("support", "total").withColumn("false_positive_rate", F.round("false_positive_rate", 9))
+
+
+@query("classification_report", f"""
+with {REPORT} select class_name, round("precision", 9) "precision", round(recall, 9) recall,
+ round(f1_score, 9) f1_score, support from report""")
+def classification_report(spark, folder):
+    found = evaluation.classification_report(matrix(spark, folder))
+    return found.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1_score")})
+
+
+@query("quality_gate", f"""
+with {REPORT},
+gates as (
+ select 'accuracy' metric, f1_score v, 0.95::double gate_limit, f1_score >= 0.95 passed from report where class_name = 'accuracy'
+ union all select 'f1_score', f1_score, 0.90::double, f1_score >= 0.90 from report where class_name = 'weighted avg'
+ union all select 'false_positive_rate', max(fpr), 0.05::double, max(fpr) <= 0.05 from scores)
+select metric, round(v, 6) value, gate_limit, passed from gates""")
+def quality_gate(spark, folder):
+    return evaluation.quality_gates(matrix(spark, folder))
+
+
+@query("metrics_flatten", f"""
+with {REPORT}
+select class_name, metric, round(value, 9) value from (
+ select class_name, 'precision' metric, "precision" value from report
+ union all select class_name, 'recall', recall from report
+ union all select class_name, 'f1-score', f1_score from report
+ union all select class_name, 'support', cast(support as double) from report) x
+where value is not null""")
+def metrics_flatten(spark, folder):
+    """The metrics as a nested JSON document, written, read back and flattened."""
+    path = work_path(spark, "metrics")
+    documents.write_json(evaluation.metrics_document(matrix(spark, folder)), path)
+    found = evaluation.flatten_metrics(documents.read_metrics(spark, path))
+    return found.withColumn("value", F.round("value", 9))
+
+
+# --- feature scores ----------------------------------------------------------
+
+PAIRS = f"with cleaned as materialized (select * from {CLEAN} c), pairs as (" + "\nunion all\n".join(
+    f"select '{b}' feature1, '{a}' feature2, abs(corr({a}, {b})) correlation from cleaned"
+    for i, a in enumerate(FLOW_NUMERIC) for b in FLOW_NUMERIC[i + 1:]) + ")"
+
+ANOVA = "anova as (" + "\nunion all\n".join(f"""
+select '{c}' feature, (sum(n * (mean - grand) * (mean - grand)) / (count(*) - 1)) / (sum(n * spread) / (sum(n) - count(*))) f_score
+from (select count(*) n, avg({c}) mean, var_pop({c}) spread, sum(sum({c})) over () / sum(count(*)) over () grand
+ from cleaned group by label) g""" for c in FLOW_NUMERIC) + ")"
+
+BINS = 20
+MUTUAL = f"""
+long_form as ({' union all '.join(f"select label, '{c}' feature, cast({c} as double) x from cleaned" for c in FLOW_NUMERIC)}),
+cuts as (select feature, quantile_disc(x, [{', '.join(f'{i / BINS:.2f}' for i in range(1, BINS))}]) cut from long_form group by feature),
+binned as (
+ select feature, label, len(list_filter(list_distinct(cut), lambda c: x > c)) bin
+ from long_form join cuts using (feature)),
+cells as (select feature, bin, label, count(*) n from binned group by 1, 2, 3),
+shares as (
+ select *, sum(n) over (partition by feature) al, sum(n) over (partition by feature, bin) b,
+  sum(n) over (partition by feature, label) l from cells),
+mutual as (
+ select feature, sum(n / al * ln((n::double * al::double) / (b::double * l::double))) mi_score from shares group by feature)"""
+
+SCORES = f"""
+with cleaned as materialized (select * from {CLEAN} c),
+{ANOVA},
+{MUTUAL},
+scores as (select 'univariate' as "method", feature, f_score score from anova
+ union all select 'mutual_info', feature, mi_score from mutual),
+ranged as (
+ select *, min(score) over (partition by "method") lo, max(score) over (partition by "method") hi from scores),
+blended as (
+ select feature, sum(case when "method" = 'univariate' then (score - lo) / (hi - lo) * 0.15 end) u,
+  sum(case when "method" = 'mutual_info' then (score - lo) / (hi - lo) * 0.15 end) m
+ from ranged group by feature),
+ordered as (select *, row_number() over (order by u + m desc, feature) place from blended)"""
+
+METHODS = ["univariate", "mutual_info"]
+#: The forced features among those this table has, in their fixed order.
+FORCED = ["flow_duration", "flow_bytes_s", "flow_pkts_s"]
+CHOSEN = 5
+
+
+def scores(spark, folder):
+    rows = cleaned(spark, folder).select(*FLOW_NUMERIC, "label")
+    return selection.long_scores({
+        "univariate": selection.anova_f(rows, FLOW_NUMERIC),
+        "mutual_info": selection.mutual_information(rows, FLOW_NUMERIC, bins=BINS),
+    })
+
+
+@query("corr_pairs", f"""
+{PAIRS} select feature1, feature2, round(correlation, 6) correlation from pairs where correlation > 0.95""")
+def corr_pairs(spark, folder):
+    found = selection.correlated_pairs(cleaned(spark, folder), FLOW_NUMERIC)
+    return found.withColumn("correlation", F.round("correlation", 6))
+
+
+@query("redundant_features", f"{PAIRS} select distinct feature2 feature from pairs where correlation > 0.95")
+def redundant_features(spark, folder):
+    return selection.redundant_features(selection.correlated_pairs(cleaned(spark, folder), FLOW_NUMERIC))
+
+
+@query("anova_f", f"with cleaned as materialized (select * from {CLEAN} c), {ANOVA} select feature, round(f_score, 6) f_score from anova")
+def anova_f(spark, folder):
+    found = selection.anova_f(cleaned(spark, folder), FLOW_NUMERIC)
+    return found.withColumn("f_score", F.round("f_score", 6))
+
+
+@query("mutual_info", f"""
+with cleaned as materialized (select * from {CLEAN} c), {MUTUAL} select feature, round(mi_score, 9) mi_score from mutual""")
+def mutual_info(spark, folder):
+    rows = cleaned(spark, folder).select(*FLOW_NUMERIC, "label")
+    found = selection.mutual_information(rows, FLOW_NUMERIC, bins=BINS)
+    return found.withColumn("mi_score", F.round("mi_score", 9))
+
+
+@query("aggregate_scores", f"""
+{SCORES} select feature, round(u, 6) score_univariate, round(m, 6) score_mutual_info, round(u + m, 6) final_score from blended""")
+def aggregate_scores(spark, folder):
+    found = selection.blend_scores(scores(spark, folder), METHODS, METHOD_WEIGHTS)
+    return found.select("feature", *[F.round(c, 6).alias(c) for c in found.columns if c != "feature"])
+
+
+@query("select_top_features", f"""
+{SCORES},
+last as (
+ select feature, row_number() over (order by case feature when 'flow_pkts_s' then 3 when 'flow_bytes_s' then 2
+  when 'flow_duration' then 1 else 0 end desc, place) rn from ordered where place >= {CHOSEN})
+select feature, cast(place as int) "position" from ordered where place < {CHOSEN}
+union all select feature, {CHOSEN} from last where rn = 1""")
+def select_top_features(spark, folder):
+    blended = selection.blend_scores(scores(spark, folder), METHODS)
+    return selection.select_top(blended, CHOSEN, FORCED)
+
+
+@query("method_matrix", f"""
+{SCORES}
+select feature, round(max(case when "method" = 'univariate' then case when hi > 0 then score / hi else 0 end end), 6) univariate,
+ round(max(case when "method" = 'mutual_info' then case when hi > 0 then score / hi else 0 end end), 6) mutual_info
+from ranged where feature in (select feature from ordered where place <= {CHOSEN}) group by feature""")
+def method_matrix(spark, folder):
+    long = scores(spark, folder)
+    found = selection.method_matrix(long, selection.blend_scores(long, METHODS), METHODS, CHOSEN)
+    return found.select("feature", *[F.round(m, 6).alias(m) for m in METHODS])
+
+
+# --- classifiers -----------------------------------------------------------------
+
+#: Fewer trees than a full training takes, so that a check run ends soon.
+TREES, ROUNDS, DEPTH = 20, 5, 5
+
+
+def learnable(spark, folder):
+    return prep.encode_labels(clean.clean(views.learnable_flows(spark, folder)))
+
+
+@query("rf_importance")
+def rf_importance(spark, folder):
+    found = training.forest_importance(learnable(spark, folder), FLOW_NUMERIC, trees=TREES)
+    return found.withColumn("importance", F.round("importance", 6))
+
+
+@query("gbt_importance")
+def gbt_importance(spark, folder):
+    found = training.boosted_importance(learnable(spark, folder), FLOW_NUMERIC, rounds=ROUNDS, depth=DEPTH)
+    return found.withColumn("importance", F.round("importance", 6))
+
+
+def trained(spark, folder, kind="forest"):
+    rows = pinned(split(learnable(spark, folder)), "split-flows")
+    rounds = TREES if kind == "forest" else ROUNDS
+    return rows, training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, depth=DEPTH, subsample=1.0)
+
+
+def tested(rows, model):
+    scored = model.score(rows.where(F.col("part") == "test"))
+    return evaluation.confusion_matrix(scored, "label", "attack_type")
+
+
+@query("train_classifier")
+def train_classifier(spark, folder):
+    """A forest on the training part; its report on the test part."""
+    found = evaluation.classification_report(tested(*trained(spark, folder)))
+    return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1_score")})
+
+
+@query("train_boosted")
+def train_boosted(spark, folder):
+    """One boosted model per class, stopped early on the validation part."""
+    found = evaluation.classification_report(tested(*trained(spark, folder, "boosted")))
+    return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1_score")})
+
+
+@query("score_flows")
+def score_flows(spark, folder):
+    """All flows scored by a classifier that was saved and loaded again."""
+    rows, model = trained(spark, folder)
+    path = work_path(spark, "classifier")
+    model.save(spark, path)
+    found = training.Classifier.load(spark, path).score_valid(rows)
+    return found.select(*FLOW_KEYS, "attack_type", F.round("confidence", 6).alias("confidence"))
+
+
+@query("grid_search")
+def grid_search(spark, folder):
+    found = training.grid_search(
+        learnable(spark, folder), FLOW_NUMERIC, "shuffle_key",
+        grid={"n_estimators": [5, 10], "max_depth": [3, 5]}, kind="forest")
+    return found.withColumn("mean_f1", F.round("mean_f1", 6))

@@ -113,6 +113,23 @@ FLOW_KEYS = ["flow_no", "line_no", "src_no", "dst_no"]
 FLOW_NUMERIC = ["dst_port", "flow_bytes_s", "flow_pkts_s", "fwd_pkts", "fwd_bytes",
                 "fwd_header_len", "avg_fwd_size", "flow_duration"]
 
+#: The names these columns have in flow files.
+FLOW_NAMES = {
+    "dst_port": " Destination Port", "flow_bytes_s": "Flow Bytes/s", "flow_pkts_s": " Flow Packets/s",
+    "fwd_pkts": " Total Fwd Packets", "fwd_bytes": "Total Length of Fwd Packets",
+    "fwd_header_len": " Fwd Header Length", "avg_fwd_size": " Avg Fwd Segment Size",
+    "flow_duration": " Flow Duration", "label": " Label",
+}
+
+#: The same flows with labels that follow from the features, but for some rows.
+LEARNABLE = f"""
+select flow_no, line_no, src_no, dst_no, shuffle_key, dst_port, flow_bytes_s, flow_pkts_s, fwd_pkts,
+ fwd_bytes, fwd_header_len, avg_fwd_size, flow_duration,
+ case when shuffle_key%200=0 then label when fwd_bytes>60000 then 'DDoS' when fwd_pkts<8 then 'PortScan'
+  when avg_fwd_size>2500 then 'DoS Hulk' else 'BENIGN' end label
+from ({RAW_FLOWS}) r
+"""
+
 #: Truth and a prediction that is wrong for known rows.
 PREDICTIONS = f"""
 select flow_no, line_no, src_no, dst_no, label truth,
@@ -171,3 +188,7 @@ def raw_flows(spark, folder):
 
 def predictions(spark, folder):
     return _run(spark, folder, "lineitem", PREDICTIONS)
+
+
+def learnable_flows(spark, folder):
+    return _run(spark, folder, "lineitem", LEARNABLE)
