@@ -1 +1,83 @@
-"""Queries."""
+"""Streaming queries: the tables replayed as files, one micro-batch each."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netweave.operators import flows
+from netweave.plans import flowing
+from netweave.plans.detection import COLUMNS, KEPT, LEVELS, WINDOW, passed_rows
+from netweave.plans.flowing import GAP
+from netweave.plans.registry import query
+from netweave.session import pinned, work_path
+from netweave.sources import views
+from netweave.sources.views import ALERTS
+from netweave.streaming import jobs
+from netweave.streaming.carry import replay, replay_files
+
+DAY_US = 86_400_000_000
+STREAM_COLUMNS = [c for c in flows.SUMMARY if c != "segment"]
+
+
+def _replayed(spark, df, purpose, parts=4, shuffled=False):
+    path = work_path(spark, purpose)
+    schema = replay_files(df, "ts_us", f"{path}/in", parts, shuffled)
+    return replay(spark, f"{path}/in", schema), f"{path}/job"
+
+
+@query("stream_flows", flowing.FLOWS + f"""
+select {', '.join(STREAM_COLUMNS)}, cast(psh as double) psh_flag_count,
+ round(coalesce(gap_std, 0.0), 0) flow_iat_std from named""")
+def stream_flows(spark, folder):
+    """Flows of a stream whose files mix two weeks each, flushed at the end."""
+    stream, path = _replayed(spark, views.packets(spark, folder), "stream-flows", shuffled=True)
+    job = jobs.stream_flows(spark, stream, path, delay_us=16 * DAY_US, timeout_us=GAP)
+    found = flows.snake_features(flows.with_features(jobs.finished_flows(job.output())))
+    return found.select(*STREAM_COLUMNS, "psh_flag_count", F.round("flow_iat_std", 0).alias("flow_iat_std"))
+
+
+@query("stream_dedup", f"with {KEPT} select {', '.join(COLUMNS)} from kept")
+def stream_dedup(spark, folder):
+    stream, path = _replayed(spark, passed_rows(spark, folder).select(*COLUMNS), "stream-dedup")
+    job = jobs.stream_dedup(spark, stream, path, delay_us=DAY_US, window_us=WINDOW, levels=LEVELS)
+    return job.output().select(*COLUMNS)
+
+
+@query("stream_counters", f"""
+select cast(count(*) as bigint) input_rows, cast(0 as bigint) late_rows from {flowing.PACKETS.join(['(', ') p'])}""")
+def stream_counters(spark, folder):
+    """Rows in and rows too late over all micro-batches."""
+    stream, path = _replayed(spark, views.packets(spark, folder), "stream-counters", parts=3)
+    job = jobs.stream_flows(spark, stream, path, delay_us=DAY_US, timeout_us=GAP)
+    return job.notes().agg(F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"))
+
+
+@query("stream_timeline", f"""
+with days as (
+ select cast(floor(ts_us / {DAY_US}.0) * {DAY_US} as bigint) start_us, count(*) total,
+  count(*) filter (attack_type = 'DoS Hulk') dos_hulk, count(*) filter (attack_type = 'PortScan') portscan,
+  count(*) filter (attack_type = 'DDoS') ddos, count(*) filter (severity = 'critical') critical,
+  count(*) filter (severity = 'low') low from ({ALERTS}) a group by 1)
+select days.* from days where start_us + {DAY_US} <= (select max(ts_us) - {DAY_US} from ({ALERTS}) a)""")
+def stream_timeline(spark, folder):
+    """Daily counts; days the watermark of one day has not passed are still open."""
+    columns = ["id", "ts_us", "attack_type", "severity"]
+    stream, path = _replayed(spark, views.alerts(spark, folder).select(*columns), "stream-timeline")
+    return jobs.stream_timeline(spark, stream, path, "1 day", "1 day")
+
+
+@query("stream_detect")
+def stream_detect(spark, folder):
+    """Packets to alerts, with a forest that has learned the sender's kind of traffic."""
+    from netweave.operators import training
+
+    known = flows.with_features(flowing.flow_rows(spark, folder))
+    labelled = known.withColumn("label_id", F.when(F.col("protocol") == "UDP", 1).when(
+        F.col("dst_port") == 443, 2).when(F.col("` Flow Duration`") > 0, 3).otherwise(0))
+    labelled = pinned(labelled, "labelled-flows")
+    model = training.train(labelled, list(flows.MODEL_FEATURES), rounds=10, depth=5, subsample=1.0, part=None)
+    stream, path = _replayed(spark, views.packets(spark, folder), "stream-detect")
+    found = jobs.stream_detect(
+        spark, stream, path, DAY_US, model, lambda: views.allow_list(spark, folder), GAP, 0.5, WINDOW)
+    return found.select("ts_us", "source_ip", "dest_ip", "attack_type", "severity",
+                        F.round("confidence", 6).alias("confidence"))
