@@ -1,51 +1,132 @@
 """Exact order statistics of any number of rows.
 
 The built-in exact median keeps every distinct value of a group in one place. Here
-a mergeable sketch of fixed size narrows down where the wanted ranks lie, counting
-passes make that exact, and only when few values are left are they sorted. Each
-pass is one aggregate over all wanted columns at once, and the driver sees nothing
-but a handful of numbers.
+a mergeable sketch of fixed size proposes cut points, a counting pass finds between
+which of them each wanted rank lies, and so on until few enough values are left to
+be sorted. The counts are exact, so the result is, whatever the sketch's error. A
+pass serves all columns and ranks at once, and the driver sees cut points and counts
+only.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from bisect import bisect_left
+from dataclasses import dataclass, field
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many values of one column are sorted in one place.
+#: At most this many values are sorted in one place.
 SORT_LIMIT = 200_000
-#: Rank error of the sketch is one part in this many.
-ACCURACY = 10_000
+#: Cut points per round, and the rank error of the sketch that proposes them.
+CUTS = 64
+ACCURACY = 2_000
 
 
 @dataclass
-class _Search:
-    """Looking for the value of one rank among ``inside`` values in (low, high)."""
-
-    column: str
-    rank: int
-    inside: int
-    below: int = 0
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-
-    def bracket(self, values: dict[str, Column]) -> Column:
-        v = values[self.column]
-        held = F.lit(True)
-        if self.low is not None:
-            held = held & (v > F.lit(self.low))
-        if self.high is not None:
-            held = held & (v < F.lit(self.high))
-        return F.when(held, v)
-
-
-def _ask(df: DataFrame, asked: list[Column]) -> list:
-    return list(df.agg(*[c.alias(f"_{i}") for i, c in enumerate(asked)]).first())
+class _Bracket:
+    """The values of a column strictly between two bounds, and the ranks among them."""
+
+    column: int
+    low: float | None
+    high: float | None
+    below: int
+    size: int
+    ranks: list[int] = field(default_factory=list)
+
+
+def _position(value: Column, bounds: list[float]) -> Column:
+    """2i between the i-th bound and the one before it, 2i+1 on the i-th (from 0)."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*[F.lit(float(b)) for b in bounds])
+    less = F.size(F.filter(listed, lambda b: b < value))
+    return less * 2 + F.coalesce(F.get(listed, less) == value, F.lit(False)).cast("int")
+
+
+def _place(bracket: _Bracket, bounds: list[float]) -> int:
+    """The position of a bracket's values among its column's bounds."""
+    return 0 if bracket.low is None else 2 * (bisect_left(bounds, bracket.low) + 1)
+
+
+def _long(df: DataFrame, values: list[Column], bounds: list[list[float]],
+          wanted: list[list[int]] | None = None) -> DataFrame:
+    """One row per value: column number, position, value."""
+    used = [i for i in range(len(values)) if wanted is None or wanted[i]]
+    rows = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), _position(values[i], bounds[i]).alias("p"), values[i].alias("v"))
+        for i in used
+    ]))).where(F.col("v").isNotNull())
+    if wanted is not None:
+        held = F.lit(False)
+        for i in used:
+            held = held | ((F.col("c") == i) & F.col("p").isin(wanted[i]))
+        rows = rows.where(held)
+    return rows
+
+
+def _grouped(brackets: list[_Bracket], columns: int):
+    """Per column the bounds of its brackets and the brackets by position."""
+    bounds = [
+        sorted({b for s in brackets if s.column == i for b in (s.low, s.high) if b is not None})
+        for i in range(columns)
+    ]
+    at = {(s.column, _place(s, bounds[s.column])): s for s in brackets}
+    wanted = [[p for c, p in at if c == i] for i in range(columns)]
+    return bounds, at, wanted
+
+
+def _sorted_lookup(df: DataFrame, values: list[Column], brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """Ranks within small brackets, each sorted in its own group."""
+    bounds, at, wanted = _grouped(brackets, len(values))
+    asked = [(c, p, r, r - s.below) for (c, p), s in at.items() for r in s.ranks]
+    targets = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.lit(p).alias("p"), F.lit(r).cast("long").alias("r"), F.lit(n).alias("n"))
+        for c, p, r, n in asked
+    ])))
+    groups = _long(df, values, bounds, wanted).groupBy("c", "p").agg(
+        F.sort_array(F.collect_list("v")).alias("vs")
+    )
+    found = groups.join(F.broadcast(targets), ["c", "p"]).select("c", "r", F.element_at("vs", F.col("n")))
+    return {(c, r): v for c, r, v in found.collect()}
+
+
+def _narrowed(df: DataFrame, values: list[Column], brackets: list[_Bracket], done: dict) -> list[_Bracket]:
+    """Cut every bracket at its quantiles, count, and keep the parts that hold a rank."""
+    bounds, at, wanted = _grouped(brackets, len(values))
+    shares = [i / CUTS for i in range(CUTS + 1)]
+    sketched = _long(df, values, bounds, wanted).groupBy("c", "p").agg(
+        F.percentile_approx("v", shares, ACCURACY).alias("cuts")
+    ).collect()
+    fine = [set(b) for b in bounds]
+    for c, _, cuts in sketched:
+        fine[c].update(cuts)
+    fine = [sorted(b) for b in fine]
+    counts: dict[int, dict[int, int]] = {}
+    everywhere = [list(range(2 * len(b) + 1)) if w else [] for b, w in zip(fine, wanted)]
+    for c, p, n in _long(df, values, fine, everywhere).groupBy("c", "p").count().collect():
+        counts.setdefault(c, {})[p] = n
+    left = []
+    for (c, _), s in at.items():
+        edges = fine[c]
+        start = 0 if s.low is None else bisect_left(edges, s.low) + 1
+        stop = len(edges) if s.high is None else bisect_left(edges, s.high)
+        below = s.below
+        ranks = sorted(s.ranks)
+        for i in range(start, stop + 1):
+            between = counts.get(c, {}).get(2 * i, 0)
+            inside = [r for r in ranks if below < r <= below + between]
+            if inside:
+                left.append(_Bracket(c, edges[i - 1] if i else None, edges[i] if i < len(edges) else None,
+                                     below, between, inside))
+            below += between
+            if i < stop:
+                equal = counts.get(c, {}).get(2 * i + 1, 0)
+                done.update({(c, r): edges[i] for r in ranks if below < r <= below + equal})
+                below += equal
+    return left
 
 
 def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]],
@@ -55,67 +136,23 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str,
     ``values`` gives the numeric expression per name, null where it does not count;
     ``counts`` its number of non-null values.
     """
-    values = {name: v.cast("double") for name, v in values.items()}
-    todo = [_Search(c, r, counts[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
-    done: dict[tuple[str, int], float] = {}
-    while todo:
-        few = [s for s in todo if s.inside <= limit]
+    names = list(ranks)
+    columns = [values[n].cast("double") for n in names]
+    brackets = [_Bracket(i, None, None, 0, counts[n], sorted(set(ranks[n]))) for i, n in enumerate(names)]
+    done: dict[tuple[int, int], float] = {}
+    while brackets:
+        few = [s for s in brackets if s.size <= limit]
+        many = [s for s in brackets if s.size > limit]
         if few:
-            groups: dict[tuple, list[_Search]] = {}
-            for s in few:
-                groups.setdefault((s.column, s.low, s.high), []).append(s)
-            held = [m[0].bracket(values) for m in groups.values()]
-            sorted_values = df.agg(
-                *[F.sort_array(F.collect_list(h)).alias(f"_{i}") for i, h in enumerate(held)]
-            )
-            found = sorted_values.select(*[
-                F.element_at(f"_{i}", s.rank - s.below)
-                for i, members in enumerate(groups.values()) for s in members
-            ]).first()
-            for s, v in zip((s for members in groups.values() for s in members), found):
-                s.value = v
-        many = [s for s in todo if s.inside > limit]
-        if many:
-            asked = []
-            for s in many:
-                at, slack = (s.rank - s.below) / s.inside, 2 / ACCURACY
-                asked.append(F.percentile_approx(
-                    s.bracket(values), [max(0.0, at - slack), min(1.0, at + slack)], ACCURACY
-                ))
-            edges = _ask(df, asked)
-            asked = []
-            for s, (low, high) in zip(many, edges):
-                held = s.bracket(values)
-                asked += [F.count_if(held < low), F.count_if(held == low),
-                          F.count_if((held > low) & (held < high)), F.count_if(held == high)]
-            numbers = _ask(df, asked)
-            for i, (s, (low, high)) in enumerate(zip(many, edges)):
-                less, at_low, between, at_high = numbers[4 * i: 4 * i + 4]
-                if low == high:
-                    at_high = 0
-                steps = [
-                    (less, s.low, low, None),
-                    (at_low, None, None, low),
-                    (between, low, high, None),
-                    (at_high, None, None, high),
-                    (s.inside - less - at_low - between - at_high, high, s.high, None),
-                ]
-                passed = s.below
-                for size, new_low, new_high, exact in steps:
-                    if s.rank <= passed + size:
-                        if exact is not None:
-                            s.value = exact
-                        else:
-                            s.below, s.inside, s.low, s.high = passed, size, new_low, new_high
-                        break
-                    passed += size
-        done.update({(s.column, s.rank): s.value for s in todo if s.value is not None})
-        todo = [s for s in todo if s.value is None]
-    return done
+            done.update(_sorted_lookup(df, columns, few))
+        brackets = _narrowed(df, columns, many, done) if many else []
+    return {(names[c], r): v for (c, r), v in done.items()}
 
 
 def value_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
-    return dict(zip(values, _ask(df, [F.count(v) for v in values.values()])))
+    """Non-null values per name, in one pass."""
+    found = df.agg(*[F.count(v).alias(f"_{i}") for i, v in enumerate(values.values())]).first()
+    return dict(zip(values, found))
 
 
 def exact_medians(df: DataFrame, values: dict[str, Column], limit: int = SORT_LIMIT,

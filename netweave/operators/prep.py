@@ -109,22 +109,21 @@ def split_thresholds(df: DataFrame, label: str, key: str, ties: list[str],
     test_size = F.ceil(F.col("_all") * F.lit(test)).cast("long")
     rest = F.col("_all") - test_size
     val_size = F.ceil(rest * F.lit(validation / (1 - test))).cast("long")
-    borders = []
-    for name, size in (("test", test_size), ("val", test_size + val_size)):
-        border = counted.withColumn("_size", size).where(
-            (F.col("_upto") >= F.col("_size")) & (F.col("_upto") - F.col("_n") < F.col("_size"))
-        )
-        # One row per class.
-        border = border.select("_label", "_key", (F.col("_size") - (F.col("_upto") - F.col("_n"))).alias("_at"))
-        near = df.select(col_of(label).alias("_label"), F.col(key).alias("_key"), *ties).join(
-            F.broadcast(border), ["_label", "_key"]
-        )
-        nth = F.row_number().over(Window.partitionBy("_label", "_key").orderBy(*ties))
-        borders.append(
-            near.withColumn("_nth", nth).where(F.col("_nth") == F.col("_at"))
-            .select("_label", F.struct(F.col("_key"), *ties).alias(f"_{name}_end"))
-        )
-    return borders[0].join(borders[1], "_label")
+    sized = counted.withColumn("_cut", F.explode(F.array(
+        F.struct(F.lit("test").alias("name"), test_size.alias("size")),
+        F.struct(F.lit("val").alias("name"), (test_size + val_size).alias("size")),
+    )))
+    before = F.col("_upto") - F.col("_n")
+    # Two rows per class.
+    borders = sized.where((F.col("_upto") >= F.col("_cut.size")) & (before < F.col("_cut.size"))).select(
+        "_label", "_key", (F.col("_cut.size") - before).alias("_at"), F.col("_cut.name").alias("_name"))
+    near = df.select(col_of(label).alias("_label"), F.col(key).alias("_key"), *ties).join(
+        F.broadcast(borders), ["_label", "_key"])
+    nth = F.row_number().over(Window.partitionBy("_label", "_name").orderBy(*ties))
+    row = F.struct(F.col("_key"), *ties)
+    return near.withColumn("_nth", nth).where(F.col("_nth") == F.col("_at")).groupBy("_label").agg(*[
+        F.max(F.when(F.col("_name") == name, row)).alias(f"_{name}_end") for name in ("test", "val")
+    ])
 
 
 def stratified_split(df: DataFrame, label: str, key: str, ties: list[str],

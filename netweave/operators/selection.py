@@ -5,38 +5,38 @@ from __future__ import annotations
 from fractions import Fraction
 from itertools import combinations
 
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.constants import (
     COMPARED_COUNT, CORRELATION_LIMIT, CRITICAL_FEATURES, METHOD_WEIGHTS, SELECTED_COUNT,
 )
 from netweave.functions.quantiles import exact_quantiles
-from netweave.functions.scalars import col_of, ratio
-from netweave.operators.prep import feature_vector
-
-#: Up to this many features, pair sums fit in one generated aggregate.
-PAIRWISE_LIMIT = 16
+from netweave.functions.scalars import col_of
 
 
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson correlation of every pair, in one pass.
+    """Pearson correlation of every pair of complete columns.
 
-    ``feature2`` comes before ``feature1`` in the list of features.
+    One pass finds the means, one sums the products of what is left after taking
+    the means off. ``feature2`` comes before ``feature1`` in the list of features.
     """
+    means = df.agg(*[F.avg(col_of(c)).alias(f"_{i}") for i, c in enumerate(features)]).first()
+    off = df.select(*[
+        (col_of(c).cast("double") - F.lit(m)).alias(f"_{i}") for i, (c, m) in enumerate(zip(features, means))
+    ])
     pairs = list(combinations(range(len(features)), 2))
-    if len(features) <= PAIRWISE_LIMIT:
-        return df.agg(F.array(*[
-            F.struct(
-                F.lit(features[j]).alias("feature1"), F.lit(features[i]).alias("feature2"),
-                F.corr(col_of(features[i]).cast("double"), col_of(features[j]).cast("double")).alias("correlation"),
-            )
-            for i, j in pairs
-        ]).alias("_rows")).select(F.inline("_rows"))
-    matrix = Correlation.corr(feature_vector(df, features, "_v").select("_v"), "_v").first()[0].toArray()
-    rows = [(features[j], features[i], float(matrix[i, j])) for i, j in pairs]
-    return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, correlation double")
+    sums = off.agg(*[
+        F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"_{i}_{j}")
+        for i, j in [*((i, i) for i in range(len(features))), *pairs]
+    ])
+    return sums.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(features[j]).alias("feature1"), F.lit(features[i]).alias("feature2"),
+            F.try_divide(F.col(f"_{i}_{j}"), F.sqrt(F.col(f"_{i}_{i}")) * F.sqrt(F.col(f"_{j}_{j}"))).alias("correlation"),
+        )
+        for i, j in pairs
+    ])))
 
 
 def correlated_pairs(df: DataFrame, features: list[str], limit: float = CORRELATION_LIMIT) -> DataFrame:
@@ -83,6 +83,11 @@ def quantile_cuts(df: DataFrame, features: list[str], bins: int = 20) -> dict[st
     return exact_quantiles(df, {c: col_of(c) for c in features}, shares)
 
 
+def _cuts_below(value: Column, cuts: list[float]) -> Column:
+    listed = F.array(*[F.lit(float(cut)) for cut in sorted(set(cuts))])
+    return F.size(F.filter(listed, lambda cut: cut < value))
+
+
 def mutual_information(df: DataFrame, features: list[str], label: str = "label", bins: int = 20,
                        cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """Mutual information with the class, over bins of about equal size, in nats.
@@ -95,7 +100,7 @@ def mutual_information(df: DataFrame, features: list[str], label: str = "label",
         F.inline(F.array(*[
             F.struct(
                 F.lit(c).alias("feature"),
-                sum(((col_of(c) > F.lit(cut)).cast("int") for cut in sorted(set(cuts[c]))), F.lit(0)).alias("bin"),
+                _cuts_below(col_of(c), cuts[c]).alias("bin"),
             )
             for c in features
         ])),

@@ -8,7 +8,7 @@ from netweave.constants import ATTACK_CLASSES, CLASS_WEIGHTS, NAME_GROUPS
 from netweave.functions.scalars import col_of, duration_text
 from netweave.operators import balance, clean, prep, profile
 from netweave.plans.registry import query
-from netweave.session import work_path
+from netweave.session import pinned, work_path
 from netweave.sources import csv_flows, views
 from netweave.sources.views import FLOW_KEYS, FLOW_NAMES, FLOW_NUMERIC, RAW_FLOWS
 
@@ -193,7 +193,7 @@ fit as (select {', '.join(f'avg({c}) m_{c}, stddev_pop({c}) s_{c}' for c in FLOW
 select {KEYS}, part, {', '.join(f'round(({c} - m_{c}) / (case when s_{c} = 0 then 1 else s_{c} end), 4) {c}' for c in FLOW_NUMERIC)}
 from parts, fit""")
 def standard_scale(spark, folder):
-    parts = split(cleaned(spark, folder))
+    parts = pinned(split(cleaned(spark, folder)), "split-flows")
     scaler = prep.fit_scaler(parts.where(F.col("part") == "train"), FLOW_NUMERIC)
     found = prep.scale(parts, scaler)
     return found.select(*FLOW_KEYS, "part", *[F.round(c, 4).alias(c) for c in FLOW_NUMERIC])
@@ -227,7 +227,7 @@ def duration_texts(spark, folder):
 @query("smote")
 def smote(spark, folder):
     """Rows per class of the training part before and after balancing."""
-    train = split(cleaned(spark, folder)).where(F.col("part") == "train")
+    train = pinned(split(cleaned(spark, folder)).where(F.col("part") == "train"), "train-flows")
     filled = balance.smote(prep.encode_labels(train), FLOW_NUMERIC, FLOW_KEYS)
     return filled.groupBy("label_id").agg(
         F.count_if(~F.col("is_synthetic")).alias("given_rows"), F.count(F.lit(1)).alias("all_rows"),

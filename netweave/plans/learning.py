@@ -141,7 +141,7 @@ CHOSEN = 5
 
 
 def scores(spark, folder):
-    rows = cleaned(spark, folder).select(*FLOW_NUMERIC, "label")
+    rows = pinned(cleaned(spark, folder).select(*FLOW_NUMERIC, "label"), "clean-flows")
     return selection.long_scores({
         "univariate": selection.anova_f(rows, FLOW_NUMERIC),
         "mutual_info": selection.mutual_information(rows, FLOW_NUMERIC, bins=BINS),
@@ -169,7 +169,7 @@ def anova_f(spark, folder):
 @query("mutual_info", f"""
 with cleaned as materialized (select * from {CLEAN} c), {MUTUAL} select feature, round(mi_score, 9) mi_score from mutual""")
 def mutual_info(spark, folder):
-    rows = cleaned(spark, folder).select(*FLOW_NUMERIC, "label")
+    rows = pinned(cleaned(spark, folder).select(*FLOW_NUMERIC, "label"), "clean-flows")
     found = selection.mutual_information(rows, FLOW_NUMERIC, bins=BINS)
     return found.withColumn("mi_score", F.round("mi_score", 9))
 

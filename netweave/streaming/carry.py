@@ -18,7 +18,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,7 @@ class CarryStream:
     delay_us: int
     step: Step
     after: Callable[[DataFrame, int], None] | None = None
+    _note: Row | None = None
 
     def _place(self, kind: str, batch: int) -> str:
         return f"{self.path}/{kind}/batch={batch}"
@@ -52,22 +53,20 @@ class CarryStream:
         """One row per finished batch: rows in, rows too late, watermark."""
         return self.spark.read.schema(NOTE).json(f"{self.path}/notes/batch=*")
 
-    def _last(self, before: int | None = None):
-        """The note of the newest finished batch; some dozens of bytes."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/notes")
-        if not root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-            return None
-        notes = self.notes()
-        if before is not None:
-            notes = notes.where(F.col("batch") < before)
-        return notes.orderBy(F.desc("batch")).first()
+    def _last(self):
+        """The note of the newest finished batch, kept after it was first read."""
+        if self._note is None:
+            jvm = self.spark.sparkContext._jvm
+            root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/notes")
+            if root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+                self._note = self.notes().orderBy(F.desc("batch")).first()
+        return self._note
 
     def _read(self, kind: str, batch: int, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self._place(kind, batch))
 
     def _run(self, batch: int, rows: DataFrame | None, schema: T.StructType, flush: bool) -> None:
-        last = self._last(before=batch)
+        last = self._last()
         mark = last["watermark_us"] if last else None
         moment = F.col(self.time)
         total, newest, late = 0, None, 0
@@ -97,9 +96,11 @@ class CarryStream:
         rows.where(~passed).write.mode("overwrite").parquet(self._place("held", batch))
         if self.after:
             self.after(self._read("result", batch, shape).where(~F.col("_open")).drop("_open"), batch)
-        note = self.spark.createDataFrame(
-            [(batch, last["batch"] if last else None, new_mark, total, late, shape.json())], NOTE)
-        note.coalesce(1).write.mode("overwrite").json(self._place("notes", batch))
+        note = (batch, last["batch"] if last else None, new_mark, total, late, shape.json())
+        written = self.spark.range(1).select(
+            *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(note, NOTE)])
+        written.coalesce(1).write.mode("overwrite").json(self._place("notes", batch))
+        self._note = Row(*NOTE.names)(*note)
 
     def output(self) -> DataFrame:
         """Finished rows of all batches."""
