@@ -15,14 +15,14 @@ from bisect import bisect_left
 from dataclasses import dataclass, field
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: At most this many values are sorted in one place.
 SORT_LIMIT = 200_000
 #: Cut points per round, and the rank error of the sketch that proposes them.
-CUTS = 64
-ACCURACY = 2_000
+CUTS = 256
+ACCURACY = 4_000
 
 
 @dataclass
@@ -37,13 +37,26 @@ class _Bracket:
     ranks: list[int] = field(default_factory=list)
 
 
-def _position(value: Column, bounds: list[float]) -> Column:
-    """2i between the i-th bound and the one before it, 2i+1 on the i-th (from 0)."""
-    if not bounds:
-        return F.lit(0)
-    listed = F.array(*[F.lit(float(b)) for b in bounds])
-    less = F.size(F.filter(listed, lambda b: b < value))
-    return less * 2 + F.coalesce(F.get(listed, less) == value, F.lit(False)).cast("int")
+def _number(value: float) -> str:
+    if math.isinf(value):
+        return f"double('{'-' if value < 0 else ''}Infinity')"
+    return f"{float(value)!r}D"
+
+
+def with_bounds_below(rows: DataFrame, bounds: list[list[float]], to: str) -> DataFrame:
+    """Add how many of its column's sorted bounds lie below each value, by halving.
+
+    Rows hold the column's number ``c`` and the value ``v``. The bounds are one
+    constant, so the work stays in generated code whatever their number.
+    """
+    lists = ", ".join(
+        f"array({', '.join(_number(b) for b in bs)})" if bs else "cast(array() as array<double>)" for bs in bounds
+    )
+    rows = rows.withColumn("_b", F.expr(f"get(array({lists}), c)")).withColumn(to, F.lit(0))
+    for step in reversed(range(max(len(bs) for bs in bounds).bit_length())):
+        ahead = F.get("_b", F.col(to) + (2 ** step - 1))
+        rows = rows.withColumn(to, F.col(to) + F.when(ahead < F.col("v"), 2 ** step).otherwise(0))
+    return rows
 
 
 def _place(bracket: _Bracket, bounds: list[float]) -> int:
@@ -51,20 +64,32 @@ def _place(bracket: _Bracket, bounds: list[float]) -> int:
     return 0 if bracket.low is None else 2 * (bisect_left(bounds, bracket.low) + 1)
 
 
+def long_values(df: DataFrame, values: dict[int, Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row and column: the column's number ``c`` and the value ``v``."""
+    named = df.select(*keep, *[value.alias(f"_v{i}") for i, value in values.items()])
+    return named.select(*keep, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(f"_v{i}").alias("v")) for i in values
+    ])))
+
+
 def _long(df: DataFrame, values: list[Column], bounds: list[list[float]],
           wanted: list[list[int]] | None = None) -> DataFrame:
-    """One row per value: column number, position, value."""
+    """One row per value: column number, position among the bounds, value.
+
+    The position is 2i between the i-th bound and the one before it, 2i+1 on it.
+    """
     used = [i for i in range(len(values)) if wanted is None or wanted[i]]
-    rows = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("c"), _position(values[i], bounds[i]).alias("p"), values[i].alias("v"))
-        for i in used
-    ]))).where(F.col("v").isNotNull())
-    if wanted is not None:
-        held = F.lit(False)
-        for i in used:
-            held = held | ((F.col("c") == i) & F.col("p").isin(wanted[i]))
-        rows = rows.where(held)
-    return rows
+    rows = long_values(df, {i: values[i] for i in used}).where(F.col("v").isNotNull())
+    rows = with_bounds_below(rows, bounds, "less")
+    on_bound = F.coalesce(F.get("_b", "less") == F.col("v"), F.lit(False))
+    rows = rows.withColumn("p", F.col("less") * 2 + on_bound.cast("int"))
+    if wanted is not None and any(bounds):
+        # A join rather than a filter, which would repeat the search in its condition.
+        asked = df.sparkSession.range(1).select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("c"), F.lit(p).alias("p")) for i in used for p in wanted[i]
+        ])))
+        rows = rows.join(F.broadcast(asked), ["c", "p"], "left_semi")
+    return rows.select("c", "p", "v")
 
 
 def _grouped(brackets: list[_Bracket], columns: int):
@@ -86,11 +111,12 @@ def _sorted_lookup(df: DataFrame, values: list[Column], brackets: list[_Bracket]
         F.struct(F.lit(c).alias("c"), F.lit(p).alias("p"), F.lit(r).cast("long").alias("r"), F.lit(n).alias("n"))
         for c, p, r, n in asked
     ])))
-    groups = _long(df, values, bounds, wanted).groupBy("c", "p").agg(
-        F.sort_array(F.collect_list("v")).alias("vs")
-    )
-    found = groups.join(F.broadcast(targets), ["c", "p"]).select("c", "r", F.element_at("vs", F.col("n")))
-    return {(c, r): v for c, r, v in found.collect()}
+    # Equal values are counted together before the shuffle.
+    counted = _long(df, values, bounds, wanted).groupBy("c", "p", "v").agg(F.count(F.lit(1)).alias("times"))
+    upto = F.sum("times").over(Window.partitionBy("c", "p").orderBy("v"))
+    ranked = counted.withColumn("upto", upto).join(F.broadcast(targets), ["c", "p"])
+    found = ranked.where((F.col("n") <= F.col("upto")) & (F.col("n") > F.col("upto") - F.col("times")))
+    return {(c, r): v for c, r, v in found.select("c", "r", "v").collect()}
 
 
 def _narrowed(df: DataFrame, values: list[Column], brackets: list[_Bracket], done: dict) -> list[_Bracket]:
@@ -105,8 +131,7 @@ def _narrowed(df: DataFrame, values: list[Column], brackets: list[_Bracket], don
         fine[c].update(cuts)
     fine = [sorted(b) for b in fine]
     counts: dict[int, dict[int, int]] = {}
-    everywhere = [list(range(2 * len(b) + 1)) if w else [] for b, w in zip(fine, wanted)]
-    for c, p, n in _long(df, values, fine, everywhere).groupBy("c", "p").count().collect():
+    for c, p, n in _long(df, values, fine).groupBy("c", "p").count().collect():
         counts.setdefault(c, {})[p] = n
     left = []
     for (c, _), s in at.items():

@@ -5,13 +5,13 @@ from __future__ import annotations
 from fractions import Fraction
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.constants import (
     COMPARED_COUNT, CORRELATION_LIMIT, CRITICAL_FEATURES, METHOD_WEIGHTS, SELECTED_COUNT,
 )
-from netweave.functions.quantiles import exact_quantiles
+from netweave.functions.quantiles import exact_quantiles, long_values, with_bounds_below
 from netweave.functions.scalars import col_of
 
 
@@ -83,11 +83,6 @@ def quantile_cuts(df: DataFrame, features: list[str], bins: int = 20) -> dict[st
     return exact_quantiles(df, {c: col_of(c) for c in features}, shares)
 
 
-def _cuts_below(value: Column, cuts: list[float]) -> Column:
-    listed = F.array(*[F.lit(float(cut)) for cut in sorted(set(cuts))])
-    return F.size(F.filter(listed, lambda cut: cut < value))
-
-
 def mutual_information(df: DataFrame, features: list[str], label: str = "label", bins: int = 20,
                        cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """Mutual information with the class, over bins of about equal size, in nats.
@@ -95,17 +90,12 @@ def mutual_information(df: DataFrame, features: list[str], label: str = "label",
     A value's bin is the number of cut points below it.
     """
     cuts = cuts or quantile_cuts(df, features, bins)
-    binned = df.select(
-        col_of(label).alias("label"),
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(c).alias("feature"),
-                _cuts_below(col_of(c), cuts[c]).alias("bin"),
-            )
-            for c in features
-        ])),
-    )
-    cells = binned.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    labelled = df.withColumn("label", col_of(label))
+    rows = long_values(labelled, {i: col_of(c).cast("double") for i, c in enumerate(features)}, ("label",))
+    binned = with_bounds_below(rows, [sorted(set(cuts[c])) for c in features], "bin")
+    names = F.array(*[F.lit(c) for c in features])
+    cells = binned.groupBy("c", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("feature", F.get(names, "c"))
     total = F.sum("n").over(Window.partitionBy("feature"))
     of_bin = F.sum("n").over(Window.partitionBy("feature", "bin"))
     of_label = F.sum("n").over(Window.partitionBy("feature", "label"))
