@@ -79,6 +79,11 @@ def next_ids(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
     ).drop("_top")
 
 
+def append(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
+    """The table with new rows at its end, under new ids."""
+    return stored.unionByName(next_ids(stored, fresh, key))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per table."""
     parts = [

@@ -193,6 +193,32 @@ def select_top_features(spark, folder):
     return selection.select_top(blended, CHOSEN, FORCED)
 
 
+@query("feature_list", f"""
+{SCORES},
+last as (
+ select feature, row_number() over (order by case feature when 'flow_pkts_s' then 3 when 'flow_bytes_s' then 2
+  when 'flow_duration' then 1 else 0 end desc, place) rn from ordered where place >= {CHOSEN}),
+chosen as (
+ select feature, place from ordered where place < {CHOSEN} union all select feature, {CHOSEN} from last where rn = 1)
+select string_agg(feature, ',' order by place) selected_features, count(*) n_features from chosen""")
+def feature_list(spark, folder):
+    """The chosen features as a JSON record, written and read back."""
+    path = work_path(spark, "feature-list")
+    blended = selection.blend_scores(scores(spark, folder), METHODS)
+    documents.write_json(documents.feature_list(selection.select_top(blended, CHOSEN, FORCED)), path)
+    found = spark.read.schema("selected_features array<string>, n_features bigint").json(path)
+    return found.withColumn("selected_features", F.array_join("selected_features", ","))
+
+
+@query("score_table", f"{SCORES} select \"method\", feature, round(score, 6) score from scores")
+def score_table(spark, folder):
+    """Feature scores as a CSV table, written and read back."""
+    path = work_path(spark, "scores")
+    documents.write_scores(scores(spark, folder), path)
+    found = spark.read.schema("method string, feature string, score double").option("header", True).csv(path)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("method_matrix", f"""
 {SCORES}
 select feature, round(max(case when "method" = 'univariate' then case when hi > 0 then score / hi else 0 end end), 6) univariate,

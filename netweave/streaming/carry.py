@@ -33,6 +33,7 @@ NOTE = T.StructType([
     T.StructField("input_rows", T.LongType()),
     T.StructField("late_rows", T.LongType()),
     T.StructField("result_schema", T.StringType()),
+    T.StructField("flushed", T.BooleanType()),
 ])
 
 
@@ -96,7 +97,7 @@ class CarryStream:
         rows.where(~passed).write.mode("overwrite").parquet(self._place("held", batch))
         if self.after:
             self.after(self._read("result", batch, shape).where(~F.col("_open")).drop("_open"), batch)
-        note = (batch, last["batch"] if last else None, new_mark, total, late, shape.json())
+        note = (batch, last["batch"] if last else None, new_mark, total, late, shape.json(), flush)
         written = self.spark.range(1).select(
             *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(note, NOTE)])
         written.coalesce(1).write.mode("overwrite").json(self._place("notes", batch))
@@ -110,8 +111,14 @@ class CarryStream:
         return found.where(~F.col("_open")).drop("_open", "batch")
 
     def run_available(self, stream: DataFrame, flush: bool = True) -> None:
-        """Process what is there, then finish the open rows too if ``flush``."""
+        """Process what is there, then finish the open rows too if ``flush``.
+
+        A flush is the end of a job: what was still open is done, so nothing that
+        comes later could be joined to it.
+        """
         schema = stream.schema
+        if self._last() is not None and self._last()["flushed"]:
+            raise RuntimeError(f"the job in {self.path} was flushed and takes no more rows")
 
         def on_batch(rows: DataFrame, batch: int) -> None:
             done = self._last()

@@ -32,6 +32,8 @@ def test_open_flows_wait_for_the_watermark(spark, small):
     again = CarryStream(spark, path, "ts_us", DAY, jobs.flow_step(GAP))
     again.run_available(stream, flush=True)
     assert identity(jobs.finished_flows(again.output())) == batch
+    with pytest.raises(RuntimeError, match="flushed"):
+        again.run_available(stream)
 
 
 def test_rows_behind_the_watermark_are_counted(spark, small):
