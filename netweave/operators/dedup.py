@@ -18,10 +18,12 @@ Python part sees arrays of times only.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,9 @@ BLOCK_WINDOWS = 8
 FAN = 32
 _NEVER = np.iinfo(np.int64).min // 2
 
+# The functions below travel to the executors whole; the package need not be there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # --- step functions over arrays of times -------------------------------------
 

@@ -76,3 +76,16 @@ def test_expired_entries_are_older_than_the_window(spark):
     cache = spark.createDataFrame([("a", 39), ("b", 40)], "k string, last_kept long")
     assert [r["k"] for r in dedup.expired_entries(cache, 100, 60).collect()] == ["a"]
     assert [r["k"] for r in dedup.live_entries(cache, 100, 60).collect()] == ["b"]
+
+
+def test_python_parts_run_where_the_package_is_not(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    file = tmp_path / "f"
+    file.write_bytes(cloudpickle.dumps(dedup._pick_mapper(["k"], 1)))
+    code = f"from pyspark import cloudpickle; print(list(cloudpickle.loads(open({str(file)!r}, 'rb').read())([])))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "[]", done.stderr
