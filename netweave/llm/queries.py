@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, line_dedup, mixing
-from netweave.llm.common import table
+from netweave.llm import chat, line_dedup, mixing, rules
+from netweave.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +117,73 @@ from rated
 @query("op5_mix_sources", MIX_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
-    sized, _ = mixing.saved(mixing.sizes(table(spark, folder, "documents")), "sizes")
+    sized, _ = saved(mixing.sizes(table(spark, folder, "documents")), "sizes")
     taken = mixing.copies(sized, mixing.targets(sized))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+RULES_SQL = r"""
+with split as (
+  select doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::bigint as n_symbols
+  from documents),
+pos as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from split),
+tri as (
+  select doc_id, i, word, lead(word) over s as w2, lead(word, 2) over s as w3 from pos window s as (partition by doc_id order by i)),
+again as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, word, w2, w3) as c from tri where w3 is not null) where c > 1),
+covered as (
+  select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from again) group by doc_id),
+counted as (
+  select s.doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, n_symbols,
+         len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+         coalesce(c.n, 0)::bigint as n_repeat_words
+  from split s left join covered c on s.doc_id = c.doc_id),
+judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+         case when word_chars > 0 then least(1000, 1000 * n_symbols // word_chars) else 0 end as symbols,
+         case when n_lines > 0 then least(1000, 1000 * n_dup_lines // n_lines) else 0 end as dup_lines,
+         case when n_words > 0 then least(1000, 1000 * n_repeat_words // n_words) else 0 end as repeats,
+         case when n_words > 0 then least(1000, 10 * word_chars // n_words) else 0 end as word_length
+  from counted),
+lab as (select doc_id, min(quality) as good from labels where quality is not null group by doc_id),
+vals as (
+  select lang, good, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as rule,
+         unnest([symbols, dup_lines, repeats, word_length]) as value
+  from judged join lab using (doc_id) where not base_failed),
+cnt as (
+  select lang, rule, value, count(*) filter (where good = 1) as good, count(*) filter (where good <> 1) as bad from vals group by all),
+strata as (select greatest(count(*), 1) as n from (select distinct lang from cnt where good > 0)),
+tested as (
+  select lang, rule, value, sum(good) over (partition by lang, rule) as n,
+         coalesce(sum(good) over up, 0) as lost, coalesce(sum(bad) over up, 0) as caught
+  from cnt window up as (partition by lang, rule order by value desc rows between unbounded preceding and 1 preceding)),
+sizes as (select distinct lang, rule, n from tested),
+terms as (
+  select lang, rule, n, unnest(range(0, ceil(n * 0.0025)::bigint + 1)) as j from sizes),
+cdf as (
+  select lang, rule, j, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.0025) + (n - j) * ln(0.9975)))
+                          over (partition by lang, rule order by j) as p
+  from terms where n > 0),
+allowed as (select lang, rule, max(j) as k from cdf, strata where p <= 0.05 / (4 * strata.n) group by all),
+cuts as (
+  select t.lang, t.rule, arg_max(value, (caught - 10 * lost) * 10000 + value) as cut
+  from tested t join allowed a on t.lang is not distinct from a.lang and t.rule = a.rule where lost <= k group by all),
+wide as (
+  select lang, max(cut) filter (where rule = 'symbols') as a, max(cut) filter (where rule = 'dup_lines') as b,
+         max(cut) filter (where rule = 'repeats') as c, max(cut) filter (where rule = 'word_length') as d from cuts group by lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or coalesce(symbols > a, false) or coalesce(dup_lines > b, false)
+            or coalesce(repeats > c, false) or coalesce(word_length > d, false)) as kept
+from judged j left join wide on j.lang is not distinct from wide.lang
+"""
+
+
+@query("op10_quality_rules", RULES_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents judged by the base rules and the risk-controlled cutoffs."""
+    judged, _ = saved(rules.stats(table(spark, folder, "documents")), "rule-values")
+    cuts = rules.cutoffs(judged, table(spark, folder, "labels"))
+    return rules.judge(judged, cuts).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
