@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, line_dedup, mixing, rules
+from netweave.llm import chat, line_dedup, mixing, packing, rules
 from netweave.llm.common import saved, table
 
+WORD_TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -187,3 +189,16 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     cuts = rules.cutoffs(judged, table(spark, folder, "labels"))
     return rules.judge(judged, cuts).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces placed in sequences of 2048 tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer_path())
