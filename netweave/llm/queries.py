@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, line_dedup, mixing, packing, rules
+from netweave.llm import chat, line_dedup, mixing, ngram_join, packing, rules
 from netweave.llm.common import saved, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -202,3 +202,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces placed in sequences of 2048 tokens."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer_path())
+
+
+@query("op2_ngram_jaccard")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents whose three-word shingles agree to nine tenths."""
+    return ngram_join.jaccard_classes(table(spark, folder, "documents"), 3, 90, 100)
