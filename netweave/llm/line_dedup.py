@@ -1,7 +1,7 @@
 r"""Drop lines that many documents share.
 
 Line hashes are kept in levelled sorted runs. A batch of documents becomes one run of
-(hash, number of documents), range-partitioned and sorted by hash. When a level holds
+(hash, number of documents), partitioned by hash and sorted. When a level holds
 ``FANOUT`` runs, they are summed into one run of the next level. A batch's lines are
 merge-joined with the runs: those found there often enough go, the others stay, and the
 batch adds its own run.
@@ -20,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm.common import BLANKS, ascii_lower, discard, saved
+from netweave.llm.common import BLANKS, ascii_lower, discard
 from netweave.session import work_path
 
 FANOUT = 4
-BATCHES = 8
+BATCHES = 4
 
 
 def split_lines(text: Column) -> Column:
@@ -56,8 +56,9 @@ class LineRuns:
         self.levels: list[list[str]] = []
 
     def _write(self, counts: DataFrame) -> str:
+        """``counts`` comes out of an aggregation by hash, so it is partitioned already."""
         path = work_path(self.spark, "llm-line-run")
-        counts.repartitionByRange("h").sortWithinPartitions("h").write.parquet(path)
+        counts.sortWithinPartitions("h").write.parquet(path)
         return path
 
     def _read(self, path: str) -> DataFrame:
@@ -76,6 +77,8 @@ class LineRuns:
 
     def _summed(self, paths: list[str]) -> DataFrame:
         rows = self._read(paths[0])
+        if len(paths) == 1:
+            return rows
         for path in paths[1:]:
             rows = rows.unionByName(self._read(path))
         return rows.groupBy("h").agg(F.sum("n").alias("n"))
@@ -133,13 +136,12 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", doc_
     batch = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(batches)).cast("int")
     counts = key_counts(docs.select(batch.alias("batch"), F.col(text)), text, "batch")
     path = work_path(spark, "llm-line-runs")
-    (counts.repartitionByRange("batch", "h").sortWithinPartitions("batch", "h")
-     .write.partitionBy("batch").parquet(path))
+    counts.sortWithinPartitions("batch", "h").write.partitionBy("batch").parquet(path)
     runs = LineRuns(spark)
     found = {r["batch"] for r in spark.read.schema("h long, n long, batch int").parquet(path).select("batch").distinct().collect()}
     for b in sorted(found):
         runs.add_run(f"{path}/batch={b}")
-    return saved(runs.frequent(min_docs), "frequent-lines")[0]
+    return runs.frequent(min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
