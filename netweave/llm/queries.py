@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, line_dedup, mixing, ngram_join, packing, rules
+from netweave.llm import chat, embed_dedup, line_dedup, mixing, ngram_join, packing, rules
 from netweave.llm.common import saved, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -208,3 +208,25 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of documents whose three-word shingles agree to nine tenths."""
     return ngram_join.jaccard_classes(table(spark, folder, "documents"), 3, 90, 100)
+
+
+VECTORS_SQL = """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as norm
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+linked as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id
+  where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach as (select vec_id as v, vec_id as r from embeddings union select l.b as v, r.r from reach r join linked l on l.a = r.v),
+least as (select v, min(r) as component_id from reach group by v),
+counted as (select a, count(*) as n from linked group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join least on e.vec_id = v left join counted on e.vec_id = a
+"""
+
+
+@query("op1_embedding_near_dedup", VECTORS_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors with their links and components at a cosine of 0.93."""
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"), 0.93)
