@@ -13,12 +13,14 @@ and piece; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,45 +31,95 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 2048
 GROUP = 8192
+RUN = 1 << 24
 REMEMBERED = 600_000
+# Latin letters that change in lower case one by one and are composed already; marks behind.
+LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131\u0134-\u0148\u014a-\u017e]+)([.,;:!?]*)").fullmatch
 
 
 class WordTokens:
     """Token ids of texts through a tokenizer that never joins words across white space.
 
-    Words between spaces and line ends are tokenised once and remembered; when more than
-    ``REMEMBERED`` are, only those of the texts at hand stay.
+    The words between spaces and line ends of a run of texts are put in a dictionary, and
+    only its entries are tokenised. A word of Latin letters, maybe with marks behind, needs
+    no normalising beyond lower case and falls into two units; letters and marks are
+    tokenised without that work and remembered, up to ``REMEMBERED`` of them.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.units: dict[str, bytes] = {"": b""}
+        self.suffix = self.plain.model.end_of_word_suffix
+        if self.suffix:
+            vocabulary = self.plain.get_vocab(with_added_tokens=False)
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for w, i in vocabulary.items() if w.endswith(self.suffix)]] = True
+
+    def _encode_units(self, units: list[str]) -> None:
+        """Letters and marks hold no end-of-word sign, so that tokens with it end a unit."""
+        if not self.suffix:
+            return self._encode(self.plain, units, self.units)
+        for low in range(0, len(units), 4096):
+            part = units[low:low + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            bounds = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
+            told = ids.tobytes()
+            self.units.update((w, told[bounds[k]:bounds[k + 1]]) for k, w in enumerate(part))
+
+    @staticmethod
+    def _encode(tokenizer, words: list[str], into: dict[str, bytes]) -> None:
         """Tokenise words joined by spaces; a token belongs to the word that its offset lies in."""
         for low in range(0, len(words), 4096):
             part = words[low:low + 4096]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            got = tokenizer.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in part])
-            at = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(got.ids))
+            at = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
             bounds = [0, *(4 * np.searchsorted(at, ends)).tolist()]
             ids = np.array(got.ids, dtype="<u4").tobytes()
-            self.known.update((w, ids[bounds[k]:bounds[k + 1]]) for k, w in enumerate(part))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        needed = set().union(*split)
-        if len(self.known) + len(needed) > REMEMBERED:
-            self.known = {w: self.known[w] for w in needed if w in self.known}
-        self._learn([w for w in needed if w not in self.known])
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+            into.update((w, ids[bounds[k]:bounds[k + 1]]) for k, w in enumerate(part))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        units, split, other = self.units, [], []
+        for w in words:
+            m = LATIN(w)
+            if m:
+                split.append((m[1].lower(), m[2]))
+            else:
+                split.append(None)
+                other.append(w)
+        if len(units) > REMEMBERED:
+            units.clear()
+            units[""] = b""
+        missing = {u for parts in split if parts for u in parts if u not in units}
+        self._encode_units(list(missing))
+        rest: dict[str, bytes] = {}
+        self._encode(self.tokenizer, other, rest)
+        return [units[parts[0]] + units[parts[1]] if parts else rest[w] for w, parts in zip(words, split)]
+
+    def ids(self, texts: pa.Array) -> Iterator[memoryview]:
+        """Little-endian unsigned 32-bit ids of each text, in order."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+        run = np.cumsum(sizes, dtype=np.int64) // RUN
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else []
+        for low, high in zip(starts, np.r_[starts[1:], len(run)]):
+            plain = pc.replace_substring(pc.fill_null(texts.slice(low, high - low), ""), "\n", " ")
+            lists = pc.split_pattern(plain, " ")
+            coded = lists.flatten().dictionary_encode()
+            known = pa.array(self._words(coded.dictionary.to_pylist()), pa.large_binary())
+            got = known.take(coded.indices)
+            ends = np.frombuffer(got.buffers()[1], np.int64)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            data = memoryview(got.buffers()[2] or b"")
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                yield data[a:b]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, close: int | None = 0, text: str = "text",
@@ -81,23 +133,28 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, close: int | N
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(tokenizer)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                names = part.column(0).to_pylist()
-                rows: list[list] = [[], [], [], [], [], []]
-                for name, ids in zip(names, tokens.ids([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * length)):
-                        one = ids[at:at + 4 * length]
-                        for column, value in zip(rows, (name, k, at // 4, len(one) // 4, zlib.crc32(one), one)):
-                            column.append(value)
-                arrays = [pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()),
-                          *[pa.array(c, pa.int64()) for c in rows[2:5]]]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    arrays.append(pa.array(rows[5], pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+            rows: list[list] = [[], [], [], [], [], []]
+            size = 0
+            for name, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1))):
+                ids = ids.tobytes() + end
+                for k, at in enumerate(range(0, len(ids), 4 * length)):
+                    one = ids[at:at + 4 * length]
+                    for column, value in zip(rows, (name, k, at // 4, len(one) // 4, zlib.crc32(one), one if with_ids else None)):
+                        column.append(value)
+                    size += len(one) if with_ids else 1
+                if size > 1 << 24:
+                    yield told(batch, rows)
+                    rows, size = [[], [], [], [], [], []], 0
+            yield told(batch, rows)
+
+    def told(batch: pa.RecordBatch, rows: list[list]) -> pa.RecordBatch:
+        arrays = [pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()),
+                  *[pa.array(c, pa.int64()) for c in rows[2:5]]]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            arrays.append(pa.array(rows[5], pa.binary()))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
