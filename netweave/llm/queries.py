@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, embed_dedup, line_dedup, mixing, ngram_join, packing, rules
+from netweave.llm import chat, embed_dedup, line_dedup, mixing, ngram_join, packing, rules, suffix_dedup
 from netweave.llm.common import saved, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -230,3 +230,10 @@ from embeddings e join least on e.vec_id = v left join counted on e.vec_id = a
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors with their links and components at a cosine of 0.93."""
     return embed_dedup.near_duplicates(table(spark, folder, "embeddings"), 0.93)
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that start earlier."""
+    out = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
