@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, embed_dedup, line_dedup, mixing, ngram_join, packing, rules, suffix_dedup
+from netweave.llm import chat, embed_dedup, kneser_ney, line_dedup, mixing, ngram_join, packing, rules, suffix_dedup
 from netweave.llm.common import saved, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -237,3 +237,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the bytes of 100-byte strings that start earlier."""
     out = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_kneser_ney_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their perplexity, their language's threshold and the verdict."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    judged = kneser_ney.judge(docs, *kneser_ney.learn(docs, table(spark, folder, "labels")))
+    return judged.select("doc_id", F.exp("_kn_log").alias("perplexity"), F.exp("_kn_limit").alias("threshold"), F.col("_kn_kept").alias("kept"))
