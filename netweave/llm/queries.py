@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, embed_dedup, kneser_ney, line_dedup, mixing, ngram_join, packing, rules, suffix_dedup
+from netweave.llm import chat, embed_dedup, kneser_ney, line_dedup, mixing, ngram_join, packing, pii, rules, suffix_dedup
 from netweave.llm.common import saved, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -245,3 +245,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     judged = kneser_ney.judge(docs, *kneser_ney.learn(docs, table(spark, folder, "labels")))
     return judged.select("doc_id", F.exp("_kn_log").alias("perplexity"), F.exp("_kn_limit").alias("threshold"), F.col("_kn_kept").alias("kept"))
+
+
+@query("op8_pii_bootstrap")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents: base finds, and those that contexts add."""
+    found = pii.find_all(table(spark, folder, "documents").select("doc_id", "text"))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def told(finds):
+        return F.array_join(F.transform(finds, lambda f: F.concat_ws(":", F.get(names, f["kind"]), f["start"], f["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("finds", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+
+    return found.select(
+        "doc_id", *[number(k) for k in range(len(pii.KINDS))], F.sha2(told(F.col("finds")), 256).alias("base_sha256"),
+        told(F.sort_array(F.concat("finds", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
