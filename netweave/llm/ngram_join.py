@@ -17,9 +17,9 @@ Sizes fall into levels whose ends differ by the threshold; a document is entered
 own level and the next, so that documents of comparable size meet under one scheme.
 
 Equal sets are one entry. Within a section, entries are first linked to one of them only;
-after these links are verified, all pairs that are still in different components are
-compared as well, so no link between components is lost and groups of copies don't
-expand into all pairs.
+after these links are verified, each entry tries its best partner of another component,
+and then all pairs that are still in different components are compared as well. So no link
+between components is lost, and groups of copies don't expand into all pairs.
 
 Words are runs without ASCII white space, with A-Z in lower case. Sets hold 64-bit hashes.
 
@@ -290,14 +290,16 @@ def _sets(size: int):
     return run
 
 
-def _across(num: int, den: int):
+def _across(num: int, den: int, best: bool):
     """Pairs of different components within a section, by boxes and then by points.
 
+    With ``best``, of each entry's pairs only that of the greatest bound.
+
     Rows come sorted by (key, part); ``side`` tells which of two blocks an entry is in, 0
     and 0 being one block met with itself.
     """
     def pairs(a, n, c, comp, left, right):
-        out_a, out_b = [], []
+        out_a, out_b, out_m = [], [], []
         leaves = [[idx[i:i + LEAF] for i in range(0, len(idx), LEAF)] for idx in (left, right)]
         boxes = [[(c[x].max(0), n[x].min(), n[x].max(), comp[x].min(), comp[x].max()) for x in side] for side in leaves]
         same = left is right
@@ -316,8 +318,15 @@ def _across(num: int, den: int):
                 p, q = np.nonzero(ok)
                 out_a.append(a[x[p]])
                 out_b.append(a[y[q]])
+                out_m.append(most[p, q] / (n[x[p]] + n[y[q]]))
         none = np.empty(0, np.int64)
         p, q = np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+        if best and len(p):
+            many, own, other = np.concatenate(out_m), np.r_[p, q], np.r_[q, p]
+            order = np.lexsort((other, -np.r_[many, many], own))
+            own, other = own[order], other[order]
+            first = np.r_[True, own[1:] != own[:-1]]
+            p, q = own[first], other[first]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
     def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -371,7 +380,7 @@ class JaccardJoin:
         dealt = rows.repartition("at").sortWithinPartitions("key", "a").mapInArrow(_leaders, fields)
         both = self._saved(dealt, "sections")
         self.entries = both.where("key is null").select("doc_id", "n", F.col("a").alias("sid"), "cells")
-        self.star = both.where("key is not null").select("key", "a", "b")
+        self.star = both.where("key is not null").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         heads = self.entries.where("sid is not null").groupBy("sid").agg(
             F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("cells").alias("cells"))
         self.heads = self._saved(heads, "heads")
@@ -394,7 +403,7 @@ class JaccardJoin:
         full = pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb")
         return full.mapInArrow(_verified(self.num, self.den), "a long, b long")
 
-    def across(self, comps: DataFrame) -> DataFrame:
+    def across(self, comps: DataFrame, best: bool = False) -> DataFrame:
         """Candidate pairs of different components within a section.
 
         Members of sections that hold one component only drop out before anything is
@@ -414,16 +423,18 @@ class JaccardJoin:
         rows = rows.select("key", part.cast("long").alias("part"), "sid", "comp", side.cast("int").alias("side"))
         rows = rows.join(self.heads.select("sid", "n", "cells"), "sid").select("key", "part", "sid", "comp", "side", "n", "cells")
         dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-        return dealt.mapInArrow(_across(self.num, self.den), "a long, b long").distinct()
+        return dealt.mapInArrow(_across(self.num, self.den, best), "a long, b long").distinct()
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
         self.index()
-        first = self._saved(self.bounded(self.star.select("a", "b").distinct()), "candidates")
-        links = self._saved(self.verified(first), "links")
-        more = self.across(components(links)).join(first, ["a", "b"], "left_anti")
-        more = self._saved(more, "candidates")
-        links = links.unionByName(self.verified(more))
+        tried = self._saved(self.bounded(self.star.select("a", "b").distinct()), "candidates")
+        links = self._saved(self.verified(tried), "links")
+        for best in (True, False):
+            found = self._saved(self.across(components(links), best), "across")
+            new = self._saved(found.join(tried, (found.a == tried.a) & (found.b == tried.b), "left_anti"), "candidates")
+            links = links.unionByName(self._saved(self.verified(new), "links"))
+            tried = tried.unionByName(new)
         comps = components(links)
         named = comps.join(self.heads.select(F.col("sid").alias("node"), "doc_id"), "node")
         names = named.groupBy("comp").agg(F.min("doc_id").alias("name"))
