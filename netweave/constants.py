@@ -50,47 +50,6 @@ MODEL_FEATURES = [
     " ACK Flag Count",
 ]
 
-# --- Fixed values: the 36 columns of the cleaned flow table --------------
-CLEAN_FEATURES = [
-    " Destination Port",
-    " Flow Duration",
-    "Flow Bytes/s",
-    " Flow Packets/s",
-    " Total Fwd Packets",
-    " Total Backward Packets",
-    "Total Length of Fwd Packets",
-    " Total Length of Bwd Packets",
-    " Fwd Packet Length Max",
-    " Fwd Packet Length Min",
-    " Fwd Packet Length Mean",
-    " Bwd Packet Length Mean",
-    " Average Packet Size",
-    " Packet Length Mean",
-    " Flow IAT Mean",
-    " Flow IAT Std",
-    " Fwd IAT Mean",
-    " Fwd IAT Std",
-    " Bwd IAT Mean",
-    " Bwd IAT Std",
-    "FIN Flag Count",
-    " SYN Flag Count",
-    " RST Flag Count",
-    " PSH Flag Count",
-    " ACK Flag Count",
-    " URG Flag Count",
-    " Fwd Header Length",
-    " Bwd Header Length",
-    " Avg Fwd Segment Size",
-    " Avg Bwd Segment Size",
-    "Subflow Fwd Packets",
-    " Subflow Fwd Bytes",
-    " Subflow Bwd Packets",
-    " Subflow Bwd Bytes",
-    "Init_Win_bytes_forward",
-    " Init_Win_bytes_backward",
-]
-LABEL_COLUMN = " Label"
-
 # --- Fixed values: feature selection -------------------------------------
 CRITICAL_FEATURES = [
     " Flow Duration",
@@ -148,8 +107,6 @@ TEST_SHARE = 0.2
 VALIDATION_SHARE = 0.1
 SPLIT_SEED = 42
 SMOTE_NEIGHBOURS = 3
-SMOTE_ROW_GATE = 1_000_000
-FULL_TABLE_ROWS = 2_791_127
 BOOSTING = {"max_depth": 6, "learning_rate": 0.1, "rounds": 200, "subsample": 0.8,
             "early_stopping_rounds": 10}
 TUNING_GRID = {

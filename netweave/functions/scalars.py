@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave.constants import CRITICAL_CONFIDENCE
 
-# Fixed value: one octet, 0 to 255, of a dotted-quad address.
-OCTET = r"(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-IPV4_PATTERN = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+# Four numbers of one to three digits; each must be 255 at most besides.
+IPV4_PATTERN = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}\z"
 
 
 def col_of(name: str) -> Column:
@@ -19,6 +18,16 @@ def col_of(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys are kept once."""
+    named = right.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    match = None
+    for i, k in enumerate(keys):
+        one = col_of(k).eqNullSafe(F.col(f"_right_{i}"))
+        match = one if match is None else match & one
+    return left.join(named, match, how).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def flag_set(flags: Column, bit: int) -> Column:
     """1 where the bit is set, else 0."""
     return (flags.bitwiseAND(F.lit(bit)) != 0).cast("int")
@@ -81,7 +90,8 @@ def duration_text(seconds: Column) -> Column:
 
 
 def looks_like_ipv4(text: Column) -> Column:
-    return F.coalesce(text.rlike(IPV4_PATTERN), F.lit(False))
+    parts = F.split(text, r"\.")
+    return F.coalesce(F.when(text.rlike(IPV4_PATTERN), F.forall(parts, lambda p: p.cast("int") <= 255)), F.lit(False))
 
 
 def micros(moment: datetime) -> int:

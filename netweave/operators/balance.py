@@ -1,10 +1,10 @@
 """Synthetic rows for the smaller classes.
 
-Like the row gate says, this is for tables of up to a million rows; a larger table
-comes back as it is, and class weights do the balancing. The gate also bounds what
-one task sorts. Neighbours are searched along several sorted projections: rows
-next to each other on a line through feature space are candidates, and the nearest
-of the candidates are taken. Work grows with the rows, not with pairs of rows.
+Neighbours are searched along several lines through the scaled features: rows next to
+each other on a line are candidates, and the nearest of the candidates are taken. All lines
+and classes are put in one order by range partitioning, cut into stretches of ``STRETCH``
+rows, and the rows at the ends of a stretch are passed on to its neighbour. So neither a
+class nor a line is ever in one task, and work grows with the rows, not with pairs of rows.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweave.constants import SMOTE_NEIGHBOURS, SMOTE_ROW_GATE, SPLIT_SEED
-from netweave.functions.scalars import col_of
+from netweave.constants import SMOTE_NEIGHBOURS, SPLIT_SEED
+from netweave.functions.scalars import col_of, join_keys
+from netweave.operators.prep import fit_scaler, ranked
 
 LINES = 6
+STRETCH = 20_000
 
 
 def _lines(width: int, seed: int) -> np.ndarray:
@@ -24,53 +26,72 @@ def _lines(width: int, seed: int) -> np.ndarray:
     return drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _gap(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+
+
 def nearest(df: DataFrame, features: list[str], keys: list[str], label: str,
             neighbours: int = SMOTE_NEIGHBOURS, seed: int = SPLIT_SEED) -> DataFrame:
-    """Add ``near``: the closest rows of the same class among the candidates."""
-    point = F.array(*[col_of(c).cast("double") for c in features])
-    out = df.withColumn("_point", point)
-    offers = []
-    for i, line in enumerate(_lines(len(features), seed)):
-        place = sum((col_of(c) * F.lit(float(w)) for c, w in zip(features[1:], line[1:])),
-                    col_of(features[0]) * F.lit(float(line[0])))
-        out = out.withColumn(f"_at{i}", place)
-        order = Window.partitionBy(label).orderBy(f"_at{i}", *keys)
-        for step in range(1, neighbours + 1):
-            offers += [F.lag("_point", step).over(order), F.lead("_point", step).over(order)]
-    out = out.withColumn("_offers", F.array_distinct(F.filter(F.array(*offers), lambda p: p.isNotNull())))
-
-    def distance(p: Column) -> Column:
-        gaps = F.zip_with(p, F.col("_point"), lambda a, b: (a - b) * (a - b))
-        return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g)
-
-    ranked = F.sort_array(F.transform("_offers", lambda p: F.struct(distance(p).alias("d"), p.alias("p"))))
-    near = F.transform(F.slice(ranked, 1, neighbours), lambda s: s["p"])
-    return out.withColumn("near", near).drop("_offers", *[f"_at{i}" for i in range(LINES)])
+    """label, keys, ``near``: the closest rows' features of the same class among the candidates.
+
+    ``df`` must be deterministic; keys tell rows apart. Distances are between scaled features.
+    """
+    scaler = fit_scaler(df, features)
+    raw = F.array(*[col_of(c).cast("double") for c in features])
+    scaled = F.array(*[(col_of(c).cast("double") - F.lit(scaler[c][0])) / F.lit(scaler[c][1]) for c in features])
+    rows = df.select(col_of(label).alias("_label"), F.struct(*[col_of(k) for k in keys]).alias("_key"),
+                     raw.alias("_raw"), scaled.alias("_point"))
+    axes = F.array(*[F.array(*[F.lit(float(w)) for w in line]) for line in _lines(len(features), seed)])
+    rows = rows.withColumn("_line", F.explode(F.sequence(F.lit(0), F.lit(LINES - 1))))
+    rows = rows.withColumn("_at", _dot(F.col("_point"), F.get(axes, F.col("_line"))))
+    placed = ranked(rows, ["_line", "_label", "_at", "_key"])
+    home = F.floor(F.col("_rank") / STRETCH)
+    within = F.col("_rank") % STRETCH
+    also = F.array_compact(F.array(
+        home, F.when(within < neighbours, home - 1), F.when(within >= STRETCH - neighbours, home + 1)))
+    placed = placed.withColumn("_stretch", F.explode(also))
+    order = Window.partitionBy("_stretch").orderBy("_rank")
+    row = F.struct("_line", "_label", "_key", "_raw", "_point")
+    offers = F.array(*[f(row, step).over(order) for step in range(1, neighbours + 1) for f in (F.lag, F.lead)])
+    offered = placed.withColumn("_offers", offers).where(F.col("_stretch") == home)
+    pairs = offered.select("_line", "_label", "_key", "_point", F.explode("_offers").alias("o")).where(
+        (F.col("o._line") == F.col("_line")) & F.col("o._label").eqNullSafe(F.col("_label")))
+    # At most 2 * neighbours * LINES candidates per row.
+    told = F.struct(_gap(F.col("_point"), F.col("o._point")).alias("d"), F.col("o._key").alias("k"), F.col("o._raw").alias("p"))
+    found = pairs.groupBy("_label", "_key").agg(F.sort_array(F.collect_set(told)).alias("offers"))
+    near = F.transform(F.slice("offers", 1, neighbours), lambda s: s["p"])
+    return found.select(F.col("_label").alias(label), *[F.col("_key")[k].alias(k) for k in keys], near.alias("near"))
 
 
 def smote(df: DataFrame, features: list[str], keys: list[str], label: str = "label_id",
-          neighbours: int = SMOTE_NEIGHBOURS, gate: int = SMOTE_ROW_GATE,
-          seed: int = SPLIT_SEED) -> DataFrame:
+          neighbours: int = SMOTE_NEIGHBOURS, seed: int = SPLIT_SEED) -> DataFrame:
     """Rows of all classes, the smaller ones filled up to the largest.
 
-    A synthetic row lies between a row and one of its neighbours of the same class.
-    Columns: the features, the label and ``is_synthetic``.
+    A synthetic row lies between a row and one of its neighbours of the same class; a row
+    without any is copied. Columns: the features, the label and ``is_synthetic``.
     """
     given = df.select(*[col_of(c).cast("double").alias(c) for c in features], col_of(label),
                       F.lit(False).alias("is_synthetic"))
-    if df.limit(gate + 1).count() > gate:
-        return given
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     # One row per class.
     sizes = sizes.withColumn("_lack", F.max("_n").over(Window.partitionBy(F.lit(1))) - F.col("_n"))
-    small = df.join(F.broadcast(sizes.where(F.col("_lack") > 0)), label)
-    number = F.row_number().over(Window.partitionBy(label).orderBy(*keys))
-    copies = F.floor(F.col("_lack") / F.col("_n")) + F.when(number <= F.col("_lack") % F.col("_n"), 1).otherwise(0)
-    based = nearest(small, features, keys, label, neighbours, seed).withColumn("_copies", copies)
-    based = based.where((F.col("_copies") > 0) & (F.size("near") > 0))
+    small = join_keys(df, F.broadcast(sizes.where(F.col("_lack") > 0)), [label])
+    numbered = ranked(small, [label, *keys])
+    first = numbered.groupBy(label).agg(F.min("_rank").alias("_first"))
+    numbered = join_keys(numbered, F.broadcast(first), [label])
+    number = F.col("_rank") - F.col("_first")
+    copies = F.floor(F.col("_lack") / F.col("_n")) + F.when(number < F.col("_lack") % F.col("_n"), 1).otherwise(0)
+    based = join_keys(numbered, nearest(small, features, keys, label, neighbours, seed), [label, *keys], "left")
+    point = F.array(*[col_of(c).cast("double") for c in features])
+    based = based.withColumns({"_point": point, "_copies": copies}).where(F.col("_copies") > 0)
     based = based.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     drawn = F.xxhash64(F.lit(seed), *[col_of(k) for k in keys], F.col("_copy"))
-    chosen = F.element_at("near", (F.pmod(drawn, F.size("near").cast("long")) + 1).cast("int"))
+    some = F.coalesce(F.size("near"), F.lit(0)) > 0
+    chosen = F.when(some, F.get("near", F.pmod(drawn, F.size("near").cast("long")).cast("int"))).otherwise(F.col("_point"))
     part = F.pmod(F.xxhash64(F.lit(seed + 1), *[col_of(k) for k in keys], F.col("_copy")), F.lit(1_000_000)) / 1e6
     mixed = based.withColumns({"_chosen": chosen, "_part": part}).withColumn(
         "_new", F.zip_with("_point", "_chosen", lambda a, b: a + (b - a) * F.col("_part"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netweave.constants import DEDUP_WINDOW_US
+from netweave.functions.scalars import join_keys
 
 BLOCK_WINDOWS = 8
 FAN = 32
@@ -259,13 +261,13 @@ def kept_moments(df: DataFrame, keys: list[str], time: str, tie: str,
     if previous is None:
         top = top.withColumn("last_kept", F.lit(None).cast("long"))
     else:
-        top = top.join(previous.select(*keys, "last_kept"), keys, "left")
+        top = join_keys(top, previous.select(*keys, "last_kept"), keys, "left")
     states = top.mapInArrow(_descend_mapper(keys, window_us), state_schema)
     for groups in reversed(gathered):
-        states = groups.join(states, [*keys, "node"]).mapInArrow(
+        states = join_keys(groups, states, [*keys, "node"]).mapInArrow(
             _descend_mapper(keys, window_us), state_schema
         )
-    picked = leaves.join(states, [*keys, "node"]).mapInArrow(
+    picked = join_keys(leaves, states, [*keys, "node"]).mapInArrow(
         _pick_mapper(keys, window_us),
         T.StructType([*key_fields, T.StructField("t", schema[time].dataType),
                       T.StructField("tie", schema[tie].dataType)]),
@@ -273,12 +275,19 @@ def kept_moments(df: DataFrame, keys: list[str], time: str, tie: str,
     return picked.withColumnsRenamed({"t": time, "tie": tie})
 
 
+def same_rows(df: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose keys, nulls included, are in ``kept``."""
+    named = kept.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)])
+    return df.join(named, match, "left_semi")
+
+
 def greedy_dedup(df: DataFrame, keys: list[str], time: str, tie: str,
                  window_us: int = DEDUP_WINDOW_US, levels: int | None = None,
                  previous: DataFrame | None = None) -> DataFrame:
     """The kept rows of ``df``, all columns; ``tie`` must tell rows apart."""
     kept = kept_moments(df, keys, time, tie, window_us, levels, previous)
-    return df.join(kept, [*keys, time, tie], "left_semi")
+    return same_rows(df, kept, [*keys, time, tie])
 
 
 def cache_content(kept: DataFrame, keys: list[str], time: str) -> DataFrame:

@@ -5,22 +5,33 @@ The rows are counted once; all other figures come from the few cells of the matr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.constants import CLASSES, QUALITY_GATES
 from netweave.functions.scalars import ratio
 
+OTHER = "other"
+
 
 def confusion_matrix(df: DataFrame, truth: str = "truth", predicted: str = "predicted",
                      classes=CLASSES) -> DataFrame:
-    """Every pair of classes, with its rows and its percentage of the true class."""
-    counted = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
+    """Every pair of classes, with its rows and its percentage of the true class.
+
+    Null and unknown classes count as the class ``OTHER``, which appears in the matrix, as
+    truth and as prediction, if there are any.
+    """
+    def known(name: str) -> Column:
+        return F.when(F.col(name).isin(*classes), F.col(name)).otherwise(F.lit(OTHER))
+
+    counted = df.groupBy(known(truth).alias("truth"), known(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    # At most a row for each pair of classes.
     names = F.array(*[F.lit(c) for c in classes])
-    one = df.sparkSession.range(1)
-    grid = one.select(F.explode(names).alias("truth")).select("truth", F.explode(names).alias("predicted"))
+    odd = counted.agg(F.coalesce(F.max((F.col("truth") == OTHER) | (F.col("predicted") == OTHER)), F.lit(False)).alias("odd"))
+    one = odd.select(F.when(F.col("odd"), F.array_append(names, OTHER)).otherwise(names).alias("names"))
+    grid = one.select("names", F.explode("names").alias("truth")).select("truth", F.explode("names").alias("predicted"))
     filled = grid.join(F.broadcast(counted), ["truth", "predicted"], "left").select(
         "truth", "predicted", F.coalesce("n", F.lit(0)).alias("n")
     )
@@ -118,30 +129,37 @@ def metrics_document(matrix: DataFrame) -> DataFrame:
     entry = F.struct("precision", "recall", F.col("f1_score").alias("f1-score"),
                      F.col("support").cast("double").alias("support"))
     weighted = F.col("class_name") == "weighted avg"
-    position = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("predicted"))
+    order = F.array(*[F.lit(c) for c in [*CLASSES, OTHER]])
+    position = F.array_position(order, F.col("predicted"))
     lines = matrix.groupBy("truth").agg(
         F.transform(F.sort_array(F.collect_list(F.struct(position.alias("p"), "n"))), lambda s: s["n"]).alias("line")
     )
-    truth_at = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("truth"))
+    truth_at = F.array_position(order, F.col("truth"))
     table = lines.agg(
         F.transform(F.sort_array(F.collect_list(F.struct(truth_at.alias("p"), "line"))), lambda s: s["line"]).alias("confusion_matrix")
     )
+    named = [*CLASSES, OTHER, "macro avg", "weighted avg"]
+    accuracy = F.max(F.when(F.col("class_name") == "accuracy", F.col("f1_score")))
+    entries = [F.max(F.when(F.col("class_name") == c, entry)).alias(c) for c in named]
     figures = report.agg(
-        F.max(F.when(F.col("class_name") == "accuracy", F.col("f1_score"))).alias("accuracy"),
+        accuracy.alias("accuracy"),
         *[F.max(F.when(weighted, F.col(c))).alias(c) for c in ("precision", "recall", "f1_score")],
-        F.map_from_entries(F.collect_list(F.struct("class_name", entry))).alias("classification_report"),
+        F.struct(*entries, accuracy.alias("accuracy")).alias("classification_report"),
     )
     # Both sides are one row.
     return figures.join(F.broadcast(table), F.lit(True))
 
 
 def flatten_metrics(document: DataFrame) -> DataFrame:
-    """The nested record as rows of class, metric and value."""
-    entries = document.select(F.explode("classification_report").alias("class_name", "e"))
-    return entries.select(
-        "class_name",
-        F.explode(F.map_from_arrays(
-            F.array(*[F.lit(m) for m in ("precision", "recall", "f1-score", "support")]),
-            F.array(*[F.col("e")[m] for m in ("precision", "recall", "f1-score", "support")]),
-        )).alias("metric", "value"),
-    ).where(F.col("value").isNotNull())
+    """Documents as read back, as rows of split, class, metric and value.
+
+    An entry that is a number is the metric of its own name.
+    """
+    entries = document.select("split", F.explode("classification_report").alias("class_name", "told"))
+    names = ("precision", "recall", "f1-score", "support")
+    told = F.from_json("told", ", ".join(f"`{m}` double" for m in names))
+    figures = F.array(*[F.struct(F.lit(m).alias("metric"), told[m].alias("value")) for m in names])
+    single = F.array(F.struct(F.col("class_name").alias("metric"), F.expr("try_cast(told as double)").alias("value")))
+    is_object = F.ltrim("told").startswith("{")
+    return entries.select("split", "class_name", F.inline(F.when(is_object, figures).otherwise(single))).where(
+        F.col("value").isNotNull())

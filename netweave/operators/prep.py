@@ -9,51 +9,59 @@ from pyspark.sql import functions as F
 from netweave.constants import (
     CLASS_WEIGHTS, LABEL_IDS, TEST_SHARE, VALIDATION_SHARE,
 )
-from netweave.functions.quantiles import order_statistics, value_counts
-from netweave.functions.scalars import col_of
+from netweave.functions.scalars import col_of, join_keys
 from netweave.operators.clean import finite_features
+from netweave.session import pinned
 
 
 # --- samples -------------------------------------------------------------------
 
-def head_sample(df: DataFrame, order: list[str], share: float, total: int | None = None) -> DataFrame:
-    """The first ``int(total * share)`` rows in the given order.
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_rank`` (0, 1, ..) in the given order, nulls first, compared in their own types.
 
-    The value of the first order column at that row is looked up, and rows are
-    taken by comparing with it. Only rows equal to it are sorted.
+    Rows are range-partitioned and sorted once and written; a row's rank is its place in
+    its partition after the sizes of the partitions before. Those sizes are one row per
+    partition.
     """
-    total = df.count() if total is None else total
-    size = int(total * share)
-    if size <= 0:
-        return df.limit(0)
-    lead = order[0]
-    values = {lead: col_of(lead)}
-    counts = value_counts(df, values)
-    if size >= counts[lead]:
-        return df
-    edge = order_statistics(df, values, {lead: [size]}, counts)[lead, size]
-    edge = F.lit(edge).cast(df.schema[lead].dataType)
-    below = df.where(col_of(lead) < edge)
-    left = size - below.count()
-    tied = df.where(col_of(lead) == edge).orderBy(*[col_of(c) for c in order]).limit(left)
-    return below.unionByName(tied)
+    columns = [col_of(c).asc_nulls_first() for c in order]
+    at = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).select(
+        "*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_place"))
+    placed = pinned(placed, "ranked")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    out = placed.join(F.broadcast(before), F.col("_part") == F.col("_of"))
+    return out.select(*[col_of(c) for c in df.columns], (F.col("_before") + F.col("_place")).alias("_rank"))
+
+
+def head_sample(df: DataFrame, order: list[str], share: float, total: int | None = None) -> DataFrame:
+    """The first ``int(total * share)`` rows in the given order."""
+    placed = ranked(df, order)
+    total = placed.count() if total is None else total
+    return placed.where(F.col("_rank") < int(total * share)).drop("_rank")
 
 
 def class_coverage(df: DataFrame, order: list[str], label: str = "label", share: float = 0.1,
                    wider: float = 0.2, classes: int = 4) -> DataFrame:
-    """The sample with enough classes: the small one, or else the wider one, described."""
-    described = []
-    for s in (share, wider):
-        sample = head_sample(df, order, s)
-        described.append(sample.agg(
-            F.lit(s).alias("share"),
-            F.count(F.lit(1)).alias("row_count"),
-            F.count_distinct(col_of(label)).alias("class_count"),
-        ))
-    small, wide = described
-    enough = small.where(F.col("class_count") >= classes)
-    # Each side is one row.
-    return enough.unionByName(wide.join(F.broadcast(enough.select(F.lit(1).alias("_x"))), F.lit(True), "left_anti"))
+    """The sample with enough classes: the small one, or else the wider one, described.
+
+    Both samples come from the classes' first ranks and counts in one pass.
+    """
+    placed = ranked(df, order)
+    total = placed.count()
+    sizes = {s: int(total * s) for s in (share, wider)}
+    within = {s: F.col("_rank") < n for s, n in sizes.items()}
+    found = placed.agg(*[
+        f(F.when(within[s], value)).alias(f"{name}_{i}")
+        for i, s in enumerate((share, wider))
+        for name, f, value in (("rows", F.count, F.lit(1)), ("classes", F.count_distinct, col_of(label)))
+    ])
+    small, wide = (
+        F.struct(F.lit(s).alias("share"), F.col(f"rows_{i}").alias("row_count"), F.col(f"classes_{i}").alias("class_count"))
+        for i, s in enumerate((share, wider))
+    )
+    return found.select(F.when(F.col("classes_0") >= classes, small).otherwise(wide).alias("s")).select("s.*")
 
 
 # --- labels --------------------------------------------------------------------
@@ -79,11 +87,11 @@ def decode_labels(df: DataFrame, ids: dict[str, int] = LABEL_IDS, column: str =
 def remap_labels(df: DataFrame, column: str = "label_id") -> DataFrame:
     """Close gaps in the label ids: ``remapped`` is 0, 1, .. in the order of the old ids.
 
-    The mapping has one row per class.
+    A row without an id keeps none. The mapping has one row per class.
     """
-    present = df.select(column).distinct()
+    present = df.select(column).where(col_of(column).isNotNull()).distinct()
     mapping = present.withColumn("remapped", (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(F.broadcast(mapping), column)
+    return df.join(F.broadcast(mapping), column, "left")
 
 
 # --- exact stratified split --------------------------------------------------------
@@ -117,8 +125,8 @@ def split_thresholds(df: DataFrame, label: str, key: str, ties: list[str],
     # Two rows per class.
     borders = sized.where((F.col("_upto") >= F.col("_cut.size")) & (before < F.col("_cut.size"))).select(
         "_label", "_key", (F.col("_cut.size") - before).alias("_at"), F.col("_cut.name").alias("_name"))
-    near = df.select(col_of(label).alias("_label"), F.col(key).alias("_key"), *ties).join(
-        F.broadcast(borders), ["_label", "_key"])
+    near = df.select(col_of(label).alias("_label"), F.col(key).alias("_key"), *ties)
+    near = join_keys(near, F.broadcast(borders), ["_label", "_key"])
     nth = F.row_number().over(Window.partitionBy("_label", "_name").orderBy(*ties))
     row = F.struct(F.col("_key"), *ties)
     return near.withColumn("_nth", nth).where(F.col("_nth") == F.col("_at")).groupBy("_label").agg(*[
@@ -128,10 +136,13 @@ def split_thresholds(df: DataFrame, label: str, key: str, ties: list[str],
 
 def stratified_split(df: DataFrame, label: str, key: str, ties: list[str],
                      test: float = TEST_SHARE, validation: float = VALIDATION_SHARE) -> DataFrame:
-    """Add ``part``: test, validation or train, with the same shares in every class."""
+    """Add ``part``: test, validation or train, with the same shares in every class.
+
+    Rows without a label are a class of their own.
+    """
     ends = split_thresholds(df, label, key, ties, test, validation)
     here = F.struct(F.col(key).alias("_key"), *ties)
-    joined = df.join(F.broadcast(ends), col_of(label) == F.col("_label"))
+    joined = df.join(F.broadcast(ends), col_of(label).eqNullSafe(F.col("_label")))
     part = (
         F.when(here <= F.col("_test_end"), "test")
         .when(here <= F.col("_val_end"), "validation")

@@ -50,22 +50,20 @@ def missing_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def infinity_profile(df: DataFrame, limit: int = 10) -> DataFrame:
-    """The numeric columns with most infinities."""
+def infinity_profile(df: DataFrame) -> DataFrame:
+    """The numeric columns with infinities, most first."""
     found = per_column(df, {
         c: {"infinite_count": F.count_if(infinite(df, c))} for c in numeric_columns(df)
     })
-    return (
-        found.where(F.col("infinite_count") > 0)
-        .orderBy(F.desc("infinite_count"), "column_name")
-        .limit(limit)
-    )
+    # One row per column.
+    return found.where(F.col("infinite_count") > 0).orderBy(F.desc("infinite_count"), "column_name")
 
 
-def numeric_ranges(df: DataFrame, first: int = 5) -> DataFrame:
+def numeric_ranges(df: DataFrame) -> DataFrame:
+    """Smallest and greatest value of every numeric column."""
     return per_column(df, {
         c: {"min_value": F.min(col_of(c).cast("double")), "max_value": F.max(col_of(c).cast("double"))}
-        for c in numeric_columns(df)[:first]
+        for c in numeric_columns(df)
     })
 
 

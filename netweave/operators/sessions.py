@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netweave.functions.scalars import join_keys
+
 #: Event time per group of rows of one key.
 SPAN_US = 60_000_000
 
@@ -101,7 +103,7 @@ def assign_sessions(
         *[F.max(f"_top_{n}").over(earlier).alias(f"_before_{n}") for n in lasts],
     )
 
-    joined = rows.join(cells, cell)
+    joined = join_keys(rows, cells, cell)
     carried = F.col("_joined") & (F.col("_no") == 1)
     first_carried = carried & F.col("_prev").isNull()
     return joined.select(

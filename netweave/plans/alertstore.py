@@ -232,8 +232,8 @@ ADDRESSES = "concat('10.0.', cast(cast(id%300 as int) as {str}), '.', cast(cast(
 
 
 @query("valid_ip", f"""
-select id, address, regexp_full_match(address,
- '((25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\\.){{3}}(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)') is_valid
+select id, address, regexp_full_match(address, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}')
+ and list_max(list_transform(string_split(address, '.'), lambda p: cast(p as int))) <= 255 is_valid
 from (select id, {ADDRESSES} address from ({SCORED}) s) t""")
 def valid_ip(spark, folder):
     found = views.scored(spark, folder).select(

@@ -42,14 +42,18 @@ def split(df):
     return prep.stratified_split(df, "label", "shuffle_key", FLOW_KEYS)
 
 
-@query("flow_csv_union", f"select {KEYS}, {', '.join(FLOW_NUMERIC)}, label from ({RAW_FLOWS}) r")
+@query("flow_csv_union", f"""
+select {KEYS}, {', '.join(c for c in FLOW_NUMERIC if c != 'flow_duration')},
+ case when label in {ATTACKS_SQL} then flow_duration end flow_duration, label from ({RAW_FLOWS}) r""")
 def flow_csv_union(spark, folder):
     """The labelled flows written as one CSV per attack or not, and read back as one table."""
     flows = csv_flows.renamed(views.raw_flows(spark, folder).drop("shuffle_key"), FLOW_NAMES)
     place = work_path(spark, "flow-csv")
     attack = F.col("` Label`").isin(ATTACK_CLASSES)
     csv_flows.write_csv(flows.where(attack), f"{place}/attacks.csv")
-    csv_flows.write_csv(flows.where(~attack), f"{place}/benign.csv")
+    # The other file has its columns in another order and lacks one.
+    backward = flows.select(*[col_of(c) for c in reversed(flows.columns) if c != FLOW_NAMES["flow_duration"]])
+    csv_flows.write_csv(backward.where(~attack), f"{place}/benign.csv")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flows.schema)
     back = csv_flows.read_flows(spark, place, schema)
     return csv_flows.renamed(back, {v: k for k, v in FLOW_NAMES.items()})
@@ -96,7 +100,7 @@ def infinity_profile(spark, folder):
 
 @query("numeric_ranges", "\nunion all\n".join(
     f"select '{c}' column_name, cast(min({c}) as double) min_value, cast(max({c}) as double) max_value from {CLEAN} c"
-    for c in FLOW_NUMERIC[:5]))
+    for c in FLOW_NUMERIC))
 def numeric_ranges(spark, folder):
     return profile.numeric_ranges(cleaned(spark, folder).select(*FLOW_NUMERIC, "label"))
 
@@ -226,9 +230,20 @@ def duration_texts(spark, folder):
 
 @query("smote")
 def smote(spark, folder):
-    """Rows per class of the training part before and after balancing."""
+    """Rows and means per class of the training part before and after balancing."""
     train = pinned(split(cleaned(spark, folder)).where(F.col("part") == "train"), "train-flows")
     filled = balance.smote(prep.encode_labels(train), FLOW_NUMERIC, FLOW_KEYS)
     return filled.groupBy("label_id").agg(
         F.count_if(~F.col("is_synthetic")).alias("given_rows"), F.count(F.lit(1)).alias("all_rows"),
         *[F.round(F.avg(col_of(c)), 6).alias(f"mean_{c}") for c in FLOW_NUMERIC])
+
+
+@query("smote_counts", f"""
+select {LABEL_ID} label_id, n given_rows, max(n) over () all_rows
+from (select label, count(*) n from {SPLIT % CLEAN} s where part = 'train' group by label) x""")
+def smote_counts(spark, folder):
+    """Rows per class of the training part before and after balancing."""
+    train = pinned(split(cleaned(spark, folder)).where(F.col("part") == "train"), "train-flows")
+    filled = balance.smote(prep.encode_labels(train), FLOW_NUMERIC, FLOW_KEYS)
+    return filled.groupBy("label_id").agg(
+        F.count_if(~F.col("is_synthetic")).alias("given_rows"), F.count(F.lit(1)).alias("all_rows"))

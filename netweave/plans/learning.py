@@ -79,18 +79,27 @@ def quality_gate(spark, folder):
     return evaluation.quality_gates(matrix(spark, folder))
 
 
-@query("metrics_flatten", f"""
+FLAT = f"""
 with {REPORT}
 select class_name, metric, round(value, 9) value from (
- select class_name, 'precision' metric, "precision" value from report
- union all select class_name, 'recall', recall from report
- union all select class_name, 'f1-score', f1_score from report
- union all select class_name, 'support', cast(support as double) from report) x
-where value is not null""")
+ select class_name, 'precision' metric, "precision" value from report where class_name <> 'accuracy'
+ union all select class_name, 'recall', recall from report where class_name <> 'accuracy'
+ union all select class_name, 'f1-score', f1_score from report where class_name <> 'accuracy'
+ union all select class_name, 'support', cast(support as double) from report where class_name <> 'accuracy'
+ union all select class_name, 'accuracy', f1_score from report where class_name = 'accuracy') x"""
+
+
+@query("metrics_flatten", f"""
+select 'test' split, t.* from ({FLAT}) t
+union all select 'validation', v.* from ({FLAT.replace(f'({PREDICTIONS})', f'(select * from ({PREDICTIONS}) y where flow_no % 3 = 0)')}) v""")
 def metrics_flatten(spark, folder):
-    """The metrics as a nested JSON document, written, read back and flattened."""
+    """The metrics of two splits as one nested JSON document, written, read back and flattened."""
     path = work_path(spark, "metrics")
-    documents.write_json(evaluation.metrics_document(matrix(spark, folder)), path)
+    third = evaluation.confusion_matrix(views.predictions(spark, folder).where("flow_no % 3 = 0"))
+    documents.write_metrics({
+        "test": evaluation.metrics_document(matrix(spark, folder)),
+        "validation": evaluation.metrics_document(third),
+    }, path)
     found = evaluation.flatten_metrics(documents.read_metrics(spark, path))
     return found.withColumn("value", F.round("value", 9))
 

@@ -13,7 +13,9 @@ OWN_OUTPUT = "cleaned_data.csv"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", ENCODING).csv(path)
+    """Names and values keep their blanks; the names of flow files begin with some."""
+    writer = df.write.mode("overwrite").option("header", True).option("encoding", ENCODING)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
@@ -25,20 +27,37 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f"{folder}/{n}" for n in names if n.endswith(".csv") and n != OWN_OUTPUT)
 
 
+def _headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files by the column names in their first line. Parts of a folder share a header."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        names = spark.read.option("header", True).option("encoding", ENCODING).csv(f).columns
+        found.setdefault(tuple(names), []).append(f)
+    return found
+
+
 def read_flows(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
-    """All CSV files of the folder as one table; columns a file lacks are null.
+    """All CSV files of the folder as one table, columns matched by name.
 
-    With a schema nothing is read twice; without one the types are inferred.
+    With a schema, columns that a file lacks are null and columns that the schema lacks
+    are left out; without one, types are inferred once per header and all columns stay.
     """
     reader = spark.read.option("header", True).option("encoding", ENCODING)
     files = csv_files(spark, folder)
     if not files:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    if schema:
-        return reader.schema(schema).csv(files)
+    wanted = spark.createDataFrame([], schema).schema if schema else None
+    kinds = {f.name: f.dataType.simpleString() for f in wanted or []}
     out = None
-    for f in files:
-        part = reader.option("inferSchema", True).csv(f)
+    for names, group in _headers(spark, files).items():
+        if wanted is None:
+            part = reader.option("inferSchema", True).csv(group)
+        else:
+            given = ", ".join(f"`{n.replace('`', '``')}` {kinds.get(n, 'string')}" for n in names)
+            part = reader.schema(given).csv(group)
+            part = part.select(*[
+                col_of(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted
+            ])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -47,6 +66,3 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Columns under the names that flow files use."""
     return df.select(*[col_of(c).alias(names.get(c, c)) for c in df.columns])
 
-
-def doubled(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in columns})

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-METRICS_SCHEMA = """
-accuracy double, precision double, recall double, f1_score double,
-classification_report map<string, struct<precision: double, recall: double, `f1-score`: double, support: double>>,
-confusion_matrix array<array<bigint>>
+SPLIT_SCHEMA = """
+map<string, struct<accuracy: double, precision: double, recall: double, f1_score: double,
+ classification_report: map<string, string>, confusion_matrix: array<array<bigint>>>>
 """
 
 
@@ -16,8 +15,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_metrics(splits: dict[str, DataFrame], path: str) -> None:
+    """One object with a member per split; each frame is one row of figures."""
+    out = None
+    for name, figures in splits.items():
+        one = figures.select(F.struct(*figures.columns).alias(name))
+        out = one if out is None else out.join(F.broadcast(one), F.lit(True))
+    write_json(out.coalesce(1), path)
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS_SCHEMA).option("multiLine", True).json(path)
+    """split and its figures; an entry of the report is the text of an object or of a number."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", SPLIT_SCHEMA)).alias("split", "f")).select("split", "f.*")
 
 
 def write_scores(scores: DataFrame, path: str) -> None:

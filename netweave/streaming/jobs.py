@@ -45,7 +45,7 @@ def dedup_step(keys: list[str], time: str, tie: str, window_us: int = DEDUP_WIND
     def step(rows: DataFrame, state: DataFrame | None, mark: int | None) -> DataFrame:
         previous = None if state is None else state.select(*keys, F.col(time).alias("last_kept"))
         kept = dedup.kept_moments(rows, keys, time, tie, window_us, levels, previous)
-        out = rows.join(kept, [*keys, time, tie], "left_semi")
+        out = dedup.same_rows(rows, kept, [*keys, time, tie])
         if mark is None:
             return out.withColumn("_open", F.lit(False))
         known = kept.select(*keys, time)

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -184,7 +185,85 @@ def test_synthetic_rows(spark):
     assert {r["label_id"]: r["count"] for r in filled.groupBy("label_id").count().collect()} == {0: 60, 1: 60}
     made = filled.where("is_synthetic").collect()
     assert all(r["label_id"] == 1 and 0 <= r["x"] <= 9 and 6 <= r["y"] <= 7 for r in made)
-    assert balance.smote(df, ["x", "y"], ["id"], gate=10).count() == 80
+
+
+def test_synthetic_rows_of_odd_classes(spark, monkeypatch):
+    monkeypatch.setattr(balance, "STRETCH", 16)
+    rows = [(i, float(i % 10), float(i // 10), i % 2) for i in range(90)] + [(100, 5.0, 5.0, 2), (101, 1.0, 1.0, None), (102, 1.0, 3.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label_id int")
+    filled = balance.smote(df, ["x", "y"], ["id"])
+    assert {r["label_id"]: r["count"] for r in filled.groupBy("label_id").count().collect()} == {0: 45, 1: 45, 2: 45, None: 45}
+    lone = filled.where("label_id = 2").select("x", "y").distinct().collect()
+    assert [tuple(r) for r in lone] == [(5.0, 5.0)]
+
+
+def test_neighbours_are_mostly_the_nearest(spark, monkeypatch):
+    monkeypatch.setattr(balance, "STRETCH", 64)
+    import numpy as np
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(400, 3)) * [1, 10, 100]
+    df = spark.createDataFrame([(i, *map(float, p), 1) for i, p in enumerate(points)], "id long, x double, y double, z double, label_id int")
+    scaled = (points - points.mean(0)) / points.std(0)
+    hits = 0
+    for r in balance.nearest(df, ["x", "y", "z"], ["id"], "label_id").collect():
+        d = ((scaled - scaled[r["id"]]) ** 2).sum(1)
+        d[r["id"]] = np.inf
+        best = {tuple(points[k]) for k in np.argsort(d)[:6]}
+        hits += sum(tuple(p) in best for p in r["near"])
+    assert hits / (400 * 3) > 0.3
+
+
+def test_no_row_vanishes(spark):
+    df = spark.createDataFrame([("BENIGN", "BENIGN"), ("BENIGN", None), (None, "DDoS"), ("odd", "odd")], "truth string, predicted string")
+    matrix = evaluation.confusion_matrix(df)
+    assert matrix.groupBy().sum("n").first()[0] == 4
+    report = {r["class_name"]: r["f1_score"] for r in evaluation.classification_report(matrix).collect()}
+    assert report["accuracy"] == 0.5
+    rows = spark.createDataFrame([(i, None if i % 10 == 0 else "ab"[i % 2], None if i % 3 == 0 else i % 3) for i in range(90)], "id long, label string, label_id int")
+    split = prep.stratified_split(rows, "label", "id", ["id"])
+    assert split.count() == 90 and split.where("label is null and part = 'test'").count() == 2
+    assert prep.remap_labels(rows).groupBy("remapped").count().count() == 3
+
+
+def test_head_sample_compares_in_own_types(spark):
+    big = 2**53
+    rows = [(None, 5), (None, 6), ("a", big + 1), ("a", big), ("b", 1)]
+    df = spark.createDataFrame(rows, "name string, id long")
+    assert [tuple(r) for r in prep.head_sample(df, ["name", "id"], 0.6).orderBy("id").collect()] == [(None, 5), (None, 6), ("a", big)]
+
+
+def test_sessions_and_dedup_keep_null_keys(spark):
+    from netweave.operators import dedup, sessions
+
+    rows = [(None, 0, 1), (None, 5, 2), (None, 200, 3), ("a", 0, 4)]
+    df = spark.createDataFrame(rows, "key string, ts_us long, id long")
+    found = sessions.assign_sessions(df, ["key"], "ts_us", "id", 100, {}, span_us=50)
+    assert sorted((r["id"], r["session_no"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 2), (4, 1)]
+    kept = dedup.greedy_dedup(df, ["key"], "ts_us", "id", 100)
+    assert sorted(r["id"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_published_metrics_are_read(spark, tmp_path):
+    from netweave.sources import documents
+
+    entry = {"precision": 0.5, "recall": 1.0, "f1-score": 0.75, "support": 4.0}
+    told = {"validation": {"accuracy": 0.9, "classification_report": {"DDoS": entry, "accuracy": 0.9}, "confusion_matrix": [[1, 2]]}}
+    (tmp_path / "m.json").write_text(json.dumps(told, indent=2))
+    rows = evaluation.flatten_metrics(documents.read_metrics(spark, str(tmp_path))).collect()
+    assert {(r["split"], r["class_name"], r["metric"], r["value"]) for r in rows} == {
+        ("validation", "DDoS", "precision", 0.5), ("validation", "DDoS", "recall", 1.0), ("validation", "DDoS", "f1-score", 0.75),
+        ("validation", "DDoS", "support", 4.0), ("validation", "accuracy", "accuracy", 0.9)}
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    from netweave.sources import csv_flows
+
+    (tmp_path / "a.csv").write_text("x,y,label\n1,2,p\n")
+    (tmp_path / "b.csv").write_text("y,x,label,more\n4,3,q,z\n")
+    (tmp_path / "c.csv").write_text("x,label\n5,r\n")
+    rows = csv_flows.read_flows(spark, str(tmp_path), "x double, y double, label string").orderBy("x").collect()
+    assert [tuple(r) for r in rows] == [(1.0, 2.0, "p"), (3.0, 4.0, "q"), (5.0, None, "r")]
+    assert csv_flows.read_flows(spark, str(tmp_path)).columns == ["x", "y", "label", "more"]
 
 
 def test_classifiers_learn_and_survive_saving(spark, small):
