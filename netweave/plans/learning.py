@@ -129,21 +129,28 @@ shares as (
 mutual as (
  select feature, sum(n / al * ln((n::double * al::double) / (b::double * l::double))) mi_score from shares group by feature)"""
 
+#: Stand-ins for the two models' importances, so that SQL can check the blend of all four methods.
+STAND_INS = {
+    "random_forest": {c: (i * 3 % 8 + 1) / 40 for i, c in enumerate(FLOW_NUMERIC)},
+    "xgboost": {c: (i * 5 % 8 + 2) / 80 for i, c in enumerate(FLOW_NUMERIC)},
+}
+METHODS = ["random_forest", "xgboost", "univariate", "mutual_info"]
+MODEL_ROWS = ", ".join(f"('{m}', '{c}', {v}::double)" for m, of in STAND_INS.items() for c, v in of.items())
+
 SCORES = f"""
 with cleaned as materialized (select * from {CLEAN} c),
 {ANOVA},
 {MUTUAL},
 scores as (select 'univariate' as "method", feature, f_score score from anova
- union all select 'mutual_info', feature, mi_score from mutual),
+ union all select 'mutual_info', feature, mi_score from mutual
+ union all select * from (values {MODEL_ROWS}) t),
 ranged as (
  select *, min(score) over (partition by "method") lo, max(score) over (partition by "method") hi from scores),
 blended as (
- select feature, sum(case when "method" = 'univariate' then (score - lo) / (hi - lo) * 0.15 end) u,
-  sum(case when "method" = 'mutual_info' then (score - lo) / (hi - lo) * 0.15 end) m
+ select feature, {', '.join(f"""sum(case when "method" = '{m}' then (score - lo) / (hi - lo) * {METHOD_WEIGHTS[m]} end) {m}""" for m in METHODS)}
  from ranged group by feature),
-ordered as (select *, row_number() over (order by u + m desc, feature) place from blended)"""
+ordered as (select *, row_number() over (order by round({' + '.join(METHODS)}, 9) desc, feature) place from blended)"""
 
-METHODS = ["univariate", "mutual_info"]
 #: The forced features among those this table has, in their fixed order.
 FORCED = ["flow_duration", "flow_bytes_s", "flow_pkts_s"]
 CHOSEN = 5
@@ -151,7 +158,11 @@ CHOSEN = 5
 
 def scores(spark, folder):
     rows = pinned(cleaned(spark, folder).select(*FLOW_NUMERIC, "label"), "clean-flows")
+    models = {
+        m: spark.createDataFrame(list(of.items()), "feature string, importance double") for m, of in STAND_INS.items()
+    }
     return selection.long_scores({
+        **models,
         "univariate": selection.anova_f(rows, FLOW_NUMERIC),
         "mutual_info": selection.mutual_information(rows, FLOW_NUMERIC, bins=BINS),
     })
@@ -184,7 +195,7 @@ def mutual_info(spark, folder):
 
 
 @query("aggregate_scores", f"""
-{SCORES} select feature, round(u, 6) score_univariate, round(m, 6) score_mutual_info, round(u + m, 6) final_score from blended""")
+{SCORES} select feature, {', '.join(f'round({m}, 6) score_{m}' for m in METHODS)}, round({' + '.join(METHODS)}, 6) final_score from blended""")
 def aggregate_scores(spark, folder):
     found = selection.blend_scores(scores(spark, folder), METHODS, METHOD_WEIGHTS)
     return found.select("feature", *[F.round(c, 6).alias(c) for c in found.columns if c != "feature"])
@@ -230,8 +241,7 @@ def score_table(spark, folder):
 
 @query("method_matrix", f"""
 {SCORES}
-select feature, round(max(case when "method" = 'univariate' then case when hi > 0 then score / hi else 0 end end), 6) univariate,
- round(max(case when "method" = 'mutual_info' then case when hi > 0 then score / hi else 0 end end), 6) mutual_info
+select feature, {', '.join(f"""round(max(case when "method" = '{m}' then case when hi > 0 then score / hi else 0 end end), 6) {m}""" for m in METHODS)}
 from ranged where feature in (select feature from ordered where place <= {CHOSEN}) group by feature""")
 def method_matrix(spark, folder):
     long = scores(spark, folder)

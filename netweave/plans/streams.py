@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netweave.operators import flows
 from netweave.plans import flowing
@@ -11,9 +12,9 @@ from netweave.plans.flowing import GAP
 from netweave.plans.registry import query
 from netweave.session import pinned, work_path
 from netweave.sources import views
-from netweave.sources.views import ALERTS
+from netweave.sources.views import ALERTS, PACKETS
 from netweave.streaming import jobs
-from netweave.streaming.carry import replay, replay_files
+from netweave.streaming.carry import CarryStream, replay, replay_files
 
 DAY_US = 86_400_000_000
 STREAM_COLUMNS = [c for c in flows.SUMMARY if c != "segment"]
@@ -43,27 +44,74 @@ def stream_dedup(spark, folder):
     return job.output().select(*COLUMNS)
 
 
+#: Slots of a replay with three files in which every third packet comes a file later.
+SLOTS = f"""
+slots as (
+ select p.*, least(2, cast(floor((ts_us - lo) / w) as int) + case when pkt_seq % 3 = 0 then 1 else 0 end) slot
+ from ({PACKETS}) p, (select min(ts_us) lo, (max(ts_us) - min(ts_us)) // 3 + 1 w from ({PACKETS}) b)),
+marks as (select slot, max(ts_us) newest from slots group by slot)"""
+
+
 @query("stream_counters", f"""
-select cast(count(*) as bigint) input_rows, cast(0 as bigint) late_rows from {flowing.PACKETS.join(['(', ') p'])}""")
+with {SLOTS}
+select cast(count(*) as bigint) input_rows,
+ count(*) filter (ts_us < (select max(newest) from marks m where m.slot < s.slot)) late_rows from slots s""")
 def stream_counters(spark, folder):
-    """Rows in and rows too late over all micro-batches."""
-    stream, path = _replayed(spark, views.packets(spark, folder), "stream-counters", parts=3)
-    job = jobs.stream_flows(spark, stream, path, delay_us=DAY_US, timeout_us=GAP)
+    """Rows in and rows too late over all micro-batches, some packets coming a file late."""
+    packets = views.packets(spark, folder)
+    stream, path = _replayed(spark, packets, "stream-counters", parts=3, shuffled=F.col("pkt_seq") % 3 == 0)
+    job = jobs.stream_flows(spark, stream, path, delay_us=0, timeout_us=GAP)
     return job.notes().agg(F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"))
 
 
+@query("stream_late_rows", f"""
+with {SLOTS}
+select pkt_seq, ts_us from slots s where ts_us < (select max(newest) from marks m where m.slot < s.slot)""")
+def stream_late_rows(spark, folder):
+    """The packets that came behind the watermark, kept apart."""
+    packets = views.packets(spark, folder)
+    stream, path = _replayed(spark, packets, "stream-late", parts=3, shuffled=F.col("pkt_seq") % 3 == 0)
+    job = jobs.stream_flows(spark, stream, path, delay_us=0, timeout_us=GAP)
+    return job.late(packets.schema).select("pkt_seq", "ts_us")
+
+
+@query("stream_flow_states", f"""
+with passed as (
+ select * from ({PACKETS}) p where ts_us < (select max(ts_us) - {DAY_US} from ({PACKETS}) b)),
+ends as (
+ select least(src_ip || ':' || src_port, dst_ip || ':' || dst_port) a, greatest(src_ip || ':' || src_port, dst_ip || ':' || dst_port) b,
+  protocol, ts_us from passed),
+breaks as (
+ select *, case when ts_us - lag(ts_us) over w >= {GAP} or lag(ts_us) over w is null then 1 else 0 end new
+ from ends window w as (partition by a, b, protocol order by ts_us)),
+numbered as (select *, sum(new) over (partition by a, b, protocol order by ts_us rows unbounded preceding) no from breaks),
+lasts as (select a, b, protocol, no, max(ts_us) last_us from numbered group by all)
+select count(*) created, count(*) filter (last_us + {GAP} <= (select max(ts_us) - {DAY_US} from ({PACKETS}) c)) expired,
+ count(*) filter (last_us + {GAP} > (select max(ts_us) - {DAY_US} from ({PACKETS}) c)) active from lasts""")
+def stream_flow_states(spark, folder):
+    """Flows created, expired and still active when the stream pauses."""
+    stream, path = _replayed(spark, views.packets(spark, folder), "stream-states")
+    job = CarryStream(spark, path, "ts_us", DAY_US, jobs.flow_step(GAP))
+    job.run_available(stream, flush=False)
+    counts = job.output().select(F.lit("expired").alias("s")).unionByName(job.still_open().select(F.lit("active").alias("s")))
+    return counts.agg(
+        F.count("*").alias("created"), F.count_if(F.col("s") == "expired").alias("expired"), F.count_if(F.col("s") == "active").alias("active"))
+
+
 @query("stream_timeline", f"""
-with days as (
- select cast(floor(ts_us / {DAY_US}.0) * {DAY_US} as bigint) start_us, count(*) total,
-  count(*) filter (attack_type = 'DoS Hulk') dos_hulk, count(*) filter (attack_type = 'PortScan') portscan,
-  count(*) filter (attack_type = 'DDoS') ddos, count(*) filter (severity = 'critical') critical,
-  count(*) filter (severity = 'low') low from ({ALERTS}) a group by 1)
-select days.* from days where start_us + {DAY_US} <= (select max(ts_us) - {DAY_US} from ({ALERTS}) a)""")
+select cast(floor(ts_us / {DAY_US}.0) * {DAY_US} as bigint) start_us, count(*) total,
+ count(*) filter (attack_type = 'DoS Hulk') dos_hulk, count(*) filter (attack_type = 'PortScan') portscan,
+ count(*) filter (attack_type = 'DDoS') ddos, count(*) filter (severity = 'critical') critical,
+ count(*) filter (severity = 'low') low from ({ALERTS}) a group by 1""")
 def stream_timeline(spark, folder):
-    """Daily counts; days the watermark of one day has not passed are still open."""
+    """Daily counts of all days; a mark after the last alert closes the days still open."""
     columns = ["id", "ts_us", "attack_type", "severity"]
-    stream, path = _replayed(spark, views.alerts(spark, folder).select(*columns), "stream-timeline")
-    return jobs.stream_timeline(spark, stream, path, "1 day", "1 day")
+    stored = views.alerts(spark, folder).select(*columns)
+    path = work_path(spark, "stream-timeline")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in replay_files(stored, "ts_us", f"{path}/in")])
+    last = stored.agg(F.max("ts_us")).first()[0]
+    spark.createDataFrame([jobs.end_mark(last, DAY_US, DAY_US, schema)], schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return jobs.stream_timeline(spark, replay(spark, f"{path}/in", schema), f"{path}/job", "1 day", "1 day")
 
 
 @query("stream_detect")

@@ -3,7 +3,7 @@
 Every micro-batch runs a batch operator on the rows the watermark has passed, with
 the state the previous batch left. Rows the watermark has not passed wait on
 storage, so the order in which files arrive within the allowed delay does not
-matter; rows behind the watermark are counted and left out. As the operators are
+matter; rows behind the watermark go to a folder of their own. As the operators are
 the batch ones, a key that floods the stream is spread over the cluster like in a
 batch job, which one stateful task per key could not do.
 
@@ -18,7 +18,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,8 @@ class CarryStream:
             total, newest, late = rows.agg(
                 F.count(F.lit(1)), F.max(moment), F.count_if(behind)
             ).first()
+            if late:
+                rows.where(behind).write.mode("overwrite").parquet(self._place("late", batch))
             rows = rows.where(~behind)
         new_mark = mark
         if newest is not None and (mark is None or newest - self.delay_us > mark):
@@ -108,7 +110,21 @@ class CarryStream:
         last = self._last()
         shape = T.StructType.fromJson(json.loads(last["result_schema"]))
         found = self.spark.read.schema(shape.add("batch", "long")).parquet(f"{self.path}/result")
-        return found.where(~F.col("_open")).drop("_open", "batch")
+        # A batch without a note is not finished and will be written again.
+        return found.where(~F.col("_open") & (F.col("batch") <= last["batch"])).drop("_open", "batch")
+
+    def still_open(self) -> DataFrame:
+        """The rows that the newest finished batch carries on."""
+        last = self._last()
+        shape = T.StructType.fromJson(json.loads(last["result_schema"]))
+        return self._read("result", last["batch"], shape).where("_open").drop("_open")
+
+    def late(self, schema: T.StructType) -> DataFrame:
+        """The rows of finished batches that came behind the watermark."""
+        with_late = [r["batch"] for r in self.notes().where("late_rows > 0").select("batch").collect()]
+        if not with_late:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self._place("late", b) for b in with_late])
 
     def run_available(self, stream: DataFrame, flush: bool = True) -> None:
         """Process what is there, then finish the open rows too if ``flush``.
@@ -137,16 +153,17 @@ class CarryStream:
             self._run(last["batch"] + 1 if last else 0, None, schema, flush=True)
 
 
-def replay_files(df: DataFrame, time: str, path: str, parts: int = 4, shuffled: bool = False) -> T.StructType:
+def replay_files(df: DataFrame, time: str, path: str, parts: int = 4, shuffled: bool | Column = False) -> T.StructType:
     """Write a table as ``parts`` files of rising event time, one after the other.
 
-    With ``shuffled`` each file mixes neighbouring time ranges.
+    With ``shuffled`` each file mixes neighbouring time ranges; given as a condition, it
+    names the rows that come a file later.
     """
     low, high = df.agg(F.min(time), F.max(time)).first()
     width = (high - low) // parts + 1
     slot = F.floor((F.col(time) - low) / width)
-    if shuffled:
-        moved = F.pmod(F.xxhash64(time), F.lit(3)) == 0
+    if shuffled is not False:
+        moved = F.pmod(F.xxhash64(time), F.lit(3)) == 0 if shuffled is True else shuffled
         slot = F.when(moved & (slot + 1 < parts), slot + 1).otherwise(slot)
     for i in range(parts):
         df.where(slot == i).coalesce(1).write.mode("append").parquet(path)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netweave.constants import ALERT_THRESHOLD, ATTACK_CLASSES, DEDUP_WINDOW_US, FLOW_TIMEOUT_US
 from netweave.operators import alerts, cascade, dedup, flows
@@ -103,24 +104,35 @@ def stream_detect(spark: SparkSession, packets: DataFrame, path: str, delay_us:
 
     job = CarryStream(spark, f"{path}/flows", "ts_us", delay_us, flow_step(timeout_us), after=on_flows)
     job.run_available(packets)
-    kept = spark.read.parquet(f"{kept_path}/batch=*").where(~F.col("_open")).drop("_open")
+    done = [r["batch"] for r in job.notes().select("batch").collect()]
+    kept = spark.read.parquet(*[f"{kept_path}/batch={b}" for b in done]).where(~F.col("_open")).drop("_open")
     return cascade.with_severity(kept)
 
 
+def end_mark(last_us: int, delay_us: int, width_us: int, schema: T.StructType, time: str = "ts_us"):
+    """A row without values far enough ahead that every interval up to ``last_us`` is over."""
+    moment = last_us + delay_us + 2 * width_us
+    return tuple(moment if f.name == time else None for f in schema)
+
+
 def stream_timeline(spark: SparkSession, stored: DataFrame, path: str, delay: str, width: str) -> DataFrame:
-    """Counts per interval over an endless table of alerts; an interval is written when it is over."""
+    """Counts per interval over an endless table of alerts; an interval is written when it is over.
+
+    Rows without an id only move the watermark: an ``end_mark`` closes the last intervals,
+    and its own interval never ends.
+    """
     counted = (
         stored.withColumn("at", F.timestamp_micros("ts_us"))
         .withWatermark("at", delay)
         .groupBy(F.window("at", width))
         .agg(
-            F.count(F.lit(1)).alias("total"),
+            F.count("id").alias("total"),
             *alerts.class_counts(ATTACK_CLASSES),
             F.count_if(F.col("severity") == "critical").alias("critical"),
             F.count_if(F.col("severity") == "low").alias("low"),
         )
     )
-    flat = counted.select(F.unix_micros("window.start").alias("start_us"), *counted.columns[1:])
+    flat = counted.select(F.unix_micros("window.start").alias("start_us"), *counted.columns[1:]).where("total > 0")
     query = (
         flat.writeStream.outputMode("append").format("parquet")
         .option("path", f"{path}/out").option("checkpointLocation", f"{path}/offsets")
