@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweave.operators.prep import ranked
+
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of every key."""
@@ -70,18 +72,20 @@ def training_history(logs: DataFrame, limit: int = 50) -> DataFrame:
     return logs.orderBy(F.desc("trained_us"), F.desc("id")).limit(limit)
 
 
-def next_ids(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
-    """``fresh`` with new unique ids above those in ``stored``; no global sort."""
+def next_ids(stored: DataFrame, fresh: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """``fresh`` with ids that follow the greatest in ``stored``, without gaps, in the given order.
+
+    The order must tell rows apart; the ids then depend on the rows alone, so that a task
+    run again gives the same ones.
+    """
     top = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn(key, F.monotonically_increasing_id() + 1)
-    return numbered.join(F.broadcast(top), F.lit(True)).withColumn(
-        key, F.col(key) + F.col("_top")
-    ).drop("_top")
+    numbered = ranked(fresh, order).join(F.broadcast(top), F.lit(True))
+    return numbered.withColumn(key, F.col("_rank") + F.col("_top") + 1).drop("_rank", "_top")
 
 
-def append(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
+def append(stored: DataFrame, fresh: DataFrame, order: list[str], key: str = "id") -> DataFrame:
     """The table with new rows at its end, under new ids."""
-    return stored.unionByName(next_ids(stored, fresh, key))
+    return stored.unionByName(next_ids(stored, fresh, order, key).select(*stored.columns))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -265,3 +265,32 @@ def auto_block(spark, folder):
 @query("retention", f"select {PICK} from ({ALERTS}) a where ts >= timestamp '2024-01-24 00:00:00'")
 def retention(spark, folder):
     return alerts.retained(views.alerts(spark, folder), AS_OF, days=7).select(*COLUMNS)
+
+
+HALF_US = AS_OF_US - 15 * 86_400_000_000
+FRESH_COLUMNS = [c for c in COLUMNS if c != "id"]
+
+
+@query("alert_append", f"""
+with stored as (select {PICK} from ({ALERTS}) a where ts_us < {HALF_US}),
+fresh as (select {PICK} from ({ALERTS}) b where ts_us >= {HALF_US})
+select * from stored union all
+select (select coalesce(max(id), 0) from stored) + row_number() over (order by {', '.join(FRESH_COLUMNS)}, id),
+ {', '.join(FRESH_COLUMNS)} from fresh""")
+def alert_append(spark, folder):
+    """The alerts of the last days appended to the earlier ones under new ids."""
+    found = views.alerts(spark, folder).select(*COLUMNS)
+    stored, fresh = found.where(F.col("ts_us") < HALF_US), found.where(F.col("ts_us") >= HALF_US)
+    return records.append(stored, fresh, [*FRESH_COLUMNS, "id"])
+
+
+@query("training_log_append", f"""
+with stored as (select id, model_version, accuracy, f1_score, trained_us, notes from ({TRAINING_LOGS}) l where id % 2 = 0),
+fresh as (select id, model_version, accuracy, f1_score, trained_us, notes from ({TRAINING_LOGS}) m where id % 2 = 1)
+select * from stored union all
+select (select coalesce(max(id), 0) from stored) + row_number() over (order by trained_us, id),
+ model_version, accuracy, f1_score, trained_us, notes from fresh""")
+def training_log_append(spark, folder):
+    """Half of the training log appended to the other half in order of training."""
+    logs = views.training_logs(spark, folder)
+    return records.append(logs.where("id % 2 = 0"), logs.where("id % 2 = 1"), ["trained_us", "id"])

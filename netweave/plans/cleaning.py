@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netweave.constants import ATTACK_CLASSES, CLASS_WEIGHTS, NAME_GROUPS
+from netweave.constants import ATTACK_CLASSES, CLASS_WEIGHTS, LITERATURE_FEATURES, NAME_GROUPS
 from netweave.functions.scalars import col_of, duration_text
 from netweave.operators import balance, clean, prep, profile
 from netweave.plans.registry import query
@@ -123,6 +123,21 @@ def feature_categories(spark, folder):
     return profile.feature_categories(csv_flows.renamed(flows, FLOW_NAMES))
 
 
+@query("literature_match", f"""
+with names as (select unnest({list(FLOW_NAMES.values())!r}) column_name, generate_subscripts({list(FLOW_NAMES.values())!r}, 1) i),
+wanted as (select unnest({LITERATURE_FEATURES!r}) feature),
+matched as (select feature, arg_min(column_name, i) column_name from wanted, names
+ where contains(lower(column_name), lower(feature)) group by feature)
+select w.feature, m.column_name, r.row_count from wanted w left join matched m using (feature), (select count(*) row_count from ({RAW_FLOWS}) x) r""")
+def literature_match(spark, folder):
+    """For every feature of the literature the column of the flow table that bears its name."""
+    flows = csv_flows.renamed(views.raw_flows(spark, folder).select(*FLOW_NAMES), FLOW_NAMES)
+    found = list(profile.literature_matches(flows.columns).items())
+    matches = spark.createDataFrame(found, "feature string, column_name string")
+    rows = flows.agg(F.count(F.lit(1)).alias("row_count"))
+    return matches.join(F.broadcast(rows), F.lit(True))
+
+
 @query("filter_classes", f"select {KEYS}, label from ({RAW_FLOWS}) r where label in {ATTACKS_SQL}")
 def filter_classes(spark, folder):
     found = clean.keep_classes(views.raw_flows(spark, folder), ATTACK_CLASSES)

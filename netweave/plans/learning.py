@@ -230,6 +230,23 @@ def feature_list(spark, folder):
     return found.withColumn("selected_features", F.array_join("selected_features", ","))
 
 
+@query("feature_mapping", f"""
+{SCORES},
+last as (
+ select feature, row_number() over (order by case feature when 'flow_pkts_s' then 3 when 'flow_bytes_s' then 2
+  when 'flow_duration' then 1 else 0 end desc, place) rn from ordered where place >= {CHOSEN}),
+chosen as (
+ select feature, place from ordered where place < {CHOSEN} union all select feature, {CHOSEN} from last where rn = 1)
+select feature, cast(place - 1 as int) feature_index from chosen""")
+def feature_mapping(spark, folder):
+    """The index of each chosen feature as a JSON record, written and read back."""
+    path = work_path(spark, "feature-mapping")
+    blended = selection.blend_scores(scores(spark, folder), METHODS)
+    documents.write_json(documents.feature_mapping(selection.select_top(blended, CHOSEN, FORCED)), path)
+    found = spark.read.schema("selected_features array<string>, feature_indices map<string, int>").json(path)
+    return found.select(F.explode("feature_indices").alias("feature", "feature_index"))
+
+
 @query("score_table", f"{SCORES} select \"method\", feature, round(score, 6) score from scores")
 def score_table(spark, folder):
     """Feature scores as a CSV table, written and read back."""

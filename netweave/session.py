@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,10 +43,15 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+#: The folder of each local session that names none; removed when Python ends.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session that names none gets a folder of its own.
+    Only a local session that names none gets a folder of its own. The session's settings
+    stay as they are.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -53,9 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="netweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="netweave-")
+        atexit.register(shutil.rmtree, _LOCAL[app], True)
+    return _LOCAL[app]
 
 
 def work_path(spark: SparkSession, purpose: str) -> str:

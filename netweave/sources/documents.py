@@ -41,3 +41,10 @@ def feature_list(selected: DataFrame) -> DataFrame:
         F.transform(ordered, lambda s: s["feature"]).alias("selected_features"),
         F.count(F.lit(1)).alias("n_features"),
     )
+
+
+def feature_mapping(selected: DataFrame) -> DataFrame:
+    """The chosen features and the index of each, from 0, as one record."""
+    ordered = F.sort_array(F.collect_list(F.struct("position", "feature")))
+    index = F.map_from_entries(F.transform(ordered, lambda s, i: F.struct(s["feature"], i)))
+    return selected.agg(F.transform(ordered, lambda s: s["feature"]).alias("selected_features"), index.alias("feature_indices"))
