@@ -8,7 +8,7 @@ from netweave.constants import ATTACK_CLASSES, CLASS_WEIGHTS, LITERATURE_FEATURE
 from netweave.functions.scalars import col_of, duration_text
 from netweave.operators import balance, clean, prep, profile
 from netweave.plans.registry import query
-from netweave.session import pinned, work_path
+from netweave.session import prepared, work_path
 from netweave.sources import csv_flows, views
 from netweave.sources.views import FLOW_KEYS, FLOW_NAMES, FLOW_NUMERIC, RAW_FLOWS
 
@@ -35,13 +35,17 @@ LABEL_ID = "case label when 'BENIGN' then 0 when 'DoS Hulk' then 1 when 'PortSca
 
 
 def cleaned(spark, folder):
-    return clean.clean(views.raw_flows(spark, folder))
+    return prepared(spark, folder, "lineitem", "clean-flows", lambda: clean.clean(views.raw_flows(spark, folder)))
 
 
 def split(df):
     return prep.stratified_split(df, "label", "shuffle_key", FLOW_KEYS)
 
 
+def split_flows(spark, folder):
+    return prepared(spark, folder, "lineitem", "split-flows", lambda: split(cleaned(spark, folder)))
+
+
 @query("flow_csv_union", f"""
 select {KEYS}, {', '.join(c for c in FLOW_NUMERIC if c != 'flow_duration')},
  case when label in {ATTACKS_SQL} then flow_duration end flow_duration, label from ({RAW_FLOWS}) r""")
@@ -212,7 +216,7 @@ fit as (select {', '.join(f'avg({c}) m_{c}, stddev_pop({c}) s_{c}' for c in FLOW
 select {KEYS}, part, {', '.join(f'round(({c} - m_{c}) / (case when s_{c} = 0 then 1 else s_{c} end), 4) {c}' for c in FLOW_NUMERIC)}
 from parts, fit""")
 def standard_scale(spark, folder):
-    parts = pinned(split(cleaned(spark, folder)), "split-flows")
+    parts = split_flows(spark, folder)
     scaler = prep.fit_scaler(parts.where(F.col("part") == "train"), FLOW_NUMERIC)
     found = prep.scale(parts, scaler)
     return found.select(*FLOW_KEYS, "part", *[F.round(c, 4).alias(c) for c in FLOW_NUMERIC])
@@ -246,7 +250,7 @@ def duration_texts(spark, folder):
 @query("smote")
 def smote(spark, folder):
     """Rows and means per class of the training part before and after balancing."""
-    train = pinned(split(cleaned(spark, folder)).where(F.col("part") == "train"), "train-flows")
+    train = split_flows(spark, folder).where(F.col("part") == "train")
     filled = balance.smote(prep.encode_labels(train), FLOW_NUMERIC, FLOW_KEYS)
     return filled.groupBy("label_id").agg(
         F.count_if(~F.col("is_synthetic")).alias("given_rows"), F.count(F.lit(1)).alias("all_rows"),
@@ -258,7 +262,7 @@ select {LABEL_ID} label_id, n given_rows, max(n) over () all_rows
 from (select label, count(*) n from {SPLIT % CLEAN} s where part = 'train' group by label) x""")
 def smote_counts(spark, folder):
     """Rows per class of the training part before and after balancing."""
-    train = pinned(split(cleaned(spark, folder)).where(F.col("part") == "train"), "train-flows")
+    train = split_flows(spark, folder).where(F.col("part") == "train")
     filled = balance.smote(prep.encode_labels(train), FLOW_NUMERIC, FLOW_KEYS)
     return filled.groupBy("label_id").agg(
         F.count_if(~F.col("is_synthetic")).alias("given_rows"), F.count(F.lit(1)).alias("all_rows"))

@@ -8,7 +8,7 @@ from netweave.constants import CLASSES, METHOD_WEIGHTS
 from netweave.operators import clean, evaluation, prep, selection, training
 from netweave.plans.cleaning import CLEAN, cleaned, split
 from netweave.plans.registry import query
-from netweave.session import pinned, work_path
+from netweave.session import prepared, work_path
 from netweave.sources import documents, views
 from netweave.sources.views import FLOW_KEYS, FLOW_NUMERIC, PREDICTIONS
 
@@ -157,7 +157,11 @@ CHOSEN = 5
 
 
 def scores(spark, folder):
-    rows = pinned(cleaned(spark, folder).select(*FLOW_NUMERIC, "label"), "clean-flows")
+    return prepared(spark, folder, "lineitem", "feature-scores", lambda: computed_scores(spark, folder))
+
+
+def computed_scores(spark, folder):
+    rows = cleaned(spark, folder).select(*FLOW_NUMERIC, "label")
     models = {
         m: spark.createDataFrame(list(of.items()), "feature string, importance double") for m, of in STAND_INS.items()
     }
@@ -189,7 +193,7 @@ def anova_f(spark, folder):
 @query("mutual_info", f"""
 with cleaned as materialized (select * from {CLEAN} c), {MUTUAL} select feature, round(mi_score, 9) mi_score from mutual""")
 def mutual_info(spark, folder):
-    rows = pinned(cleaned(spark, folder).select(*FLOW_NUMERIC, "label"), "clean-flows")
+    rows = cleaned(spark, folder).select(*FLOW_NUMERIC, "label")
     found = selection.mutual_information(rows, FLOW_NUMERIC, bins=BINS)
     return found.withColumn("mi_score", F.round("mi_score", 9))
 
@@ -273,7 +277,8 @@ TREES, ROUNDS, DEPTH = 20, 5, 5
 
 
 def learnable(spark, folder):
-    return prep.encode_labels(clean.clean(views.learnable_flows(spark, folder)))
+    return prepared(spark, folder, "lineitem", "learnable-flows",
+                    lambda: prep.encode_labels(clean.clean(views.learnable_flows(spark, folder))))
 
 
 @query("rf_importance")
@@ -289,7 +294,7 @@ def gbt_importance(spark, folder):
 
 
 def trained(spark, folder, kind="forest"):
-    rows = pinned(split(learnable(spark, folder)), "split-flows")
+    rows = prepared(spark, folder, "lineitem", "learnable-split", lambda: split(learnable(spark, folder)))
     rounds = TREES if kind == "forest" else ROUNDS
     return rows, training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, depth=DEPTH, subsample=1.0)
 

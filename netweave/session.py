@@ -78,3 +78,25 @@ def pinned(df, purpose: str):
     path = work_path(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_PREPARED: dict[tuple, tuple] = {}
+
+
+def prepared(spark: SparkSession, folder: str, table: str, purpose: str, build):
+    """What ``build()`` makes of one table, written once per session and state of the table.
+
+    Several queries start from the same cleaned or split flows. The state is the table's
+    size and time of change, so that a table written anew is prepared anew.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, folder, table, purpose, status.getLen(), status.getModificationTime())
+    if key not in _PREPARED:
+        df = build()
+        place = work_path(spark, purpose)
+        df.write.parquet(place)
+        _PREPARED[key] = (place, df.schema)
+    place, schema = _PREPARED[key]
+    return spark.read.schema(schema).parquet(place)
