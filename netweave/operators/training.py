@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, OneVsRest, RandomForestClassificationModel,
@@ -105,18 +107,34 @@ def _present(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select("label_id").distinct().collect())
 
 
+def bounded(df: DataFrame, columns: list[str], most: int | None) -> DataFrame:
+    """About ``most`` rows, chosen by a hash of the columns; all rows if there are fewer.
+
+    Fitting is the one step that takes a bounded sample of labelled rows.
+    """
+    if most is None:
+        return df
+    share = min(1.0, most / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+
+
 def train(df: DataFrame, features: list[str], kind: str = "forest", rounds: int = BOOSTING["rounds"],
           depth: int = BOOSTING["max_depth"], rate: float = BOOSTING["learning_rate"],
           subsample: float = BOOSTING["subsample"], part: str | None = "part",
-          weights: dict[int, float] = CLASS_WEIGHTS, seed: int = SPLIT_SEED) -> Classifier:
-    """Fit on the rows of ``part`` = train; boosting stops early on its validation rows."""
+          columns: float = BOOSTING["column_sample"], weights: dict[int, float] = CLASS_WEIGHTS,
+          fit_rows: int | None = None, seed: int = SPLIT_SEED) -> Classifier:
+    """Fit on the rows of ``part`` = train; boosting stops early on its validation rows.
+
+    ``fit_rows`` bounds the labelled rows of the fit. The classes' boosted models are
+    fitted side by side.
+    """
     fitting = df.where(F.col(part) == "train") if part else df
     scaler = fit_scaler(fitting, features)
     prepare = scaling_stage(features, scaler)
     ids = _present(fitting)
     order = {old: new for new, old in enumerate(ids)}
     number = F.element_at(F.create_map(*[F.lit(v) for p in order.items() for v in p]), F.col("label_id"))
-    usable = df.where(F.col(part).isin("train", "validation")) if part else df
+    usable = bounded(df.where(F.col(part).isin("train", "validation")) if part else df, features, fit_rows)
     rows = with_weight(prepare.transform(usable), weights).select(
         "features", "weight", number.cast("double").alias("target"),
         (F.col(part) == "validation" if part else F.lit(False)).alias("held"),
@@ -129,15 +147,17 @@ def train(df: DataFrame, features: list[str], kind: str = "forest", rounds: int
             maxDepth=depth, subsamplingRate=subsample, seed=seed,
         ).fit(rows.where(~F.col("held")))
         return Classifier(kind, features, prepare, [model], ids)
-    members = []
-    for i in range(len(ids)):
+    def fit(i: int):
         booster = GBTClassifier(
             featuresCol="features", labelCol="target", weightCol="weight", maxIter=rounds,
-            maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed,
+            maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(columns), seed=seed,
         )
         if part:
             booster = booster.setValidationIndicatorCol("held")
-        members.append(booster.fit(rows.withColumn("target", (F.col("target") == i).cast("double"))))
+        return booster.fit(rows.withColumn("target", (F.col("target") == i).cast("double")))
+
+    with ThreadPool(len(ids)) as pool:
+        members = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(len(ids)))
     return Classifier(kind, features, prepare, members, ids)
 
 
@@ -147,8 +167,9 @@ def _scores(spark: SparkSession, features: list[str], values) -> DataFrame:
 
 
 def forest_importance(df: DataFrame, features: list[str], trees: int = 100, depth: int = 5,
-                      seed: int = SPLIT_SEED) -> DataFrame:
+                      fit_rows: int | None = None, seed: int = SPLIT_SEED) -> DataFrame:
     """Importances of a random forest with classes weighted to equal shares."""
+    df = bounded(df, features, fit_rows)
     counts = {r[0]: r[1] for r in df.groupBy("label_id").count().collect()}
     total = sum(counts.values())
     balanced = {c: total / (len(counts) * n) for c, n in counts.items()}
@@ -162,18 +183,22 @@ def forest_importance(df: DataFrame, features: list[str], trees: int = 100, dept
 
 def boosted_importance(df: DataFrame, features: list[str], rounds: int = 100,
                        depth: int = BOOSTING["max_depth"], seed: int = SPLIT_SEED,
-                       weights: dict[int, float] = CLASS_WEIGHTS) -> DataFrame:
+                       weights: dict[int, float] = CLASS_WEIGHTS, fit_rows: int | None = None) -> DataFrame:
     """Mean importances of one boosted model per class; works with classes absent."""
-    rows = with_weight(feature_vector(df, features), weights).select("features", "weight", "label_id")
+    rows = with_weight(feature_vector(bounded(df, features, fit_rows), features), weights).select("features", "weight", "label_id")
     rows = pinned(rows, "fit-rows")
     ids = _present(rows)
-    total = 0
-    for i in ids:
+
+    def importances(i: int):
         model = GBTClassifier(featuresCol="features", labelCol="target", weightCol="weight", maxIter=rounds,
                               maxDepth=depth, stepSize=BOOSTING["learning_rate"],
-                              subsamplingRate=BOOSTING["subsample"], seed=seed)
-        total = total + model.fit(rows.withColumn("target", (F.col("label_id") == i).cast("double"))).featureImportances.toArray()
-    return _scores(df.sparkSession, features, total / len(ids))
+                              subsamplingRate=BOOSTING["subsample"],
+                              featureSubsetStrategy=str(BOOSTING["column_sample"]), seed=seed)
+        return model.fit(rows.withColumn("target", (F.col("label_id") == i).cast("double"))).featureImportances.toArray()
+
+    with ThreadPool(len(ids)) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(importances), ids)
+    return _scores(df.sparkSession, features, sum(found) / len(ids))
 
 
 def with_fold(df: DataFrame, key: str, folds: int = TUNING_FOLDS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netweave.constants import CLASSES, METHOD_WEIGHTS
+from netweave.constants import BOOSTING, CLASSES, METHOD_WEIGHTS
 from netweave.operators import clean, evaluation, prep, selection, training
 from netweave.plans.cleaning import CLEAN, cleaned, split
 from netweave.plans.registry import query
@@ -272,8 +272,9 @@ def method_matrix(spark, folder):
 
 # --- classifiers -----------------------------------------------------------------
 
-#: Fewer trees than a full training takes, so that a check run ends soon.
-TREES, ROUNDS, DEPTH = 20, 5, 5
+#: Bound on the labelled rows of a fit; trees, rounds and depth are the declared ones.
+FIT_ROWS = 20_000
+TREES = 100
 
 
 def learnable(spark, folder):
@@ -283,20 +284,20 @@ def learnable(spark, folder):
 
 @query("rf_importance")
 def rf_importance(spark, folder):
-    found = training.forest_importance(learnable(spark, folder), FLOW_NUMERIC, trees=TREES)
+    found = training.forest_importance(learnable(spark, folder), FLOW_NUMERIC, TREES, fit_rows=FIT_ROWS)
     return found.withColumn("importance", F.round("importance", 6))
 
 
 @query("gbt_importance")
 def gbt_importance(spark, folder):
-    found = training.boosted_importance(learnable(spark, folder), FLOW_NUMERIC, rounds=ROUNDS, depth=DEPTH)
+    found = training.boosted_importance(learnable(spark, folder), FLOW_NUMERIC, fit_rows=FIT_ROWS)
     return found.withColumn("importance", F.round("importance", 6))
 
 
 def trained(spark, folder, kind="forest"):
     rows = prepared(spark, folder, "lineitem", "learnable-split", lambda: split(learnable(spark, folder)))
-    rounds = TREES if kind == "forest" else ROUNDS
-    return rows, training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, depth=DEPTH, subsample=1.0)
+    rounds = TREES if kind == "forest" else BOOSTING["rounds"]
+    return rows, training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, fit_rows=FIT_ROWS)
 
 
 def tested(rows, model):
