@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,9 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a work table that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect what is finished, so that shuffle files no longer needed go at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

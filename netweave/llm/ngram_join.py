@@ -13,8 +13,8 @@ shuffle. Below, the points that share a section stand in leaves with bounding bo
 first, then points are compared by the sum of coordinate minima, and pairs that survive
 are verified on their whole sets.
 
-Sizes fall into levels whose ends differ by the threshold; a document is entered under its
-own level and the next, so that documents of comparable size meet under one scheme.
+Sizes fall into levels; a document is entered under its own level and, if its partners may
+be there, the next, so that documents of comparable size meet under one scheme.
 
 Equal sets are one entry. Within a section, entries are first linked to one of them only;
 after these links are verified, each entry tries its best partner of another component,
@@ -41,7 +41,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import LOWER, UPPER, discard, saved
+from netweave.llm.common import LOWER, UPPER, saved, sweep
 from netweave.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,6 +57,10 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
                               0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
+# Keys are cut to 48 bits: equal keys only propose pairs, and shorter ones shuffle less.
+KEY = np.uint64((1 << 48) - 1)
+
+
 def _odd(which: int, times: int) -> np.uint64:
     return np.uint64(int(ODD[which]) * times & 0xFFFFFFFFFFFFFFFF)
 
@@ -108,12 +112,16 @@ class Sections:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.lows, self.highs = [1], [den // num]
+        self.lows, self.highs = [1], [self._high(1)]
+
+    def _high(self, low: int) -> int:
+        """A level's ends differ by the square of the threshold: that gives the fewest keys."""
+        return low * self.den**2 // self.num**2
 
     def level(self, n: int) -> int:
         while self.highs[-1] < n:
             self.lows.append(self.highs[-1] + 1)
-            self.highs.append(max(self.lows[-1], self.lows[-1] * self.den // self.num))
+            self.highs.append(self._high(self.lows[-1]))
         return int(np.searchsorted(np.array(self.highs), n))
 
     def apart(self, level: int) -> int:
@@ -141,7 +149,7 @@ class Sections:
             if many - len(starts) >= many - apart:  # what agrees may be empty sections only
                 blank = np.setdiff1d(np.arange(many, dtype=np.uint64), place)
                 place, sums = np.r_[place, blank], np.r_[sums, np.zeros(len(blank), np.uint64)]
-            out.append(_mix(sums + _mix(place * ODD[0] + _odd(1, level) ^ ODD[2])))
+            out.append(_mix(sums + _mix(place * ODD[0] + _odd(1, level) ^ ODD[2])) & KEY)
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -183,7 +191,7 @@ def _entries(size: int, num: int, den: int, kind: pa.DataType | None = None):
             leader = a[np.flatnonzero(first)][np.cumsum(first) - 1]
             for low in range(0, int(first.sum()), 100_000):
                 part = np.flatnonzero(first)[low:low + 100_000]
-                yield rows(k[part], k[part], a[part], None)
+                yield rows(k[part], None, a[part], None)
             rest = np.flatnonzero(~first)
             for low in range(0, len(rest), 100_000):
                 part = rest[low:low + 100_000]
@@ -218,18 +226,21 @@ def _entries(size: int, num: int, den: int, kind: pa.DataType | None = None):
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: the first entry of a key is linked with the others."""
+    """Rows sorted by ``at``: the first entry of a section's key is linked with the others.
+
+    Entries (with cells) and links (with b) pass as they are.
+    """
     last_key = last_a = None
     for batch in batches:
         names = batch.schema.names
-        key, b = batch.column(names.index("key")), batch.column(names.index("b"))
-        plain = key.is_null().to_numpy(zero_copy_only=False) | b.is_valid().to_numpy(zero_copy_only=False)
+        n, b = batch.column(names.index("n")), batch.column(names.index("b"))
+        plain = n.is_valid().to_numpy(zero_copy_only=False) | b.is_valid().to_numpy(zero_copy_only=False)
         if plain.any():
             yield batch.filter(pa.array(plain)).drop_columns(["at"])
         at = np.flatnonzero(~plain)
         if not len(at):
             continue
-        k = key.take(pa.array(at)).to_numpy()
+        k = batch.column(names.index("at")).take(pa.array(at)).to_numpy()
         a = batch.column(names.index("a")).take(pa.array(at)).to_numpy()
         first = np.r_[k[0] != last_key, k[1:] != k[:-1]]
         if first[0]:
@@ -377,8 +388,10 @@ class JaccardJoin:
         """``entries``: doc_id, n, sid, cells of every document; ``star``: key, a, b."""
         fields = f"key long, a long, b long, n int, doc_id {self.id_type}, cells binary"
         rows = self.docs.mapInArrow(_entries(self.size, self.num, self.den), "at long, " + fields)
-        dealt = rows.repartition("at").sortWithinPartitions("key", "a").mapInArrow(_leaders, fields)
+        dealt = rows.repartition("at").sortWithinPartitions("at", "a").mapInArrow(_leaders, fields)
         both = self._saved(dealt, "sections")
+        del rows, dealt
+        sweep(self.spark)
         self.entries = both.where("key is null").select("doc_id", "n", F.col("a").alias("sid"), "cells")
         self.star = both.where("key is not null").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         heads = self.entries.where("sid is not null").groupBy("sid").agg(
