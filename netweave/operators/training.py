@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.constants import (
@@ -102,6 +102,17 @@ class Classifier:
         )
 
 
+@dataclass
+class FixedRule:
+    """A scorer that needs no fitting: the class is an expression, the confidence a constant."""
+
+    attack_type: Column
+    confidence: float = 0.9
+
+    def score_valid(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({"attack_type": self.attack_type, "confidence": F.lit(self.confidence)})
+
+
 def _present(df: DataFrame) -> list[int]:
     """The class ids that occur; at most one row per class."""
     return sorted(r[0] for r in df.select("label_id").distinct().collect())

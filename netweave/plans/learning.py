@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from netweave.constants import BOOSTING, CLASSES, METHOD_WEIGHTS
 from netweave.operators import clean, evaluation, prep, selection, training
-from netweave.plans.cleaning import CLEAN, cleaned, split
+from netweave.plans.cleaning import CLEAN, SPLIT, cleaned, split
 from netweave.plans.registry import query
 from netweave.session import prepared, work_path
 from netweave.sources import documents, views
-from netweave.sources.views import FLOW_KEYS, FLOW_NUMERIC, PREDICTIONS
+from netweave.sources.views import FLOW_KEYS, FLOW_NUMERIC, LEARNABLE, PREDICTIONS
 
 CLASS_ROWS = "(values " + ", ".join(f"('{c}')" for c in CLASSES) + ")"
 
@@ -294,10 +294,17 @@ def gbt_importance(spark, folder):
     return found.withColumn("importance", F.round("importance", 6))
 
 
+_MODELS: dict[tuple, training.Classifier] = {}
+
+
 def trained(spark, folder, kind="forest"):
+    """The split rows and a classifier, fitted once per session, folder and kind."""
     rows = prepared(spark, folder, "lineitem", "learnable-split", lambda: split(learnable(spark, folder)))
     rounds = TREES if kind == "forest" else BOOSTING["rounds"]
-    return rows, training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, fit_rows=FIT_ROWS)
+    key = (spark.sparkContext.applicationId, *rows.inputFiles()[:1], kind)
+    if key not in _MODELS:
+        _MODELS[key] = training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, fit_rows=FIT_ROWS)
+    return rows, _MODELS[key]
 
 
 def tested(rows, model):
@@ -319,6 +326,39 @@ def train_boosted(spark, folder):
     return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1_score")})
 
 
+LEARNT = SPLIT % f"({LEARNABLE})"
+
+
+@query("train_supports", f"""
+select label class_name, count(*) support from {LEARNT} s where part = 'test' group by label""")
+def train_supports(spark, folder):
+    """Rows per class that the classifiers are tested on."""
+    found = evaluation.class_errors(tested(*trained(spark, folder)))
+    return found.select("class_name", "support")
+
+
+@query("train_gates", f"""
+select m.c metric, (select count(*) from {LEARNT} s where part = 'test') > 0 passed
+from (values ('accuracy'), ('f1_score')) m(c)""")
+def train_gates(spark, folder):
+    """Whether the classifier passes the gates on accuracy and F1 on the test part."""
+    found = evaluation.quality_gates(tested(*trained(spark, folder)))
+    return found.where("metric <> 'false_positive_rate'").select("metric", "passed")
+
+
+@query("score_check", f"""
+select count(*) scored, count(*) known_class, count(*) sure_enough, count(*) sums_to_one from ({LEARNABLE}) r""")
+def score_check(spark, folder):
+    """All flows scored: rows with a known class, a possible confidence, and shares that sum to one."""
+    rows, model = trained(spark, folder)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda acc, p: acc + p)
+    best = F.get("probabilities", F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1)
+    return model.score_valid(rows).agg(
+        F.count("*").alias("scored"), F.count_if(F.col("attack_type").isin(CLASSES)).alias("known_class"),
+        F.count_if((F.col("confidence") >= 1 / len(model.label_ids)) & (F.col("confidence") <= 1) & (F.col("confidence") == best)).alias("sure_enough"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
 @query("score_flows")
 def score_flows(spark, folder):
     """All flows scored by a classifier that was saved and loaded again."""

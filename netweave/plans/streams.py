@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netweave.operators import flows
+from netweave.operators import flows, training
 from netweave.plans import flowing
 from netweave.plans.detection import COLUMNS, KEPT, LEVELS, WINDOW, passed_rows
 from netweave.plans.flowing import GAP
 from netweave.plans.registry import query
 from netweave.session import pinned, work_path
 from netweave.sources import views
-from netweave.sources.views import ALERTS, PACKETS
+from netweave.sources.views import ALERTS, ALLOW_LIST, PACKETS
 from netweave.streaming import jobs
 from netweave.streaming.carry import CarryStream, replay, replay_files
 
@@ -117,8 +117,6 @@ def stream_timeline(spark, folder):
 @query("stream_detect")
 def stream_detect(spark, folder):
     """Packets to alerts, with a forest that has learned the sender's kind of traffic."""
-    from netweave.operators import training
-
     known = flows.with_features(flowing.flow_rows(spark, folder))
     labelled = known.withColumn("label_id", F.when(F.col("protocol") == "UDP", 1).when(
         F.col("dst_port") == 443, 2).when(F.col("` Flow Duration`") > 0, 3).otherwise(0))
@@ -129,3 +127,28 @@ def stream_detect(spark, folder):
         spark, stream, path, DAY_US, model, lambda: views.allow_list(spark, folder), GAP, 0.5, WINDOW)
     return found.select("ts_us", "source_ip", "dest_ip", "attack_type", "severity",
                         F.round("confidence", 6).alias("confidence"))
+
+
+@query("stream_detect_rule", "with recursive" + flowing.FLOWS.strip().removeprefix("with") + f""",
+scored as (
+ select end_us + {GAP} ts_us, src_ip source_ip,
+  case when protocol = 'UDP' then 'DoS Hulk' when dst_port = 443 then 'PortScan' when duration_us > 0 then 'DDoS' else 'BENIGN' end attack_type
+ from named),
+passed as (
+ select distinct * from scored where attack_type <> 'BENIGN' and source_ip not in (select ip_address from ({ALLOW_LIST}) a)),
+ordered as (select *, row_number() over (partition by source_ip, attack_type order by ts_us) rn from passed),
+walk as (
+ select ts_us, source_ip, attack_type, rn, ts_us last_kept, true kept from ordered where rn = 1
+ union all
+ select n.ts_us, n.source_ip, n.attack_type, n.rn,
+  case when n.ts_us - w.last_kept >= {WINDOW} then n.ts_us else w.last_kept end, n.ts_us - w.last_kept >= {WINDOW}
+ from walk w join ordered n on n.source_ip = w.source_ip and n.attack_type = w.attack_type and n.rn = w.rn + 1)
+select ts_us, source_ip, attack_type, 'low' severity, 0.9::double confidence from walk where kept""")
+def stream_detect_rule(spark, folder):
+    """Packets to alerts with a fixed rule in place of a classifier, as the batch cascade has them."""
+    kind = F.when(F.col("protocol") == "UDP", "DoS Hulk").when(F.col("dst_port") == 443, "PortScan").when(
+        F.col("duration_us") > 0, "DDoS").otherwise("BENIGN")
+    stream, path = _replayed(spark, views.packets(spark, folder), "stream-rule")
+    found = jobs.stream_detect(
+        spark, stream, path, 16 * DAY_US, training.FixedRule(kind), lambda: views.allow_list(spark, folder), GAP, 0.5, WINDOW)
+    return found.select("ts_us", "source_ip", "attack_type", "severity", "confidence")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from netweave.constants import ALERT_THRESHOLD, ATTACK_CLASSES, DEDUP_WINDOW_US, FLOW_TIMEOUT_US
 from netweave.operators import alerts, cascade, dedup, flows
-from netweave.operators.training import Classifier
+from netweave.operators.training import Classifier, FixedRule
 from netweave.streaming.carry import CarryStream, Step
 
 ListSource = Callable[[], DataFrame]
@@ -68,7 +68,7 @@ def stream_dedup(spark: SparkSession, candidates: DataFrame, path: str, delay_us
 
 
 def stream_detect(spark: SparkSession, packets: DataFrame, path: str, delay_us: int,
-                  model: Classifier, allow_list: ListSource, timeout_us: int = FLOW_TIMEOUT_US,
+                  model: Classifier | FixedRule, allow_list: ListSource, timeout_us: int = FLOW_TIMEOUT_US,
                   threshold: float = ALERT_THRESHOLD, window_us: int = DEDUP_WINDOW_US) -> DataFrame:
     """Packets to alerts: flows, scores, filters, duplicate suppression.
 
