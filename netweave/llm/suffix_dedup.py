@@ -103,7 +103,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], (start + n)[order]
     if not len(doc):
-        return doc, start, end
+        return doc, start, start
     group = np.r_[0, np.cumsum(doc[1:] != doc[:-1])]
     # Ends grow along a document; a document's own offset keeps the maxima apart.
     base = group.astype(np.int64) * (int(end.max()) + 1)
@@ -328,21 +328,24 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, contexts of a document to one row per context with its bytes."""
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 6
+        kinds = [*[pa.int64()] * 4, pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["ah", "doc", "start", "n", "bytes", "hot"])
+
     for batch in batches:
-        rows: list[list] = [[], [], [], [], [], []]
-        size = 0
+        rows, size = [], 0
         for doc, text, contexts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             text = text.as_py() or b""
             for c in contexts.as_py():
                 cut = text[c["start"]:c["start"] + c["n"] - 1 + SPAN]
-                if len(cut) == c["n"] - 1 + SPAN:
-                    for column, value in zip(rows, (c["ah"], LEAST if doc is None else doc, c["start"], c["n"], cut, c["hot"])):
-                        column.append(value)
+                if len(cut) == c["n"] - 1 + SPAN:  # else another row has the same id
+                    rows.append((c["ah"], LEAST if doc is None else doc, c["start"], c["n"], cut, c["hot"]))
                     size += len(cut)
             if size > 1 << 22:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:4]), pa.array(rows[4], pa.binary()), pa.array(rows[5], pa.bool_())], ["ah", "doc", "start", "n", "bytes", "hot"])
-                rows, size = [[], [], [], [], [], []], 0
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:4]), pa.array(rows[4], pa.binary()), pa.array(rows[5], pa.bool_())], ["ah", "doc", "start", "n", "bytes", "hot"])
+                yield told(rows)
+                rows, size = [], 0
+        yield told(rows)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
