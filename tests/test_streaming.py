@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from netweave.operators import cascade, flows
+from netweave.operators.training import FixedRule
 from netweave.session import work_path
 from netweave.sources import views
 from netweave.streaming import jobs
@@ -59,3 +61,28 @@ def test_dedup_carries_the_last_kept_time(spark, small, window):
             last[key] = r["ts_us"]
             kept.add(r["id"])
     assert {r["id"] for r in job.output().collect()} == kept
+
+
+def test_allow_list_is_read_for_every_batch(spark, small):
+    packets = views.packets(spark, small)
+    everyone = packets.selectExpr("src_ip as ip_address").union(packets.selectExpr("dst_ip")).distinct()
+    calls = []
+
+    def listed():
+        calls.append(1)
+        return everyone if len(calls) > 2 else everyone.limit(0)
+
+    stream, path = replayed(spark, packets)
+    found = jobs.stream_detect(spark, stream, path, DAY, FixedRule(F.lit("DDoS")), listed, GAP, 0.5, GAP)
+    passed = [spark.read.parquet(f"{path}/passed/batch={b}").count() for b in range(len(calls))]
+    assert len(calls) > 2 and passed[1] > 0 and not any(passed[2:])
+    assert 0 < found.count() <= sum(passed)
+
+
+def test_late_rows_are_kept_apart(spark, small):
+    packets = views.packets(spark, small)
+    stream, path = replayed(spark, packets, shuffled=F.col("pkt_seq") % 3 == 0)
+    job = jobs.stream_flows(spark, stream, path, delay_us=0, timeout_us=GAP)
+    late = job.late(packets.schema)
+    assert late.count() == job.notes().groupBy().sum("late_rows").first()[0] > 0
+    assert late.where("pkt_seq % 3 <> 0").count() == 0
