@@ -16,10 +16,11 @@ are verified on their whole sets.
 Sizes fall into levels; a document is entered under its own level and, if its partners may
 be there, the next, so that documents of comparable size meet under one scheme.
 
-Equal sets are one entry. Within a section, entries are first linked to one of them only;
-after these links are verified, each entry tries its best partner of another component,
-and then all pairs that are still in different components are compared as well. So no link
-between components is lost, and groups of copies don't expand into all pairs.
+Equal sets are one entry. Within a section, entries are first paired with one of them only.
+Of these pairs each entry's best is verified, then those that are still in different
+components; then each entry tries its best partner of another component, and at last all
+pairs that are still in different components are compared as well. So no link between
+components is lost, and groups of copies don't expand into all pairs.
 
 Words are runs without ASCII white space, with A-Z in lower case. Sets hold 64-bit hashes.
 
@@ -259,7 +260,7 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounded(num: int, den: int):
-    """Pairs whose points allow the overlap that the threshold asks for."""
+    """Pairs whose points allow the overlap that the threshold asks for, with that overlap's share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
@@ -268,7 +269,8 @@ def _bounded(num: int, den: int):
                 most = np.minimum(points(ca.to_pylist()), points(cb.to_pylist())).sum(1)
                 sizes = na.to_numpy().astype(np.int64) + nb.to_numpy()
                 keep = pa.array(den * most >= num * (sizes - most))
-                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+                share = pa.array(most / np.maximum(1, sizes))
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), share.filter(keep)], ["a", "b", "share"])
     return run
 
 
@@ -403,18 +405,32 @@ class JaccardJoin:
         b = self.heads.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
         near = (F.col("na") * self.den >= F.col("nb") * self.num) & (F.col("nb") * self.den >= F.col("na") * self.num)
         full = pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb", "ca", "cb")
-        return full.mapInArrow(_bounded(self.num, self.den), "a long, b long")
+        return full.mapInArrow(_bounded(self.num, self.den), "a long, b long, share double")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold on their whole sets."""
+        """The pairs that reach the threshold on their whole sets, saved.
+
+        Texts are joined by shuffle at every size, and what was shuffled goes afterwards.
+        """
         sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         wanted = sids.join(self.heads.select("sid", "doc_id"), "sid")
-        texts = self.docs.join(wanted, "doc_id").select("sid", "text")
+        texts = self.docs.join(wanted.hint("merge"), "doc_id").select("sid", "text")
         sets = self._saved(texts.mapInArrow(_sets(self.size), "sid long, hashes binary"), "sets")
         a = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha"))
         b = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb"))
         full = pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb")
-        return full.mapInArrow(_verified(self.num, self.den), "a long, b long")
+        links = self._saved(full.mapInArrow(_verified(self.num, self.den), "a long, b long"), "links")
+        del sids, wanted, texts, sets, a, b, full
+        sweep(self.spark)
+        return links
+
+    def apart(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components of ``links``."""
+        comps = components(links)
+        a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+        b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        full = pairs.join(a, "a", "left").join(b, "b", "left")
+        return full.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     def across(self, comps: DataFrame, best: bool = False) -> DataFrame:
         """Candidate pairs of different components within a section.
@@ -441,12 +457,16 @@ class JaccardJoin:
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
         self.index()
-        tried = self._saved(self.bounded(self.star.select("a", "b").distinct()), "candidates")
-        links = self._saved(self.verified(tried), "links")
-        for best in (True, False):
-            found = self._saved(self.across(components(links), best), "across")
-            new = self._saved(found.join(tried, (found.a == tried.a) & (found.b == tried.b), "left_anti"), "candidates")
-            links = links.unionByName(self._saved(self.verified(new), "links"))
+        first = self._saved(self.bounded(self.star.select("a", "b").distinct()), "candidates")
+        best = first.groupBy("b").agg(F.max(F.struct("share", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        tried = self._saved(best, "tried")
+        links = self.verified(tried)
+        rest = first.select("a", "b").join(tried, ["a", "b"], "left_anti")
+        steps = [lambda: self.apart(rest, links), lambda: self.across(components(links), True), lambda: self.across(components(links))]
+        for step in steps:
+            found = self._saved(step(), "candidates")
+            new = self._saved(found.join(tried, ["a", "b"], "left_anti"), "tried")
+            links = links.unionByName(self.verified(new))
             tried = tried.unionByName(new)
         comps = components(links)
         named = comps.join(self.heads.select(F.col("sid").alias("node"), "doc_id"), "node")
