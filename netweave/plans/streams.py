@@ -98,6 +98,25 @@ def stream_flow_states(spark, folder):
         F.count("*").alias("created"), F.count_if(F.col("s") == "expired").alias("expired"), F.count_if(F.col("s") == "active").alias("active"))
 
 
+def _with_end(spark, df, purpose):
+    """A replayed table as a stream whose last file is an end mark."""
+    path = work_path(spark, purpose)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in replay_files(df, "ts_us", f"{path}/in")])
+    last = df.agg(F.max("ts_us")).first()[0]
+    mark = spark.createDataFrame([jobs.end_mark(last, DAY_US, DAY_US, schema)], schema)
+    mark.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return replay(spark, f"{path}/in", schema), f"{path}/job"
+
+
+@query("stream_sessions", flowing.FLOWS + f"""
+select {flowing.KEYS}, start_us, end_us, total_packets, all_bytes, lead,
+ case when lead = 0 then fwd_packets else bwd_packets end low_side_packets from summed""")
+def stream_sessions(spark, folder):
+    """Totals of the flows of a stream, kept by the engine's own state and watermark."""
+    stream, path = _with_end(spark, views.packets(spark, folder), "stream-sessions")
+    return jobs.stream_sessions(stream, path, DAY_US, GAP)
+
+
 @query("stream_timeline", f"""
 select cast(floor(ts_us / {DAY_US}.0) * {DAY_US} as bigint) start_us, count(*) total,
  count(*) filter (attack_type = 'DoS Hulk') dos_hulk, count(*) filter (attack_type = 'PortScan') portscan,
@@ -107,11 +126,8 @@ def stream_timeline(spark, folder):
     """Daily counts of all days; a mark after the last alert closes the days still open."""
     columns = ["id", "ts_us", "attack_type", "severity"]
     stored = views.alerts(spark, folder).select(*columns)
-    path = work_path(spark, "stream-timeline")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in replay_files(stored, "ts_us", f"{path}/in")])
-    last = stored.agg(F.max("ts_us")).first()[0]
-    spark.createDataFrame([jobs.end_mark(last, DAY_US, DAY_US, schema)], schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return jobs.stream_timeline(spark, replay(spark, f"{path}/in", schema), f"{path}/job", "1 day", "1 day")
+    stream, path = _with_end(spark, stored, "stream-timeline")
+    return jobs.stream_timeline(spark, stream, path, "1 day", "1 day")
 
 
 @query("stream_detect")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from netweave.constants import ALERT_THRESHOLD, ATTACK_CLASSES, DEDUP_WINDOW_US, FLOW_TIMEOUT_US
 from netweave.operators import alerts, cascade, dedup, flows
+from netweave.operators.packets import KEY, with_flow_key
 from netweave.operators.training import Classifier, FixedRule
 from netweave.streaming.carry import CarryStream, Step
 
@@ -109,10 +110,39 @@ def stream_detect(spark: SparkSession, packets: DataFrame, path: str, delay_us:
     return cascade.with_severity(kept)
 
 
+def appended(flat: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what is there and read what it appended."""
+    query = (
+        flat.writeStream.outputMode("append").format("parquet")
+        .option("path", f"{path}/out").option("checkpointLocation", f"{path}/offsets")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return flat.sparkSession.read.schema(flat.schema).parquet(f"{path}/out")
+
+
+def stream_sessions(packets: DataFrame, path: str, delay_us: int, gap_us: int = FLOW_TIMEOUT_US) -> DataFrame:
+    """Flow totals over an endless table of packets, by the engine's session windows and state.
+
+    A flow is written once the watermark is a timeout past its last packet; an
+    ``end_mark`` ends all. What needs neighbouring packets is left to ``stream_flows``.
+    """
+    rows = with_flow_key(packets).withColumn("at", F.timestamp_micros("ts_us")).withWatermark("at", f"{delay_us} microseconds")
+    summed = rows.groupBy(F.session_window("at", f"{gap_us} microseconds"), *KEY).agg(
+        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("pkt_seq").alias("total_packets"),
+        F.sum("packet_length").alias("all_bytes"), F.min_by("side", F.struct("ts_us", "pkt_seq")).alias("lead"),
+        F.count_if(F.col("side") == 0).alias("low_side_packets"),
+    )
+    return appended(summed.drop("session_window").where("total_packets > 0"), path)
+
+
 def end_mark(last_us: int, delay_us: int, width_us: int, schema: T.StructType, time: str = "ts_us"):
-    """A row without values far enough ahead that every interval up to ``last_us`` is over."""
+    """A row without id far enough ahead that every interval up to ``last_us`` is over.
+
+    Its texts are empty, not null: records without addresses never reach the watermark.
+    """
     moment = last_us + delay_us + 2 * width_us
-    return tuple(moment if f.name == time else None for f in schema)
+    return tuple(moment if f.name == time else "" if isinstance(f.dataType, T.StringType) else None for f in schema)
 
 
 def stream_timeline(spark: SparkSession, stored: DataFrame, path: str, delay: str, width: str) -> DataFrame:
@@ -133,10 +163,4 @@ def stream_timeline(spark: SparkSession, stored: DataFrame, path: str, delay: st
         )
     )
     flat = counted.select(F.unix_micros("window.start").alias("start_us"), *counted.columns[1:]).where("total > 0")
-    query = (
-        flat.writeStream.outputMode("append").format("parquet")
-        .option("path", f"{path}/out").option("checkpointLocation", f"{path}/offsets")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(flat.schema).parquet(f"{path}/out")
+    return appended(flat, path)
