@@ -347,7 +347,7 @@ def _across(num: int, den: int, best: bool):
         a, n, comp, side = (t.column(x).to_numpy() for x in ("sid", "n", "comp", "side"))
         c = points(t.column("cells").to_pylist())
         n = n.astype(np.int64)
-        order = np.lexsort((c[:, 0], n))
+        order = np.lexsort((c[:, 0], n, comp))  # leaves of one component meet no leaf of their own
         a, n, comp, side, c = a[order], n[order], comp[order], side[order], c[order]
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
