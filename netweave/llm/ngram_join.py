@@ -47,7 +47,7 @@ from netweave.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GROUPS = 128
+GROUPS = 512
 LEAF = 64
 BLOCK = 1024
 BUFFER = 1_500_000
@@ -101,11 +101,16 @@ def set_id(s: np.ndarray) -> int:
 
 def point(s: np.ndarray) -> bytes:
     counts = np.bincount((_mix(s ^ ODD[5]) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-    return counts.astype("<u2" if counts.max(initial=0) < 65536 else "<u4").tobytes()
+    top = counts.max(initial=0)
+    return counts.astype("u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes()
 
 
 def points(cells: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(c, "<u2" if len(c) == 2 * GROUPS else "<u4") for c in cells], np.int64).reshape(-1, GROUPS)
+    """Counts in the narrowest type that holds them all."""
+    if not cells:
+        return np.empty((0, GROUPS), np.uint8)
+    kinds = {GROUPS: "u1", 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}
+    return np.stack([np.frombuffer(c, kinds[len(c)]) for c in cells])
 
 
 class Sections:
@@ -266,7 +271,7 @@ def _bounded(num: int, den: int):
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
                 a, b, na, nb, ca, cb = (part.column(i) for i in range(6))
-                most = np.minimum(points(ca.to_pylist()), points(cb.to_pylist())).sum(1)
+                most = np.minimum(points(ca.to_pylist()), points(cb.to_pylist())).sum(1, dtype=np.int64)
                 sizes = na.to_numpy().astype(np.int64) + nb.to_numpy()
                 keep = pa.array(den * most >= num * (sizes - most))
                 share = pa.array(most / np.maximum(1, sizes))
@@ -321,10 +326,10 @@ def _across(num: int, den: int, best: bool):
                 y, by = leaves[1][j], boxes[1][j]
                 if bx[2] * den < by[1] * num or by[2] * den < bx[1] * num or bx[3] == bx[4] == by[3] == by[4]:
                     continue
-                most = np.minimum(bx[0], by[0]).sum()
+                most = int(np.minimum(bx[0], by[0]).sum(dtype=np.int64))
                 if den * most < num * (bx[1] + by[1] - most):
                     continue
-                most = np.minimum(c[x][:, None, :], c[y][None, :, :]).sum(2)
+                most = np.minimum(c[x][:, None, :], c[y][None, :, :]).sum(2, dtype=np.int32).astype(np.int64)
                 ok = (den * most >= num * (n[x][:, None] + n[y][None, :] - most)) & (comp[x][:, None] != comp[y][None, :])
                 if same and i == j:
                     ok &= np.triu(np.ones(ok.shape, bool), 1)
