@@ -1,30 +1,36 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
-
-Text is read as a sequence of ``CLASSES`` character classes, so that the model knows no
-vocabulary that grows: an n-gram of order ``ORDER`` is a number below ``CLASSES ** ORDER``.
-All trusted documents but every fifth (by hash of the id) are counted: n-grams are summed
-within each task, then by shuffle. Lower orders count the different characters that an
-n-gram follows. Discounts come from counts of counts; counts are joined with the sums of
-their contexts and with the next lower order, and give one table of probabilities and one of
-weights for unseen n-grams.
-
-That table has at most ``CLASSES ** ORDER`` rows of 4 bytes once laid out (64 MB), whatever
-the corpus, so it is broadcast, and documents are scored where they are read. Joining it to
-the n-grams of each document instead would ship hundreds of rows per document.
-
-The held-out fifth gives the thresholds: per language, the ``QUANTILE`` of its perplexities,
+"""Quality by perplexity under interpolated modified Kneser-Ney models of trusted text.
+
+Text is read as words (runs of letters and digits, single other characters, single characters
+of scripts written without blanks), compared by 64 bits of hash, nothing folded. Word n-grams
+of order ``WORDS`` are counted over all trusted documents but every fifth (by hash of the id),
+so the model grows with the corpus. A word's share below the lowest order is its spelling: a
+second model of order ``LETTERS`` over the code points of the distinct trusted words, which
+ends in the same share for every code point.
+
+Nothing of either model is collected but the counts of counts that give the discounts. Lower
+orders count the different symbols that an n-gram follows. Each order's distinct n-grams of
+all documents are joined by shuffle with the counts, with the sums of their contexts and with
+the next lower order; documents, reduced to their distinct n-grams, are joined with the result.
+
+A document's perplexity is per character of its words, plus one for each word's end. The
+held-out fifth gives the thresholds: per language, the ``QUANTILE`` of its perplexities,
 from a histogram of their logarithms, times ``SLACK``. A language with fewer than
 ``LEAST`` held-out documents uses the threshold of all languages together.
 
-Defined cases: a null or empty text has no perplexity and is kept; a null language is a
-language of its own; labels that are null, or that differ for one id, make no document
-trusted; without trusted documents nothing is rejected; repeated rows are judged alike; an
-empty table gives an empty result; extra columns pass through.
+``fit`` and ``score`` are a smaller model over ``CLASSES`` character classes, bounded by
+``CLASSES ** ORDER`` entries and broadcast; no registered query uses it.
+
+Defined cases: a text without words (null, empty, single blanks) has no perplexity and is kept;
+a null language is a language of its own; labels that are null, or that differ for one id, make
+no document trusted; without trusted documents nothing is rejected; repeated rows are judged
+alike; an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import sys
 from collections.abc import Iterator
 
@@ -35,15 +41,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from netweave.llm.common import saved
+from netweave.llm.common import saved, sweep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER, CLASSES, BITS = 4, 64, 6
 QUANTILE, SLACK, LEAST = 0.995, 1.1, 30
+WORDS, LETTERS, POINTS = 3, 5, 0x110001
 FINE = 500
 RUN = 1 << 22
 
+# Scripts without blanks between words; longer words are cut so that no share underflows.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{ALONE}]|(?:(?![{ALONE}])\\w){{1,32}}|[^\\w ]| {{2,32}}")
+START, STOP = "\ufdd0", "\ufdd1"
+
 
 def character_classes() -> np.ndarray:
     """Class of every code point below the table's length; the last entry is for all others."""
@@ -107,15 +119,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
-def trusted(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text, lang, held of the documents whose labels all call them good."""
-    good = labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("good")).where("good >= 1").select("doc_id")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    # Labels grow with the corpus, so their join is a shuffle at any size.
-    return rows.join(good.hint("merge"), "doc_id").withColumn("held", held)
-
-
 class Model:
     """Tables of an n-gram model: ``seen`` (level, gram, p) and ``back`` (level, context, weight)."""
 
@@ -223,25 +226,123 @@ def thresholds(held: DataFrame, quantile: float = QUANTILE, slack: float = SLACK
     return each.unionByName(limits(joint, "all").select(none, "log_limit", F.lit(True).alias("common")))
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[Model, DataFrame]:
-    """The model of the trusted documents, and the thresholds from the held-out ones."""
-    good = trusted(docs, labels, text, lang, doc_id)
-    model = fit(good.where(~F.col("held")))
-    held = score(good.where("held").select("lang", "text"), model)
-    return model, saved(thresholds(held).coalesce(1), "limits")[0]
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents whose labels all call them good."""
+    return labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("good")).where("good >= 1").select("doc_id")
 
 
-def judge(docs: DataFrame, model: Model, limits: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, learn, text to distinct n-grams per text (s1, s2, s3, n, size), and to words with their ids (row null)."""
+    names = ["row", "s1", "s2", "s3", "n", "size", "learn", "word"]
+    for batch in batches:
+        keys, learns = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        for low, texts in _runs(batch.column(2)):
+            found = [WORD.findall(t) for t in texts]
+            count = np.array([len(f) for f in found], np.int64)
+            coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+            code, words = coded.indices.to_numpy().astype(np.int64) + 1, coded.dictionary.to_pylist()
+            ids = np.array([0, *[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little", signed=True) for w in words]], np.int64)
+            sizes = np.array([0, *[len(w) + 1 for w in words]], np.int32)
+            ends, base = np.cumsum(count), len(ids)
+            taught = np.zeros(base, bool)
+            parts = []
+            for i, (a, b) in enumerate(zip(ends - count, ends)):
+                mine = code[a:b]
+                if learns[low + i]:
+                    taught[mine] = True
+                # A pair is numbered within its text, so that a triple fits into 64 bits.
+                pair, place = np.unique(np.r_[0, 0, mine][:-2] * base + np.r_[0, mine][:-1], return_inverse=True)
+                gram, n = np.unique(place * base + mine, return_counts=True)
+                before = pair[gram // base] if len(gram) else gram
+                parts.append((np.full(len(gram), low + i), before // base, before % base, gram % base, n))
+            place, one, two, three, n = (np.concatenate(p).astype(np.int64) for p in zip(*parts))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys[place], pa.int64()), pa.array(ids[one]), pa.array(ids[two]), pa.array(ids[three]), pa.array(n, pa.int64()),
+                pa.array(sizes[three]), pa.array(learns[place].astype(bool)), pa.nulls(len(place), pa.string())], names)
+            none = pa.nulls(base - 1, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                none, none, none, pa.array(ids[1:]), none, pa.array(sizes[1:]), pa.array(taught[1:]), pa.array(words, pa.string())], names)
+
+
+def shares(counts: DataFrame, asked: DataFrame, symbols: list[str], base: DataFrame) -> DataFrame:
+    """``symbols`` and p, the share of the last symbol after the others, of the distinct n-grams ``asked``.
+
+    ``counts``: distinct n-grams of trusted text with n. ``base``: the last symbol and p below the lowest order.
+    """
+    levels = {len(symbols): counts}
+    for k in range(len(symbols) - 1, 0, -1):
+        levels[k], _ = saved(levels[k + 1].groupBy(*symbols[-k:]).agg(F.count("*").alias("n")), "lower-grams")
+    below = base
+    for k in range(1, len(symbols) + 1):
+        gram, context = symbols[-k:], symbols[-k:-1]
+        few = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        of = [max(1, v or 0) for v in levels[k].agg(*few).first()]
+        y = of[0] / (of[0] + 2 * of[1])
+        off = [min(max(i + 1 - (i + 2) * y * of[i + 1] / of[i], 0.05), i + 1.0) for i in range(3)]
+        taken = F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
+        rows = levels[k].select(*gram, "n", taken.alias("off"))
+        sums = (rows.groupBy(*context) if context else rows).agg(F.sum("n").alias("total"), F.sum("off").alias("free"))
+        wanted = asked if k == len(symbols) else asked.select(*gram).distinct()
+        wanted = wanted.join(rows.hint("merge"), gram, "left")
+        if context:
+            wanted = wanted.join(sums.hint("merge"), context, "left").join(below.hint("merge"), symbols[-max(k - 1, 1):])
+        else:
+            one = sums.first()
+            wanted = wanted.join(below.hint("merge"), gram).withColumns({
+                "total": F.lit(one.total).cast("double"), "free": F.lit(one.free).cast("double")})
+        p = F.coalesce((F.col("n") - F.col("off")) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("free") / F.col("total"), F.lit(1.0)) * F.col("p")
+        below, _ = saved(wanted.select(*gram, p.alias("p")), "shares")
+    return below
+
+
+def spelled(words: DataFrame) -> DataFrame:
+    """s3 and p, the share of a word's spelling, of the distinct words (s3, word, learn)."""
+    symbols = [f"c{i}" for i in range(1, LETTERS + 1)]
+    padded = F.concat(F.lit(START * (LETTERS - 1)), F.col("word"), F.lit(STOP))
+    rows = words.select("s3", "learn", padded.alias("w"), F.explode(F.sequence(F.lit(1), F.char_length("word") + 1)).alias("i"))
+    rows, _ = saved(rows.select("s3", "learn", *[F.substring("w", F.col("i") + k, F.lit(1)).alias(c) for k, c in enumerate(symbols)]), "letters")
+    asked = rows.groupBy(*symbols).agg(F.count_if("learn").alias("n"))
+    asked, _ = saved(asked, "letter-grams")
+    base = asked.select(symbols[-1]).distinct().withColumn("p", F.lit(1.0 / POINTS))
+    known = shares(asked.where("n > 0"), asked.select(*symbols), symbols, base)
+    return rows.join(known.hint("merge"), symbols).groupBy("s3").agg(F.exp(F.sum(F.log("p"))).alias("p"))
+
+
+def perplexities(rows: DataFrame) -> DataFrame:
+    """row and _kn_log, the logarithm of the perplexity, of the texts with words of a frame row, learn, text."""
+    kinds = "row long, s1 long, s2 long, s3 long, n long, size int, learn boolean, word string"
+    seen, _ = saved(rows.select("row", "learn", "text").mapInArrow(_word_grams, kinds), "text-grams")
+    words = seen.where("row is null").groupBy("s3").agg(F.min("word").alias("word"), F.max("learn").alias("learn"))
+    base, _ = saved(spelled(words), "spellings")
+    sweep(rows.sparkSession)
+    symbols = [f"s{i}" for i in range(1, WORDS + 1)]
+    texts = seen.where("row is not null")
+    asked, _ = saved(texts.groupBy(*symbols).agg(F.sum(F.when(F.col("learn"), F.col("n")).otherwise(0)).alias("n")), "grams")
+    known = shares(asked.where("n > 0"), asked.select(*symbols), symbols, base)
+    sweep(rows.sparkSession)
+    full = texts.select("row", *symbols, "n", "size").join(known.hint("merge"), symbols)
+    return full.groupBy("row").agg((-F.sum(F.col("n") * F.log("p")) / F.sum(F.col("n") * F.col("size"))).alias("_kn_log"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with _kn_log, _kn_limit and _kn_kept."""
+    row = F.xxhash64(F.col(doc_id), F.col(text))
+    # Labels grow with the corpus, so their join is a shuffle at any size.
+    good = good_ids(labels).withColumn("good", F.lit(True)).hint("merge")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row.alias("row")).join(good, "doc_id", "left")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    scored, _ = saved(perplexities(rows.withColumn("learn", F.coalesce(F.col("good") & ~held, F.lit(False)))), "perplexities")
+    tried = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), row.alias("row")).where(held).join(good, "doc_id")
+    limits, _ = saved(thresholds(tried.join(scored.hint("merge"), "row")).coalesce(1), "limits")
     common = limits.where("common").select("log_limit").first()
     own = limits.where("not common").select(F.col("lang").alias("_kn_lang"), F.col("log_limit").alias("_kn_own"))
-    full = score(docs, model, text).join(own, F.col(lang).eqNullSafe(F.col("_kn_lang")), "left")
+    full = docs.withColumn("_kn_row", row).join(scored.withColumnRenamed("row", "_kn_row").hint("merge"), "_kn_row", "left")
+    full = full.join(own, F.col(lang).eqNullSafe(F.col("_kn_lang")), "left")
     limit = F.coalesce("_kn_own", F.lit(common.log_limit if common else None).cast("double"))
     kept: Column = F.coalesce(F.col("_kn_log") <= limit, F.lit(True))
-    return full.withColumn("_kn_limit", limit).withColumn("_kn_kept", kept).drop("_kn_lang", "_kn_own")
+    return full.withColumn("_kn_limit", limit).withColumn("_kn_kept", kept).drop("_kn_lang", "_kn_own", "_kn_row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose text passes, with all their columns."""
-    model, limits = learn(docs, labels, text, lang, doc_id)
-    return judge(docs, model, limits, text, lang).where("_kn_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs, labels, text, lang, doc_id).where("_kn_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

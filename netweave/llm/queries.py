@@ -243,7 +243,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with their perplexity, their language's threshold and the verdict."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    judged = kneser_ney.judge(docs, *kneser_ney.learn(docs, table(spark, folder, "labels")))
+    judged = kneser_ney.judge(docs, table(spark, folder, "labels"))
     return judged.select("doc_id", F.exp("_kn_log").alias("perplexity"), F.exp("_kn_limit").alias("threshold"), F.col("_kn_kept").alias("kept"))
 
 

@@ -200,6 +200,55 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert kneser_ney.keep_good(docs.limit(0), labels).count() == 0
 
 
+def test_prose_of_other_scripts_and_orders_is_told_apart(spark):
+    rng = random.Random(5)
+    words = ["мир", "дом", "река", "город", "осень", "вечер", "дорога", "человек"]
+    rows = [(i, " ".join(words[(a + k) % 8] for a in [rng.randrange(8)] for k in range(40))) for i in range(400)]
+    letters = "".join(words)
+    junk = [(1000 + i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))) for i in range(20)]
+    shuffled = [(2000 + i, " ".join(rng.choice(words) for _ in range(40))) for i in range(20)]
+    docs = spark.createDataFrame([(*r, "ru") for r in rows + junk + shuffled], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    left = {r.doc_id for r in kneser_ney.keep_good(docs, labels).collect()}
+    assert left == set(range(400))
+
+
+def plain_shares(counts, asked, base):
+    """Interpolated modified Kneser-Ney over tuples, from its definition."""
+    n = len(asked[0])
+    levels = {n: Counter(counts)}
+    for k in range(n - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def p(g):
+        if not g:
+            return base
+        c = levels[len(g)]
+        of = [max(1, sum(v == i for v in c.values())) for i in (1, 2, 3, 4)]
+        y = of[0] / (of[0] + 2 * of[1])
+        off = [0] + [min(max(i - (i + 1) * y * of[i] / of[i - 1], 0.05), i) for i in (1, 2, 3)]
+        mine = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        if not mine:
+            return p(g[1:])
+        return (c[g] - off[min(c[g], 3)] + sum(off[min(v, 3)] for v in mine) * p(g[1:])) / sum(mine)
+
+    return [p(g) for g in asked]
+
+
+def test_shares_match_their_definition(spark):
+    rng = random.Random(6)
+    counts = Counter(tuple(min(rng.randrange(5), rng.randrange(5)) for _ in range(3)) for _ in range(120))
+    asked = [(a, b, c) for a in range(6) for b in range(6) for c in range(6)]
+    names = ["s1", "s2", "s3"]
+    base = spark.createDataFrame([(i, 0.01) for i in range(6)], "s3 long, p double")
+    got = kneser_ney.shares(
+        spark.createDataFrame([(*g, n) for g, n in counts.items()], "s1 long, s2 long, s3 long, n long"),
+        spark.createDataFrame(asked, "s1 long, s2 long, s3 long"), names, base)
+    found = {(r.s1, r.s2, r.s3): r.p for r in got.collect()}
+    assert len(found) == len(asked)
+    assert all(math.isclose(found[g], p, rel_tol=1e-9) for g, p in zip(asked, plain_shares(counts, asked, 0.01)))
+
+
 def test_pipeline_stages_take_effect(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "mix", "pack"]
     docs = spark.read.parquet(f"{small}/documents.parquet")
