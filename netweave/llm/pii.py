@@ -2,11 +2,13 @@
 
 Base finds are leftmost matches of a rule per kind; matches that fail its check drop out.
 They seed a bootstrapped extraction: every identifier-like word (``DIGITS`` digits or more,
-or an ``@`` inside) and every base find is an instance, and the words before and around it
-are its patterns. On the graph of distinct patterns and instances Spark iterates: a pattern
+or an ``@`` inside), every longest run of digit groups parted by blanks on a line, and every
+base find is an instance, and the words before and around it are its patterns. On the graph of distinct patterns and instances Spark iterates: a pattern
 is worth the mean score of its instances for a kind, lowered for small numbers; an
-instance is worth the chance that any of its trusted patterns is right. Instances without a
-base find that score ``ACCEPT`` become finds of that kind where such a pattern holds.
+instance is worth the chance that any of its trusted patterns is right. A pattern can be
+trusted once ``SUPPORT`` of its instances are base finds or score ``ACCEPT``, so finds of a
+round bring patterns into the next. Instances without a base find that score ``ACCEPT``
+become finds of that kind at all their places.
 
 Only identifier-like words leave the texts, pre-summed to distinct pairs, so the graph is
 far smaller than the corpus and no pattern's instances meet in one task.
@@ -44,6 +46,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+GROUP = re.compile(r"[(+]*[0-9](?:[0-9()./-]*[0-9)])?")
+MARKS = ".,;:!?\"'"
 EDGES = ".,;:!?\"'()[]{}<>"
 
 
@@ -102,23 +106,50 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return [f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {after}"]
 
 
+def _grouped(text: str, start: int, end: int) -> tuple[int, int]:
+    """A run of digit groups without brackets that have no partner in it or stand around it."""
+    told = text[start:end]
+    if told[0] == "(" and (")" not in told or told.find(")") == len(told) - 1):
+        start += 1
+    if told[-1] == ")" and ("(" not in told or told.rfind("(") == 0):
+        end -= 1
+    return start, end
+
+
 def candidates(text: str, finds: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like words, without marks around them, that no base find touches."""
+    """Identifier-like words, without marks around them, and runs of digit groups, that no base find touches."""
     if not ANY.search(text):
         return
     reach, k = list(accumulate((f[2] for f in finds), max)), 0
+    run: list[tuple[int, int]] = []
+
+    def closed() -> Iterator[tuple[int, int]]:
+        if len(run) > 1:
+            start, end = _grouped(text, run[0][0], run[-1][1])
+            if end - start <= LONGEST and sum("0" <= c <= "9" for c in text[start:end]) >= DIGITS:
+                yield start, end
+        run.clear()
+
     for m in WORD.finditer(text):
         word = m[0]
-        if "@" not in word and sum("0" <= c <= "9" for c in word) < DIGITS:
-            continue
         while k < len(reach) and reach[k] <= m.start():
             k += 1
-        if k < len(finds) and finds[k][0] < m.end():
+        touched = k < len(finds) and finds[k][0] < m.end()
+        start = m.start() + len(word) - len(word.lstrip(MARKS))
+        end = m.end() - (len(word) - len(word.rstrip(MARKS)))
+        if run and (run[-1][1] < len(text) and text[run[-1][1]] in MARKS or start > m.start() or re.search(r"[\n\r\x0b\x0c]", text[run[-1][1]:m.start()])):
+            yield from closed()
+        if touched or not GROUP.fullmatch(text, start, max(start, end)):
+            yield from closed()
+        else:
+            run.append((start, end))
+        if touched or "@" not in word and sum("0" <= c <= "9" for c in word) < DIGITS:
             continue
         start = m.start() + len(word) - len(word.lstrip(EDGES))
         end = m.end() - (len(word) - len(word.rstrip(EDGES)))
         if 0 < end - start <= LONGEST and not word.startswith("@") and not word.endswith("@"):
             yield start, end
+    yield from closed()
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +182,15 @@ def scores(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust
     unknown = unknown.join(seeds.select("told").distinct(), "told", "left_anti")
     pairs = edges.select("pattern", "told").distinct()
     degree = pairs.groupBy("pattern").agg(F.count("*").alias("degree"))
-    # Only patterns with enough seeds can come to be trusted; the rest drop out first.
-    rooted = edges.where("kind >= 0").select("pattern", "kind", "told").distinct().groupBy("pattern", "kind").agg(
-        F.count("*").alias("seeds")).where(F.col("seeds") >= support).join(degree, "pattern")
-    rooted, _ = saved(rooted, "patterns")
-    known = pairs.join(rooted.select("pattern").distinct(), "pattern", "left_semi")
-    known, _ = saved(known, "pattern-instances")
-    unknown = unknown.join(rooted.select("pattern").distinct(), "pattern", "left_semi")
+    degree, _ = saved(degree, "patterns")
+    pairs, _ = saved(pairs, "pattern-instances")
     held = seeds
     worth = None
     for _ in range(rounds):
-        sums = known.join(held, "told").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
-        worth = rooted.join(sums, ["pattern", "kind"]).select("pattern", "kind", (F.col("sum") / (F.col("degree") + 1)).alias("worth"))
+        # Base finds and accepted instances support a pattern anew in each round.
+        sums = pairs.join(held, "told").groupBy("pattern", "kind").agg(
+            F.sum("score").alias("sum"), F.count_if(F.col("score") >= ACCEPT).alias("support")).where(F.col("support") >= support)
+        worth = degree.join(sums, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("degree") + 1)).alias("worth"))
         worth, _ = saved(worth.where(F.col("worth") >= trust), "pattern-worth")
         wrong = F.sum(F.log(1 - F.col("worth")))
         found = unknown.join(worth, "pattern").groupBy("told", "kind").agg((1 - F.exp(wrong)).alias("score"))
@@ -180,9 +208,9 @@ def find_all(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     seen = scanned.select("doc_id", "row", F.explode("seen").alias("s")).select("doc_id", "row", "s.*")
     places = seen.withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges, _ = saved(places.select("pattern", "told", "kind").distinct(), "pattern-edges")
-    worth, held = scores(edges)
+    _, held = scores(edges)
     best = held.where(F.col("score") >= ACCEPT)
-    new = places.where("kind < 0").drop("kind").join(worth.select("pattern", "kind"), "pattern").join(best.select("told", "kind"), ["told", "kind"])
+    new = seen.where("kind < 0").drop("kind", "patterns").join(best.select("told", "kind"), "told")
     new = new.groupBy("doc_id", "row", "start", "end").agg(F.min("kind").alias("kind"))
     added = new.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     added = added.withColumnRenamed("doc_id", "a_id").withColumnRenamed("row", "a_row")

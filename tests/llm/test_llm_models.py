@@ -129,6 +129,28 @@ def test_contexts_add_unseen_identifiers(spark):
     assert pii.find_all(odd_documents(spark)).count() == 10
 
 
+def test_found_identifiers_bring_new_patterns(spark):
+    edges = [("a", f"seed{i}", 0) for i in range(60)] + [("a", f"new{i}", -1) for i in range(4)]
+    edges += [("b", f"rare{i}", 0) for i in range(3)] + [("b", f"new{i}", -1) for i in range(4)]
+    edges += [("c", f"seed{i}", 0) for i in range(20)] + [("c", f"new{i}", -1) for i in range(4)]
+    worth, _ = pii.scores(spark.createDataFrame(edges, "pattern string, told string, kind int"))
+    assert {r.pattern for r in worth.collect()} == {"a", "b", "c"}
+
+
+def test_accepted_identifiers_are_marked_everywhere(spark):
+    rows = [(i, f"please contact me at user{i}@mail.example.com today") for i in range(30)]
+    rows += [(100, "please contact me at root@localhost today"), (101, "or write root@localhost, maybe")]
+    got = pii.find_all(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [(a.start, a.kind, a.end) for a in r.added] for r in got if r.added} == {100: [(21, 0, 35)], 101: [(9, 0, 23)]}
+
+
+@pytest.mark.parametrize("text,wanted", [
+    ("call (017) 555 7713 now", ["(017) 555 7713"]), ("(017 555 7713).", ["017 555 7713"]), ("in 12 34, 567 8", []),
+    ("at 123456 78.", ["123456", "123456 78"]), ("12 34\n567", []), ("a 1 2 b", []), ("mail +49 30 1234567 x 55 5555", ["55 5555"])])
+def test_digit_groups_are_candidates(text, wanted):
+    assert [text[a:b] for a, b in pii.candidates(text, pii.base_finds(text))] == wanted
+
+
 def plain_model(texts):
     """Interpolated modified Kneser-Ney written from its definition, over tuples."""
     table = kneser_ney.character_classes()
