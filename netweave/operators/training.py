@@ -24,7 +24,7 @@ from netweave.constants import (
     BOOSTING, CLASS_WEIGHTS, CLASSES, SPLIT_SEED, TUNING_FOLDS, TUNING_GRID,
 )
 from netweave.operators.clean import scorable_rows
-from netweave.operators.prep import feature_vector, fit_scaler, with_weight
+from netweave.operators.prep import feature_vector, fit_scaler, ranked, with_weight
 from netweave.session import pinned
 
 
@@ -212,19 +212,23 @@ def boosted_importance(df: DataFrame, features: list[str], rounds: int = 100,
     return _scores(df.sparkSession, features, sum(found) / len(ids))
 
 
-def with_fold(df: DataFrame, key: str, folds: int = TUNING_FOLDS) -> DataFrame:
-    """A fold per row from its shuffle key; every class is spread evenly."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(SPLIT_SEED), F.col(key)), F.lit(folds)).cast("int"))
+def with_fold(df: DataFrame, key: str, label: str = "label_id", folds: int = TUNING_FOLDS) -> DataFrame:
+    """A fold per row; every class is spread evenly to one row, in the order of its hashed shuffle keys."""
+    hashed = df.withColumn("_hash", F.xxhash64(F.lit(SPLIT_SEED), F.col(key)))
+    placed = ranked(hashed, [label, "_hash", key])
+    return placed.withColumn("fold", F.pmod("_rank", F.lit(folds)).cast("int")).drop("_hash", "_rank")
 
 
 def grid_search(df: DataFrame, features: list[str], key: str, grid: dict[str, list] = TUNING_GRID,
                 kind: str = "boosted", folds: int = TUNING_FOLDS, parallelism: int = 4,
-                weights: dict[int, float] = CLASS_WEIGHTS, seed: int = SPLIT_SEED) -> DataFrame:
+                weights: dict[int, float] = CLASS_WEIGHTS, fit_rows: int | None = None, seed: int = SPLIT_SEED) -> DataFrame:
     """Weighted F1 of every combination over the folds; ``is_best`` marks the best.
 
     A forest has no learning rate, so that entry of the grid does not apply to it.
+    ``fit_rows`` bounds the labelled rows.
     """
-    rows = with_fold(with_weight(feature_vector(df, features), weights), key, folds).select(
+    usable = bounded(df, features, fit_rows)
+    rows = with_fold(with_weight(feature_vector(usable, features), weights), key, folds=folds).select(
         "features", "weight", "fold", F.col("label_id").cast("double").alias("target")
     )
     rows = pinned(rows, "fit-rows")

@@ -293,3 +293,28 @@ def test_scalars(spark):
         scalars.looks_like_ipv4(F.lit("10.0.0.256")).alias("g"), scalars.looks_like_ipv4(F.lit("255.1.2.3")).alias("h"),
         scalars.ratio(F.lit(1), F.lit(0)).alias("i")).first()
     assert tuple(row) == ("2025-11-10 08:00:00", None, None, "1h 2m 5s", "1m 1s", "9s", False, True, 0.0)
+
+
+def test_folds_are_stratified(spark):
+    rows = [(i % 50 == 0, 0 if i % 50 else 1 + i % 3, float(i)) for i in range(1000)]
+    df = spark.createDataFrame([(int(a), b, c) for a, b, c in rows], "odd int, label_id int, key double")
+    placed = training.with_fold(df, "key").groupBy("label_id", "fold").count().collect()
+    for label in {r.label_id for r in placed}:
+        sizes = [r["count"] for r in placed if r.label_id == label]
+        assert len(sizes) == constants.TUNING_FOLDS and max(sizes) - min(sizes) <= 1
+
+
+def test_registered_search_takes_the_declared_grid(monkeypatch):
+    from netweave.plans import learning
+
+    told = {}
+
+    def stop(*args, **named):
+        told.update(named)
+        raise InterruptedError
+
+    monkeypatch.setattr(learning, "learnable", lambda *a: None)
+    monkeypatch.setattr(training, "grid_search", stop)
+    with pytest.raises(InterruptedError):
+        learning.grid_search(None, None)
+    assert "grid" not in told and told.get("kind", "boosted") == "boosted" and told["fit_rows"] == learning.FIT_ROWS
