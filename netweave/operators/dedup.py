@@ -42,8 +42,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- step functions over arrays of times -------------------------------------
 
-def _block_steps(times: np.ndarray, start: int, window: int):
-    """For every earliest allowed time below ``start + window``: the last kept time."""
+def _block_steps(times: np.ndarray, start: int, window: int, whole: bool = False):
+    """For every earliest allowed time below ``start + window``: the last kept time.
+
+    A state carried from before these rows may lie inside any block; ``whole`` takes all
+    earliest times for it.
+    """
     n = len(times)
     following = np.searchsorted(times, times + window)
     last = np.where(following < n, following, np.arange(n))
@@ -52,7 +56,7 @@ def _block_steps(times: np.ndarray, start: int, window: int):
         if np.array_equal(further, last):
             break
         last = further
-    entries = min(n, int(np.searchsorted(times, start + window)) + 1)
+    entries = n if whole else min(n, int(np.searchsorted(times, start + window)) + 1)
     return _compact(times[:entries], times[last[:entries]])
 
 
@@ -69,8 +73,13 @@ def _advance(last_kept: np.ndarray, steps, window: int) -> np.ndarray:
     return np.where(at < len(limits), results[np.minimum(at, len(limits) - 1)], last_kept)
 
 
-def _chain_steps(parts: list, window: int):
+def _chain_steps(parts: list, window: int, whole: bool = False):
     """The step function of several neighbouring blocks, in time order."""
+    if whole:
+        ends = [results for _, results in parts]
+        for i, steps in enumerate(parts):
+            ends[:i] = [_advance(e, steps, window) for e in ends[:i]]
+        return _compact(np.concatenate([limits for limits, _ in parts]), np.concatenate(ends))
     limits, results = parts[0]
     for steps in parts[1:]:
         results = _advance(results, steps, window)
@@ -128,7 +137,7 @@ def _children(column):
         ]
 
 
-def _leaf_mapper(keys: list[str], window: int):
+def _leaf_mapper(keys: list[str], window: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -137,7 +146,7 @@ def _leaf_mapper(keys: list[str], window: int):
             times = rows.field("t").to_numpy(zero_copy_only=False)
             starts = batch.column("node").to_numpy() * (BLOCK_WINDOWS * window)
             steps = [
-                _block_steps(times[a:b], s, window)
+                _block_steps(times[a:b], s, window, whole)
                 for a, b, s in zip(offsets[:-1], offsets[1:], starts)
             ]
             yield _with_columns(batch, [*keys, "node"], {
@@ -147,13 +156,13 @@ def _leaf_mapper(keys: list[str], window: int):
     return run
 
 
-def _chain_mapper(keys: list[str], window: int):
+def _chain_mapper(keys: list[str], window: int, whole: bool):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             steps = [
-                _chain_steps([s for _, s in parts], window)
+                _chain_steps([s for _, s in parts], window, whole)
                 for parts in _children(batch.column("children"))
             ]
             yield _with_columns(batch, [*keys, "node"], {
@@ -249,13 +258,14 @@ def kept_moments(df: DataFrame, keys: list[str], time: str, tie: str,
             F.sort_array(F.collect_list(F.struct("node", "limits", "results"))).alias("children")
         )
 
-    nodes = leaves.mapInArrow(_leaf_mapper(keys, window_us), step_schema)
+    carried = previous is not None
+    nodes = leaves.mapInArrow(_leaf_mapper(keys, window_us, carried), step_schema)
     gathered = []
     for _ in range(levels):
         parent = nodes.withColumn("parent", F.floor(F.col("node") / FAN).cast("long"))
         groups = gather(parent, "parent").withColumnRenamed("parent", "node")
         gathered.append(groups)
-        nodes = groups.mapInArrow(_chain_mapper(keys, window_us), step_schema)
+        nodes = groups.mapInArrow(_chain_mapper(keys, window_us, carried), step_schema)
 
     top = gather(nodes)
     if previous is None:

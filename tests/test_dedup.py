@@ -55,6 +55,17 @@ def test_goes_on_from_an_earlier_state(spark):
     assert run(spark, rows, 60, previous=state) == walk(rows, 60, {"a": 20})
 
 
+@pytest.mark.parametrize("levels", [0, 1, 2])
+@pytest.mark.parametrize("window", [10, 61])
+def test_goes_on_from_a_state_inside_any_block(spark, levels, window):
+    rnd = random.Random(window + levels)
+    keys = [f"k{i}" for i in range(40)]
+    rows = [(rnd.choice(keys), rnd.randrange(0, 40 * window), i) for i in range(3000)]
+    state = {k: rnd.randrange(-window, 30 * window) for k in keys[:35]}
+    given = spark.createDataFrame(list(state.items()), "k string, last_kept long")
+    assert run(spark, rows, window, levels=levels, previous=given) == walk(rows, window, state)
+
+
 def test_empty_input(spark):
     assert run(spark, [], 60) == set()
 
