@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, embed_dedup, kneser_ney, line_dedup, mixing, ngram_join, packing, pii, rules, suffix_dedup
+from netweave.llm import (
+    chat, embed_dedup, kneser_ney, line_dedup, merkle, mixing, ngram_join, packing, pii, resample, rules, suffix_dedup, suffix_tree,
+)
 from netweave.llm.common import saved, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -263,3 +265,85 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[number(k) for k in range(len(pii.KINDS))], F.sha2(told(F.col("finds")), 256).alias("base_sha256"),
         told(F.sort_array(F.concat("finds", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query("op11_suffix_tree_scoring")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored by the suffix tree of those that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    found = suffix_tree.score_texts(docs, ~held)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents weighed against the benchmark, a twentieth of the longer ones drawn."""
+    docs, wanted = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return resample.resample(docs, wanted, 5, 100).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+MANIFEST_SQL = r"""
+with recursive told as (
+  select doc_id, source, text, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head
+  from documents),
+leafed as (
+  select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+         sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) as folded,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+             lambda x, i: xor(x >> 1, (x & 1) * 3988292384::bigint))), 4294967295::bigint) % 5 = 0 as tampered
+  from told),
+placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx,
+         count(*) over (partition by source) as n from leafed),
+nodes as (
+  select source, 0 as lvl, idx, leaf as h, n from placed
+  union all
+  select source, lvl + 1, idx // 16, sha256(string_agg(h, '' order by idx)), (any_value(n) + 15) // 16
+  from nodes where n > 1 group by source, lvl, idx // 16),
+subs as (select source, h, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as n from nodes where n = 1),
+heads as (
+  select 0 as lvl, idx, h, n from subs
+  union all
+  select lvl + 1, idx // 16, sha256(string_agg(h, '' order by idx)), (any_value(n) + 15) // 16
+  from heads where n > 1 group by lvl, idx // 16),
+beside as (
+  select p.doc_id, p.source, n.lvl, n.idx, n.h from placed p join nodes n on p.source is not distinct from n.source
+    and n.n > 1 and n.idx // 16 = p.idx // (16 ** (n.lvl + 1))::bigint and n.idx <> p.idx // (16 ** n.lvl)::bigint
+  union all
+  select p.doc_id, p.source, 1000 + t.lvl, t.idx, t.h from placed p join subs s on p.source is not distinct from s.source
+    join heads t on t.n > 1 and t.idx // 16 = s.idx // (16 ** (t.lvl + 1))::bigint and t.idx <> s.idx // (16 ** t.lvl)::bigint),
+proofs as (select doc_id, source, sha256(string_agg(h, '' order by lvl, idx)) as proof from beside group by doc_id, source),
+climb as (
+  select doc_id, source, 0 as lvl, idx, n, case when tampered then folded else leaf end as h from placed
+  union all
+  select c.doc_id, c.source, c.lvl + 1, c.idx // 16, (any_value(c.n) + 15) // 16,
+         sha256(string_agg(case when x.idx = c.idx then c.h else x.h end, '' order by x.idx))
+  from climb c join nodes x on c.source is not distinct from x.source and c.lvl = x.lvl and c.idx // 16 = x.idx // 16
+  where c.n > 1 group by c.doc_id, c.source, c.lvl, c.idx),
+arrived as (select c.doc_id, c.source, s.idx, s.n, c.h from climb c join subs s on c.source is not distinct from s.source where c.n = 1),
+rise as (
+  select doc_id, source, 0 as lvl, idx, n, h from arrived
+  union all
+  select c.doc_id, c.source, c.lvl + 1, c.idx // 16, (any_value(c.n) + 15) // 16,
+         sha256(string_agg(case when x.idx = c.idx then c.h else x.h end, '' order by x.idx))
+  from rise c join heads x on c.lvl = x.lvl and c.idx // 16 = x.idx // 16
+  where c.n > 1 group by c.doc_id, c.source, c.lvl, c.idx)
+select p.doc_id, p.leaf, s.h as subroot, r.h as root, coalesce(f.proof, sha256('')) as proof_sha256, e.h as folded_root, e.h = r.h as verified
+from placed p join subs s on p.source is not distinct from s.source
+  join (select h from heads where n = 1) r on true
+  join (select * from rise where n = 1) e on p.doc_id is not distinct from e.doc_id and p.source is not distinct from e.source
+  left join proofs f on p.doc_id is not distinct from f.doc_id and p.source is not distinct from f.source
+"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents; every fifth, by hash, folded from a changed text."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    found = merkle.manifest(docs, tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
