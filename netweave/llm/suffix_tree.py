@@ -42,7 +42,7 @@ from netweave.llm.common import discard, saved, sweep
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEPTH, LEAST = 3, 8
-BLOCK, SHARD, TEXTS = 1 << 21, 1 << 21, 1 << 23
+BLOCK, SHARD, TEXTS = 3 << 19, 3 << 19, 1 << 22
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 BLOCKS = "block long, ids array<long>, sizes array<int>, learn array<boolean>, words binary, codes binary, tokens long, trained long"
@@ -151,7 +151,7 @@ class _Block:
         self.learn = one["learn"].values.to_numpy(zero_copy_only=False).astype(bool)
         words = _unpack(one["words"].as_py(), np.uint64)[_unpack(one["codes"].as_py(), np.int32)]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.age = np.arange(len(words)) - np.repeat(self.starts, self.sizes)
+        self.age = np.arange(len(words), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.sizes)
         self.taught = np.repeat(self.learn, self.sizes)
         self.grams = [words]
         self.counts: list[np.ndarray] = []
@@ -345,11 +345,13 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str
         asked = together(_ask_counts(rounds, shards, least), ASKED)
         answers, _ = saved(asked.groupBy("shard").applyInArrow(_merged(len(rounds) - 1, None), TOLD), "answers")
         told = told.unionByName(answers)
+        del asked  # its shuffle files go with it
         sweep(spark)
     asked, path = saved(together(_ask_contexts(rounds, shards, depth, least, total), ASKED), "contexts")
     kinds = asked.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
     answers, _ = saved(asked.groupBy("shard").applyInArrow(_merged(len(rounds), total), TOLD), "answers")
     told = told.unionByName(answers)
     discard(spark, path)
+    del asked
     sweep(spark)
     return together(_scores(rounds, depth, least, total, kinds), SCORED).withColumn("train_tokens", F.lit(total).cast("long"))
