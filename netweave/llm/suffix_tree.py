@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import struct
 import sys
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -323,6 +324,13 @@ def _scores(rounds: list[list[int]], depth: int, least: int, total: int, kinds:
     return run
 
 
+def _clear(spark) -> None:
+    """Let shuffle files that are done with go; what one collection frees holds on to what the next one does."""
+    for _ in range(2):
+        sweep(spark)
+        time.sleep(1)
+
+
 def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id",
                 depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, base_score, score and train_tokens of every row.
@@ -346,12 +354,12 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str
         answers, _ = saved(asked.groupBy("shard").applyInArrow(_merged(len(rounds) - 1, None), TOLD), "answers")
         told = told.unionByName(answers)
         del asked  # its shuffle files go with it
-        sweep(spark)
+        _clear(spark)
     asked, path = saved(together(_ask_contexts(rounds, shards, depth, least, total), ASKED), "contexts")
     kinds = asked.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
     answers, _ = saved(asked.groupBy("shard").applyInArrow(_merged(len(rounds), total), TOLD), "answers")
     told = told.unionByName(answers)
     discard(spark, path)
     del asked
-    sweep(spark)
+    _clear(spark)
     return together(_scores(rounds, depth, least, total, kinds), SCORED).withColumn("train_tokens", F.lit(total).cast("long"))
