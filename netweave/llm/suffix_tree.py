@@ -38,17 +38,17 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import discard, saved, sweep
+from netweave.llm.common import saved, sweep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DEPTH, LEAST = 3, 8
-BLOCK, SHARD, TEXTS = 3 << 19, 3 << 19, 1 << 22
+DEPTH, LEAST = 2, 8
+BLOCK, SHARD, TEXTS = 1 << 20, 1 << 20, 1 << 22
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 BLOCKS = "block long, ids array<long>, sizes array<int>, learn array<boolean>, words binary, codes binary, tokens long, trained long"
 ASKED = "block long, shard long, keys binary, first binary, second binary, extra long"
-TOLD = "block long, shard long, reply binary, round int"
+TOLD = "block long, shard long, reply binary, round int, extra long"
 SCORED = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -258,7 +258,7 @@ def _ask_contexts(rounds: list[list[int]], shards: int, depth: int, least: int,
     def run(row: pa.Table, told: pa.Table) -> pa.Table:
         block, _ = _informed(row, told, rounds, least)
         keys, where, place = block.contexts(depth, least)
-        kinds, apart, low = np.zeros(len(keys), np.int64), np.zeros(len(keys)), 0
+        kinds, apart, low = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.float32), 0
         for k, at in zip(range(1, depth + 1), where):
             mine = place[low:low + len(at)]
             low += len(at)
@@ -270,7 +270,7 @@ def _ask_contexts(rounds: list[list[int]], shards: int, depth: int, least: int,
             with np.errstate(divide="ignore"):
                 gain = n * np.log((n / all_n) / (base_n / base_all))
             kinds += np.bincount(mine[one], minlength=len(keys))
-            apart += np.bincount(mine[one], weights=gain, minlength=len(keys))
+            apart += np.bincount(mine[one], weights=gain, minlength=len(keys)).astype(np.float32)
         words = np.unique(block.grams[0][block.owned[0] & (block.counts[0] > 0) & (block.age > 0)])
         return _dealt(block.number, shards, keys, kinds.astype(np.uint32), apart, len(words))
     return run
@@ -290,13 +290,14 @@ def _merged(number: int, total: int | None):
             having = np.flatnonzero(first > 0)
             reply[having[np.unique(place[having], return_index=True)[1]]] |= 1
         else:
-            second = np.concatenate([_unpack(v, np.float64) for v in table.column("second").to_pylist()])
+            second = np.concatenate([_unpack(v, np.float32) for v in table.column("second").to_pylist()])
             apart = np.bincount(place, weights=second, minlength=len(unique))
             reply = np.where(apart >= 0.5 * np.log(max(total, 1)) * sums, sums, 0)[place]
         blobs = [_pack(r) for r in np.split(reply, cuts[:-1])]
         return pa.Table.from_arrays([
             table.column("block"), table.column("shard"), pa.array(blobs, pa.binary()), pa.array([number] * len(blobs), pa.int32()),
-        ], ["block", "shard", "reply", "round"])
+            table.column("extra"),
+        ], ["block", "shard", "reply", "round", "extra"])
     return run
 
 
@@ -355,11 +356,10 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str
         told = told.unionByName(answers)
         del asked  # its shuffle files go with it
         _clear(spark)
-    asked, path = saved(together(_ask_contexts(rounds, shards, depth, least, total), ASKED), "contexts")
-    kinds = asked.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
+    asked = together(_ask_contexts(rounds, shards, depth, least, total), ASKED)
     answers, _ = saved(asked.groupBy("shard").applyInArrow(_merged(len(rounds), total), TOLD), "answers")
+    kinds = answers.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
     told = told.unionByName(answers)
-    discard(spark, path)
     del asked
     _clear(spark)
     return together(_scores(rounds, depth, least, total, kinds), SCORED).withColumn("train_tokens", F.lit(total).cast("long"))
