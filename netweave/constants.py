@@ -108,7 +108,7 @@ VALIDATION_SHARE = 0.1
 SPLIT_SEED = 42
 SMOTE_NEIGHBOURS = 3
 BOOSTING = {"max_depth": 6, "learning_rate": 0.1, "rounds": 200, "subsample": 0.8,
-            "column_sample": 0.8}
+            "column_sample": 0.8, "gamma": 0.1, "alpha": 0.1, "ridge": 1.0, "patience": 10}
 TUNING_GRID = {
     "n_estimators": [100, 200],
     "max_depth": [5, 7, 10],

@@ -5,24 +5,19 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, OneVsRest, RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.constants import (
     BOOSTING, CLASS_WEIGHTS, CLASSES, SPLIT_SEED, TUNING_FOLDS, TUNING_GRID,
 )
+from netweave.operators.boosting import BoostedClassifier, Booster, Fit, boost, boosting_rows
 from netweave.operators.clean import scorable_rows
 from netweave.operators.prep import feature_vector, fit_scaler, ranked, with_weight
 from netweave.session import pinned
@@ -41,7 +36,7 @@ def scaling_stage(features: list[str], scaler: dict[str, tuple[float, float]]) -
 
 @dataclass
 class Classifier:
-    """A fitted classifier: one forest, or one boosted model per class."""
+    """A fitted forest with its scaling."""
 
     kind: str
     features: list[str]
@@ -53,20 +48,10 @@ class Classifier:
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``probabilities``, ``attack_type`` and ``confidence``; ties go to the first class."""
         ready = self.prepare.transform(df)
-        if self.kind == "forest":
-            out = self.members[0].transform(ready)
-            out = out.withColumn("probabilities", vector_to_array("probability")).drop(
-                "rawPrediction", "probability", "prediction"
-            )
-        else:
-            out = ready
-            for i, member in enumerate(self.members):
-                out = member.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop(
-                    "rawPrediction", "probability", "prediction"
-                )
-            names = [f"_p{i}" for i in range(len(self.members))]
-            total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-            out = out.withColumn("probabilities", F.array(*[F.col(n) / total for n in names])).drop(*names)
+        out = self.members[0].transform(ready)
+        out = out.withColumn("probabilities", vector_to_array("probability")).drop(
+            "rawPrediction", "probability", "prediction"
+        )
         best = F.array_max("probabilities")
         names = F.array(*[F.lit(self.classes[i]) for i in self.label_ids])
         return out.withColumns({
@@ -91,14 +76,14 @@ class Classifier:
         ).text(f"{path}/info")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "Classifier":
+    def load(spark: SparkSession, path: str) -> Classifier | BoostedClassifier:
+        """The classifier saved at ``path``, of whichever kind."""
         info = json.loads(spark.read.text(f"{path}/info").first()[0])
-        forest = info["kind"] == "forest"
-        model = RandomForestClassificationModel if forest else GBTClassificationModel
-        count = 1 if forest else len(info["label_ids"])
+        if info["kind"] == "boosted":
+            return BoostedClassifier.load(spark, path)
         return Classifier(
             info["kind"], info["features"], PipelineModel.load(f"{path}/prepare"),
-            [model.load(f"{path}/member-{i}") for i in range(count)], info["label_ids"], info["classes"],
+            [RandomForestClassificationModel.load(f"{path}/member-0")], info["label_ids"], info["classes"],
         )
 
 
@@ -129,47 +114,44 @@ def bounded(df: DataFrame, columns: list[str], most: int | None) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
 
 
+def _numbered(ids: list[int]) -> Column:
+    """0, 1, .. for the class ids that occur."""
+    return F.element_at(F.create_map(*[F.lit(v) for p in enumerate(ids) for v in reversed(p)]), F.col("label_id"))
+
+
 def train(df: DataFrame, features: list[str], kind: str = "forest", rounds: int = BOOSTING["rounds"],
           depth: int = BOOSTING["max_depth"], rate: float = BOOSTING["learning_rate"],
           subsample: float = BOOSTING["subsample"], part: str | None = "part",
           columns: float = BOOSTING["column_sample"], weights: dict[int, float] = CLASS_WEIGHTS,
-          fit_rows: int | None = None, seed: int = SPLIT_SEED) -> Classifier:
-    """Fit on the rows of ``part`` = train; boosting stops early on its validation rows.
+          fit_rows: int | None = None, seed: int = SPLIT_SEED, patience: int | None = BOOSTING["patience"]) -> Classifier | BoostedClassifier:
+    """Fit on the rows of ``part`` = train.
 
-    ``fit_rows`` bounds the labelled rows of the fit. The classes' boosted models are
-    fitted side by side.
+    Boosting stops after ``patience`` rounds without a lower loss on the validation rows and
+    keeps the rounds up to the lowest. ``fit_rows`` bounds the labelled rows of the fit.
     """
     fitting = df.where(F.col(part) == "train") if part else df
-    scaler = fit_scaler(fitting, features)
-    prepare = scaling_stage(features, scaler)
     ids = _present(fitting)
-    order = {old: new for new, old in enumerate(ids)}
-    number = F.element_at(F.create_map(*[F.lit(v) for p in order.items() for v in p]), F.col("label_id"))
     usable = bounded(df.where(F.col(part).isin("train", "validation")) if part else df, features, fit_rows)
+    held = F.col(part) == "validation" if part else F.lit(False)
+    if kind == "boosted":
+        known = with_weight(usable.where(F.col("label_id").isin(ids)), weights)
+        rows = pinned(boosting_rows(known, features, _numbered(ids), F.col("weight"), held), "fit-rows")
+        fit = Fit(1, depth, rate, subsample, columns, BOOSTING["gamma"], BOOSTING["alpha"], BOOSTING["ridge"])
+        booster = Booster(rows, features, [fit], len(ids), seed=seed)
+        boost(booster, rounds, patience if part else None)
+        booster.close()
+        grown = booster.grown[0]
+        return BoostedClassifier(features, booster.thresholds(0, grown.best()), ids, grown.losses)
+    prepare = scaling_stage(features, fit_scaler(fitting, features))
     rows = with_weight(prepare.transform(usable), weights).select(
-        "features", "weight", number.cast("double").alias("target"),
-        (F.col(part) == "validation" if part else F.lit(False)).alias("held"),
-    )
+        "features", "weight", _numbered(ids).cast("double").alias("target"), held.alias("held"))
     # Fitting reads its rows many times over; they are prepared once.
     rows = pinned(rows, "fit-rows")
-    if kind == "forest":
-        model = RandomForestClassifier(
-            featuresCol="features", labelCol="target", weightCol="weight", numTrees=rounds,
-            maxDepth=depth, subsamplingRate=subsample, seed=seed,
-        ).fit(rows.where(~F.col("held")))
-        return Classifier(kind, features, prepare, [model], ids)
-    def fit(i: int):
-        booster = GBTClassifier(
-            featuresCol="features", labelCol="target", weightCol="weight", maxIter=rounds,
-            maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(columns), seed=seed,
-        )
-        if part:
-            booster = booster.setValidationIndicatorCol("held")
-        return booster.fit(rows.withColumn("target", (F.col("target") == i).cast("double")))
-
-    with ThreadPool(len(ids)) as pool:
-        members = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(len(ids)))
-    return Classifier(kind, features, prepare, members, ids)
+    model = RandomForestClassifier(
+        featuresCol="features", labelCol="target", weightCol="weight", numTrees=rounds,
+        maxDepth=depth, subsamplingRate=subsample, seed=seed,
+    ).fit(rows.where(~F.col("held")))
+    return Classifier(kind, features, prepare, [model], ids)
 
 
 def _scores(spark: SparkSession, features: list[str], values) -> DataFrame:
@@ -195,21 +177,9 @@ def forest_importance(df: DataFrame, features: list[str], trees: int = 100, dept
 def boosted_importance(df: DataFrame, features: list[str], rounds: int = 100,
                        depth: int = BOOSTING["max_depth"], seed: int = SPLIT_SEED,
                        weights: dict[int, float] = CLASS_WEIGHTS, fit_rows: int | None = None) -> DataFrame:
-    """Mean importances of one boosted model per class; works with classes absent."""
-    rows = with_weight(feature_vector(bounded(df, features, fit_rows), features), weights).select("features", "weight", "label_id")
-    rows = pinned(rows, "fit-rows")
-    ids = _present(rows)
-
-    def importances(i: int):
-        model = GBTClassifier(featuresCol="features", labelCol="target", weightCol="weight", maxIter=rounds,
-                              maxDepth=depth, stepSize=BOOSTING["learning_rate"],
-                              subsamplingRate=BOOSTING["subsample"],
-                              featureSubsetStrategy=str(BOOSTING["column_sample"]), seed=seed)
-        return model.fit(rows.withColumn("target", (F.col("label_id") == i).cast("double"))).featureImportances.toArray()
-
-    with ThreadPool(len(ids)) as pool:
-        found = pool.map(inheritable_thread_target(df.sparkSession)(importances), ids)
-    return _scores(df.sparkSession, features, sum(found) / len(ids))
+    """Mean gain per split of a boosted model of all rows, as shares of one; works with classes absent."""
+    model = train(df, features, "boosted", rounds, depth, part=None, weights=weights, fit_rows=fit_rows, seed=seed)
+    return _scores(df.sparkSession, features, model.importances())
 
 
 def with_fold(df: DataFrame, key: str, label: str = "label_id", folds: int = TUNING_FOLDS) -> DataFrame:
@@ -219,44 +189,45 @@ def with_fold(df: DataFrame, key: str, label: str = "label_id", folds: int = TUN
     return placed.withColumn("fold", F.pmod("_rank", F.lit(folds)).cast("int")).drop("_hash", "_rank")
 
 
+def weighted_f1(matrix: np.ndarray) -> float:
+    """F1 of each class weighted by its rows; a class that is never hit has 0. Rows are the truth."""
+    hit, truth, taken = np.diag(matrix), matrix.sum(axis=1), matrix.sum(axis=0)
+    each = np.divide(2.0 * hit, truth + taken, out=np.zeros(len(hit)), where=truth + taken > 0)
+    return float((each * truth).sum() / truth.sum())
+
+
 def grid_search(df: DataFrame, features: list[str], key: str, grid: dict[str, list] = TUNING_GRID,
-                kind: str = "boosted", folds: int = TUNING_FOLDS, parallelism: int = 4,
-                weights: dict[int, float] = CLASS_WEIGHTS, fit_rows: int | None = None, seed: int = SPLIT_SEED) -> DataFrame:
-    """Weighted F1 of every combination over the folds; ``is_best`` marks the best.
+                folds: int = TUNING_FOLDS, weights: dict[int, float] = CLASS_WEIGHTS, fit_rows: int | None = None,
+                seed: int = SPLIT_SEED) -> DataFrame:
+    """Weighted F1 of every combination over the folds; ``is_best`` marks the first of the best.
 
-    A forest has no learning rate, so that entry of the grid does not apply to it.
-    ``fit_rows`` bounds the labelled rows.
+    All combinations and folds are boosted together, and those that differ in ``n_estimators`` alone are one
+    fit looked at after as many rounds. ``fit_rows`` bounds the labelled rows.
     """
     usable = bounded(df, features, fit_rows)
-    rows = with_fold(with_weight(feature_vector(usable, features), weights), key, folds=folds).select(
-        "features", "weight", "fold", F.col("label_id").cast("double").alias("target")
-    )
-    rows = pinned(rows, "fit-rows")
-    columns = dict(featuresCol="features", labelCol="target", weightCol="weight")
-    if kind == "forest":
-        model = estimator = RandomForestClassifier(seed=seed, **columns)
-        names = {"n_estimators": model.numTrees, "max_depth": model.maxDepth,
-                 "subsample": model.subsamplingRate, "colsample_bytree": model.featureSubsetStrategy}
-    else:
-        model = GBTClassifier(seed=seed, **columns)
-        names = {"n_estimators": model.maxIter, "max_depth": model.maxDepth, "learning_rate": model.stepSize,
-                 "subsample": model.subsamplingRate, "colsample_bytree": model.featureSubsetStrategy}
-        estimator = OneVsRest(classifier=model, **columns)
-    used = [n for n in grid if n in names]
-    builder = ParamGridBuilder()
-    for name in used:
-        values = [str(v) for v in grid[name]] if name == "colsample_bytree" else grid[name]
-        builder = builder.addGrid(names[name], values)
-    maps = builder.build()
-    judge = MulticlassClassificationEvaluator(labelCol="target", predictionCol="prediction", metricName="f1")
-    fitted = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds,
-                            foldCol="fold", parallelism=parallelism, seed=seed).fit(rows)
-    best = max(fitted.avgMetrics)
-    table = [
-        (json.dumps({n: m[names[n]] for n in used}), float(f1), bool(f1 == best))
-        for m, f1 in zip(maps, fitted.avgMetrics)
-    ]
-    return df.sparkSession.createDataFrame(table, "parameters string, mean_f1 double, is_best boolean")
+    ids = _present(usable)
+    rows = with_fold(with_weight(usable, weights), key, folds=folds)
+    rows = pinned(boosting_rows(rows, features, _numbered(ids), F.col("weight"), F.col("fold")), "fit-rows")
+    others = [n for n in grid if n != "n_estimators"]
+    chosen = [dict(zip(others, values)) for values in product(*[grid[n] for n in others])]
+    fits = [
+        Fit(fold, c["max_depth"], c["learning_rate"], c["subsample"], c["colsample_bytree"]) for c in chosen for fold in range(folds)]
+    booster = Booster(rows, features, fits, len(ids), seed=seed, kept=False)
+    found: dict[tuple[int, int], list[float]] = {}
+    for length in sorted(grid["n_estimators"]):
+        boost(booster, length, None)
+        for m, matrix in booster.tally(list(booster.fits)).items():
+            if matrix.sum():
+                found.setdefault((length, m // folds), []).append(weighted_f1(matrix))
+    booster.close()
+    table = []
+    for values in product(*grid.values()):
+        one = dict(zip(grid, values))
+        scores = found[one["n_estimators"], chosen.index({n: one[n] for n in others})]
+        table.append((json.dumps(one), sum(scores) / len(scores)))
+    best = max(range(len(table)), key=lambda i: table[i][1])
+    marked = [(*row, i == best) for i, row in enumerate(table)]
+    return df.sparkSession.createDataFrame(marked, "parameters string, mean_f1 double, is_best boolean")
 
 
 def combinations(grid: dict[str, list] = TUNING_GRID) -> int:

@@ -272,7 +272,7 @@ def test_classifiers_learn_and_survive_saving(spark, small):
     from netweave.sources.views import FLOW_NUMERIC
 
     rows = split(learnable(spark, small)).cache()
-    for kind, rounds in (("forest", 20), ("boosted", 5)):
+    for kind, rounds in (("forest", 20), ("boosted", 12)):
         model = training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, depth=6, subsample=1.0)
         test = model.score(rows.where("part = 'test'"))
         good = test.where("label = attack_type").count() / test.count()
@@ -314,7 +314,8 @@ def test_registered_search_takes_the_declared_grid(monkeypatch):
         raise InterruptedError
 
     monkeypatch.setattr(learning, "learnable", lambda *a: None)
+    monkeypatch.setattr(learning, "prepared", lambda *a: a[-1]())
     monkeypatch.setattr(training, "grid_search", stop)
     with pytest.raises(InterruptedError):
         learning.grid_search(None, None)
-    assert "grid" not in told and told.get("kind", "boosted") == "boosted" and told["fit_rows"] == learning.FIT_ROWS
+    assert "grid" not in told and told["fit_rows"] == learning.GRID_ROWS
