@@ -42,7 +42,7 @@ from netweave.session import pinned
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BINS, CHUNK, FINISH, WRITE_ROUNDS, FAN = 64, 1 << 15, 1 << 15, 25, 32
+BINS, CHUNK, FINISH, WRITE_ROUNDS, FAN = 64, 1 << 15, 1 << 15, 20, 32
 STEP = float(1 << 24)
 
 CHUNKS = "part long, n int, bins binary, target binary, weight binary, held binary, draw binary, margins binary, losses array<double>"
@@ -560,9 +560,9 @@ class Booster:
         return [[told(tree) for tree in of] for of in self.grown[m].trees[:rounds]]
 
 
-def boost(booster: Booster, rounds: int, patience: int | None) -> None:
-    """Rounds for all models until ``rounds``, or ``patience`` of them without a lower loss on held rows."""
-    live = list(booster.fits)
+def boost(booster: Booster, rounds: int, patience: int | None, live: list[int] | None = None) -> None:
+    """Rounds for the ``live`` models (all) until ``rounds``, or ``patience`` of them without a lower loss on held rows."""
+    live = list(booster.fits) if live is None else live
     if patience is not None:
         booster.measure(live)
     while booster.number < rounds and live:

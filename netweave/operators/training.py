@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from netweave.constants import (
     BOOSTING, CLASS_WEIGHTS, CLASSES, SPLIT_SEED, TUNING_FOLDS, TUNING_GRID,
 )
-from netweave.operators.boosting import BoostedClassifier, Booster, Fit, boost, boosting_rows
+from netweave.operators.boosting import BINS, BoostedClassifier, Booster, Fit, boost, boosting_rows
 from netweave.operators.clean import scorable_rows
 from netweave.operators.prep import feature_vector, fit_scaler, ranked, with_weight
 from netweave.session import pinned
@@ -198,11 +198,13 @@ def weighted_f1(matrix: np.ndarray) -> float:
 
 def grid_search(df: DataFrame, features: list[str], key: str, grid: dict[str, list] = TUNING_GRID,
                 folds: int = TUNING_FOLDS, weights: dict[int, float] = CLASS_WEIGHTS, fit_rows: int | None = None,
-                seed: int = SPLIT_SEED) -> DataFrame:
+                seed: int = SPLIT_SEED, bins: int = BINS, halve_at: tuple[int, ...] = ()) -> DataFrame:
     """Weighted F1 of every combination over the folds; ``is_best`` marks the first of the best.
 
     All combinations and folds are boosted together, and those that differ in ``n_estimators`` alone are one
-    fit looked at after as many rounds. ``fit_rows`` bounds the labelled rows.
+    fit looked at after as many rounds. ``fit_rows`` bounds the labelled rows. After each number of rounds in
+    ``halve_at`` only the better half of the fits goes on; the others keep the F1 they had, ``rounds``
+    tells after how many, and none of them is the best.
     """
     usable = bounded(df, features, fit_rows)
     ids = _present(usable)
@@ -212,22 +214,27 @@ def grid_search(df: DataFrame, features: list[str], key: str, grid: dict[str, li
     chosen = [dict(zip(others, values)) for values in product(*[grid[n] for n in others])]
     fits = [
         Fit(fold, c["max_depth"], c["learning_rate"], c["subsample"], c["colsample_bytree"]) for c in chosen for fold in range(folds)]
-    booster = Booster(rows, features, fits, len(ids), seed=seed, kept=False)
-    found: dict[tuple[int, int], list[float]] = {}
-    for length in sorted(grid["n_estimators"]):
-        boost(booster, length, None)
-        for m, matrix in booster.tally(list(booster.fits)).items():
-            if matrix.sum():
-                found.setdefault((length, m // folds), []).append(weighted_f1(matrix))
+    booster = Booster(rows, features, fits, len(ids), bins, seed=seed, kept=False)
+    live, reached = list(range(len(chosen))), {}
+    for stop in sorted({*grid["n_estimators"], *halve_at}):
+        models = [i * folds + fold for i in live for fold in range(folds)]
+        boost(booster, stop, None, models)
+        matrices = booster.tally(models)
+        for i in live:
+            scores = [weighted_f1(matrices[m]) for m in range(i * folds, (i + 1) * folds) if matrices[m].sum()]
+            reached[i, stop] = sum(scores) / len(scores)
+        if stop in halve_at:
+            live = sorted(sorted(live, key=lambda i: (-reached[i, stop], i))[:-(-len(live) // 2)])
     booster.close()
     table = []
     for values in product(*grid.values()):
         one = dict(zip(grid, values))
-        scores = found[one["n_estimators"], chosen.index({n: one[n] for n in others})]
-        table.append((json.dumps(one), sum(scores) / len(scores)))
-    best = max(range(len(table)), key=lambda i: table[i][1])
-    marked = [(*row, i == best) for i, row in enumerate(table)]
-    return df.sparkSession.createDataFrame(marked, "parameters string, mean_f1 double, is_best boolean")
+        i = chosen.index({n: one[n] for n in others})
+        stop = max(s for j, s in reached if j == i and s <= one["n_estimators"])
+        table.append((json.dumps(one), reached[i, stop], stop, stop == one["n_estimators"]))
+    best = max((k for k in range(len(table)) if table[k][3]), key=lambda k: (table[k][1], -k))
+    marked = [(parameters, score, stop, k == best) for k, (parameters, score, stop, _) in enumerate(table)]
+    return df.sparkSession.createDataFrame(marked, "parameters string, mean_f1 double, rounds int, is_best boolean")
 
 
 def combinations(grid: dict[str, list] = TUNING_GRID) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from netweave.operators import flows, training
 from netweave.plans import flowing
-from netweave.plans.detection import COLUMNS, KEPT, LEVELS, WINDOW, passed_rows
+from netweave.plans.detection import COLUMNS, KEPT, WINDOW, passed_rows
 from netweave.plans.flowing import GAP
 from netweave.plans.learning import FIT_ROWS, TREES
 from netweave.plans.registry import query
@@ -38,13 +38,6 @@ def stream_flows(spark, folder):
     return found.select(*STREAM_COLUMNS, "psh_flag_count", F.round("flow_iat_std", 0).alias("flow_iat_std"))
 
 
-@query("stream_dedup", f"with {KEPT} select {', '.join(COLUMNS)} from kept")
-def stream_dedup(spark, folder):
-    stream, path = _replayed(spark, passed_rows(spark, folder).select(*COLUMNS), "stream-dedup")
-    job = jobs.stream_dedup(spark, stream, path, delay_us=DAY_US, window_us=WINDOW, levels=LEVELS)
-    return job.output().select(*COLUMNS)
-
-
 #: Slots of a replay with three files in which every third packet comes a file later.
 SLOTS = f"""
 slots as (
@@ -109,6 +102,13 @@ def _with_end(spark, df, purpose):
     return replay(spark, f"{path}/in", schema), f"{path}/job"
 
 
+@query("stream_dedup", f"with {KEPT} select {', '.join(COLUMNS)} from kept")
+def stream_dedup(spark, folder):
+    """Kept alerts of a stream, the last kept time of each key in the engine's state."""
+    stream, path = _with_end(spark, passed_rows(spark, folder).select(*COLUMNS), "stream-dedup")
+    return jobs.stream_dedup(stream, path, DAY_US, WINDOW)
+
+
 @query("stream_sessions", flowing.FLOWS + f"""
 select {flowing.KEYS}, start_us, end_us, total_packets, all_bytes, lead,
  case when lead = 0 then fwd_packets else bwd_packets end low_side_packets from summed""")

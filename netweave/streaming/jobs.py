@@ -13,6 +13,7 @@ from netweave.operators import alerts, cascade, dedup, flows
 from netweave.operators.packets import KEY, with_flow_key
 from netweave.operators.training import Classifier, FixedRule
 from netweave.streaming.carry import CarryStream, Step
+from netweave.streaming.suppress import suppressed
 
 ListSource = Callable[[], DataFrame]
 
@@ -60,12 +61,12 @@ def dedup_step(keys: list[str], time: str, tie: str, window_us: int = DEDUP_WIND
     return step
 
 
-def stream_dedup(spark: SparkSession, candidates: DataFrame, path: str, delay_us: int,
-                 window_us: int = DEDUP_WINDOW_US, levels: int | None = None) -> CarryStream:
-    step = dedup_step(cascade.ALERT_KEY, "ts_us", "id", window_us, levels)
-    job = CarryStream(spark, path, "ts_us", delay_us, step)
-    job.run_available(candidates)
-    return job
+def stream_dedup(candidates: DataFrame, path: str, delay_us: int, window_us: int = DEDUP_WINDOW_US) -> DataFrame:
+    """The rows that duplicate suppression keeps of an endless table, by the engine's state and timers.
+
+    A row is written once the watermark has passed it; an ``end_mark`` ends all.
+    """
+    return appended(suppressed(candidates, cascade.ALERT_KEY, "ts_us", "id", window_us, delay_us), path)
 
 
 def stream_detect(spark: SparkSession, packets: DataFrame, path: str, delay_us: int,

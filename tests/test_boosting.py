@@ -120,6 +120,17 @@ def test_grid_agrees_with_single_fits(spark):
     assert next(r.mean_f1 for r in found if r.is_best) == best > 0.5
 
 
+def test_grid_leaves_the_worse_half(spark):
+    rows = [(i, t, x, y, z) for i, (t, _, _, _, x, y, z) in enumerate(sample(200))]
+    df = spark.createDataFrame(rows, "key int, label_id int, a double, b double, c double")
+    grid = {"n_estimators": [1, 3], "max_depth": [3], "learning_rate": [0.5, 1e-9], "subsample": [1.0], "colsample_bytree": [1.0]}
+    whole = {r.parameters: r for r in training.grid_search(df, ["a", "b", "c"], "key", grid, folds=2).collect()}
+    halved = {r.parameters: r for r in training.grid_search(df, ["a", "b", "c"], "key", grid, folds=2, halve_at=(2,)).collect()}
+    assert halved.keys() == whole.keys() and sorted(r.rounds for r in halved.values()) == [1, 1, 2, 3]
+    left = [p for p, r in halved.items() if r.rounds == 3]
+    assert halved[left[0]].mean_f1 == whole[left[0]].mean_f1 and sum(r.is_best for r in halved.values()) == 1
+
+
 def test_weighted_f1_of_a_known_matrix():
     matrix = np.array([[8, 2], [1, 9]])
     a, b = 16 / 19, 18 / 20.0

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from netweave.operators import cascade, flows
+from netweave.operators import flows
 from netweave.operators.training import FixedRule
 from netweave.session import work_path
 from netweave.sources import views
@@ -48,19 +51,35 @@ def test_rows_behind_the_watermark_are_counted(spark, small):
     assert kept == notes[0] - notes[1]
 
 
-@pytest.mark.parametrize("window", [GAP, GAP // 12])
-def test_dedup_carries_the_last_kept_time(spark, small, window):
-    candidates = cascade.suspicious(views.scored(spark, small), 0.92).select(
-        "id", "ts_us", "source_ip", "attack_type")
-    stream, path = replayed(spark, candidates, parts=4)
-    job = jobs.stream_dedup(spark, stream, path, DAY, window)
+def kept_by_walk(rows, window):
     last, kept = {}, set()
-    for r in sorted(candidates.collect(), key=lambda r: (r["ts_us"], r["id"])):
-        key = (r["source_ip"], r["attack_type"])
-        if key not in last or r["ts_us"] - last[key] >= window:
-            last[key] = r["ts_us"]
-            kept.add(r["id"])
-    assert {r["id"] for r in job.output().collect()} == kept
+    for i, t, source, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+        if (source, kind) not in last or t - last[source, kind] >= window:
+            last[source, kind] = t
+            kept.add(i)
+    return kept
+
+
+def test_dedup_on_engine_state_goes_on_after_a_restart(spark):
+    rnd = random.Random(5)
+    second = 1_000_000
+    rows = [(i, 10**15 + rnd.randrange(600) * second // 2, rnd.choice([None, "a", "b"]), rnd.choice("xy")) for i in range(900)]
+    rows += [(1000 + i, 10**15 + i * 61 * second, "beat", "x") for i in range(5)]
+    kinds = "id long, ts_us long, source_ip string, attack_type string"
+    path = work_path(spark, "test-dedup")
+    # Rows of a file are up to 40 s out of order; the files come in two runs from one checkpoint.
+    late = {r[0]: rnd.randrange(40) * second for r in rows}
+    ordered = sorted(rows, key=lambda r: r[1] + late[r[0]])
+    parts = [ordered[k * 151:(k + 1) * 151] for k in range(6)]
+    end = [jobs.end_mark(max(r[1] for r in rows), 40 * second, 60 * second, spark.createDataFrame([], kinds).schema)]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in spark.createDataFrame([], kinds).schema])
+    for files in (parts[:3], [*parts[3:], end]):
+        for part in files:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        found = jobs.stream_dedup(replay(spark, f"{path}/in", schema), f"{path}/job", 40 * second, 60 * second)
+    got = [r["id"] for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == kept_by_walk(rows, 60 * second)
+    assert found.where("id is null").count() == 0
 
 
 def test_allow_list_is_read_for_every_batch(spark, small):
