@@ -277,7 +277,7 @@ def method_matrix(spark, folder):
 FIT_ROWS = 20_000
 #: The same for the grid search, which fits 72 models over them, and when it leaves the worse half of them.
 GRID_ROWS = 2_000
-GRID_HALVES = (10, 25, 50)
+GRID_HALVES = (5, 10, 20, 40)
 TREES = 100
 
 
