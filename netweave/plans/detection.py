@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netweave.operators import alerts, cascade, dedup, membership
+from netweave.constants import ALERT_THRESHOLD, CLASSES, DEDUP_WINDOW_US, MODEL_FEATURES, QUALITY_GATES
+from netweave.operators import alerts, cascade, dedup, membership, models, records
 from netweave.plans.registry import query
+from netweave.session import work_path
 from netweave.sources import views
-from netweave.sources.views import ALERTS, ALLOW_LIST, AS_OF_US, DENY_LIST, SCORED, WIDE_GAP_US
+from netweave.sources.views import ALERTS, ALLOW_LIST, AS_OF_US, DENY_LIST, SCORED, TRAINING_LOGS, WIDE_GAP_US
 
 WINDOW = WIDE_GAP_US
 #: The data covers a month; this many step levels hold it for the window above.
@@ -137,6 +139,49 @@ def cascade_funnel(spark, folder):
         views.scored(spark, folder), views.allow_list(spark, folder), LIMIT, WINDOW, LEVELS)
 
 
+#: The newest training run that reaches the gates.
+IN_USE = f"""
+select * from ({TRAINING_LOGS}) t where accuracy >= {QUALITY_GATES['min_accuracy']} and f1_score >= {QUALITY_GATES['min_f1_score']}
+order by trained_us desc, id desc limit 1"""
+
+
+def model_registry(spark, folder):
+    """All training runs registered, the newest promoted, and then the newest that reaches the gates."""
+    path = work_path(spark, "models")
+    models.register(models.versions_of(views.training_logs(spark, folder)), path)
+    known = models.versions(spark, path)
+    for some in (known, models.passing(known)):
+        models.promote(spark, path, records.latest_training(some))
+    return models.in_use(spark, path)
+
+
+@query("model_info", f"""
+select model_version "version", 'boosted' algorithm, cast({len(MODEL_FEATURES)} as int) features_count, '{','.join(CLASSES)}' classes,
+ cast({len(CLASSES)} as int) classes_count, accuracy, f1_score, trained_us, {ALERT_THRESHOLD}::double alert_threshold,
+ cast({DEDUP_WINDOW_US // 1_000_000} as bigint) deduplication_window from ({IN_USE}) c""")
+def model_info(spark, folder):
+    """The model in use out of a registry of all training runs."""
+    return models.model_info(model_registry(spark, folder))
+
+
+@query("model_status", f"""
+with {KEPT}
+select (select count(*) from ({IN_USE}) c) > 0 model_loaded, (select max(model_version) from ({IN_USE}) c) "version",
+ count(*) total_predictions,
+ count(*) filter (attack_type = 'BENIGN') benign_filtered,
+ count(*) filter (attack_type <> 'BENIGN' and confidence < {LIMIT}) low_confidence_skipped,
+ (select count(*) from {SURE} c) - (select count(*) from passed) whitelist_skipped,
+ (select count(*) from passed) - (select count(*) from kept) duplicates_blocked,
+ (select count(*) from kept) alerts_created,
+ (select count(*) from kept where attack_type = 'DoS Hulk') dos_hulk,
+ (select count(*) from kept where attack_type = 'PortScan') portscan,
+ (select count(*) from kept where attack_type = 'DDoS') ddos
+from ({SCORED}) s""")
+def model_status(spark, folder):
+    """Whether a model is in use, and the counters of its detection."""
+    return models.model_status(model_registry(spark, folder), cascade_funnel(spark, folder))
+
+
 @query("alert_json", f"""
 select id, concat('{{"source_ip":"', source_ip, '","dest_ip":"', dest_ip, '","attack_type":"', attack_type,
  '","confidence":', cast(confidence as varchar), ',"severity":"', severity, '","timestamp":"',
