@@ -91,7 +91,7 @@ def remap_labels(df: DataFrame, column: str = "label_id") -> DataFrame:
     """
     present = df.select(column).where(col_of(column).isNotNull()).distinct()
     mapping = present.withColumn("remapped", (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(F.broadcast(mapping), column, "left")
+    return df.join(mapping, column, "left")
 
 
 # --- exact stratified split --------------------------------------------------------
