@@ -66,6 +66,10 @@ def class_coverage(df: DataFrame, order: list[str], label: str = "label", share:
 
 # --- labels --------------------------------------------------------------------
 
+#: A mapping of at most this many ids is sent to every executor.
+FEW_IDS = 10_000
+
+
 def _mapped(key: Column, mapping: dict) -> Column:
     entries = [F.lit(v) for pair in mapping.items() for v in pair]
     return F.element_at(F.create_map(*entries), key)
@@ -91,7 +95,9 @@ def remap_labels(df: DataFrame, column: str = "label_id") -> DataFrame:
     """
     present = df.select(column).where(col_of(column).isNotNull()).distinct()
     mapping = present.withColumn("remapped", (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(mapping, column, "left")
+    # A shuffle by so few ids would put a class into one task; many ids are spread by it.
+    few = present.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return df.join(F.broadcast(mapping) if few else mapping, column, "left")
 
 
 # --- exact stratified split --------------------------------------------------------
@@ -135,12 +141,12 @@ def split_thresholds(df: DataFrame, label: str, key: str, ties: list[str],
 
 
 def stratified_split(df: DataFrame, label: str, key: str, ties: list[str],
-                     test: float = TEST_SHARE, validation: float = VALIDATION_SHARE) -> DataFrame:
+                     test: float = TEST_SHARE, validation: float = VALIDATION_SHARE, ends: DataFrame | None = None) -> DataFrame:
     """Add ``part``: test, validation or train, with the same shares in every class.
 
-    Rows without a label are a class of their own.
+    Rows without a label are a class of their own. ``ends``: the table's ``split_thresholds``.
     """
-    ends = split_thresholds(df, label, key, ties, test, validation)
+    ends = split_thresholds(df, label, key, ties, test, validation) if ends is None else ends
     here = F.struct(F.col(key).alias("_key"), *ties)
     joined = df.join(F.broadcast(ends), col_of(label).eqNullSafe(F.col("_label")))
     part = (
