@@ -99,10 +99,16 @@ def fill_missing(df: DataFrame, fills: dict[str, float | None]) -> DataFrame:
     })
 
 
-def clean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Infinity to the greatest finite value, then missing to the median."""
-    finite = replace_infinity(df, finite_maxima(df, columns))
-    return fill_missing(finite, medians(finite, columns))
+def repairs(df: DataFrame, columns: list[str] | None = None) -> tuple[dict[str, float], dict[str, float | None]]:
+    """What ``clean`` puts in place of infinite and of missing values, per column."""
+    maxima = finite_maxima(df, columns)
+    return maxima, medians(replace_infinity(df, maxima), columns)
+
+
+def clean(df: DataFrame, columns: list[str] | None = None, known=None) -> DataFrame:
+    """Infinity to the greatest finite value, then missing to the median; ``known``: the table's ``repairs``."""
+    maxima, fills = known or repairs(df, columns)
+    return fill_missing(replace_infinity(df, maxima), fills)
 
 
 def validate(df: DataFrame, columns: list[str] | None = None, classes=CLASSES,

@@ -8,7 +8,7 @@ from netweave.constants import ATTACK_CLASSES, CLASS_WEIGHTS, LITERATURE_FEATURE
 from netweave.functions.scalars import col_of, duration_text
 from netweave.operators import balance, clean, prep, profile
 from netweave.plans.registry import query
-from netweave.session import prepared, work_path
+from netweave.session import prepared, remembered, work_path
 from netweave.sources import csv_flows, views
 from netweave.sources.views import FLOW_KEYS, FLOW_NAMES, FLOW_NUMERIC, RAW_FLOWS
 
@@ -35,15 +35,24 @@ LABEL_ID = "case label when 'BENIGN' then 0 when 'DoS Hulk' then 1 when 'PortSca
 
 
 def cleaned(spark, folder):
-    return prepared(spark, folder, "lineitem", "clean-flows", lambda: clean.clean(views.raw_flows(spark, folder)))
+    """The flows as cleaned. What fills the gaps is learned once; the rows are read and never written."""
+    raw = views.raw_flows(spark, folder)
+    return clean.clean(raw, known=remembered(spark, folder, "lineitem", "clean-flows", lambda: clean.repairs(raw)))
 
 
-def split(df):
-    return prep.stratified_split(df, "label", "shuffle_key", FLOW_KEYS)
+def split(df, ends=None):
+    return prep.stratified_split(df, "label", "shuffle_key", FLOW_KEYS, ends=ends)
+
+
+def split_ends(df):
+    return prep.split_thresholds(df, "label", "shuffle_key", FLOW_KEYS)
 
 
 def split_flows(spark, folder):
-    return prepared(spark, folder, "lineitem", "split-flows", lambda: split(cleaned(spark, folder)))
+    """The cleaned flows with their part. Only where the parts end, a row per class, is written."""
+    # Cleaning changes no column that the split reads.
+    ends = prepared(spark, folder, "lineitem", "split-ends", lambda: split_ends(views.raw_flows(spark, folder)))
+    return split(cleaned(spark, folder), ends)
 
 
 @query("flow_csv_union", f"""

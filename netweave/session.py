@@ -80,23 +80,31 @@ def pinned(df, purpose: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-_PREPARED: dict[tuple, tuple] = {}
+_KNOWN: dict[tuple, object] = {}
 
 
-def prepared(spark: SparkSession, folder: str, table: str, purpose: str, build):
-    """What ``build()`` makes of one table, written once per session and state of the table.
+def remembered(spark: SparkSession, folder: str, table: str, purpose: str, find):
+    """What ``find()`` learns of one table, kept once per session and state of the table.
 
-    Several queries start from the same cleaned or split flows. The state is the table's
-    size and time of change, so that a table written anew is prepared anew.
+    For a few numbers, a model or the place of a small table. The state is the table's size
+    and time of change, so that of a table written anew all is learned anew.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
     status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
     key = (spark.sparkContext.applicationId, folder, table, purpose, status.getLen(), status.getModificationTime())
-    if key not in _PREPARED:
+    if key not in _KNOWN:
+        _KNOWN[key] = find()
+    return _KNOWN[key]
+
+
+def prepared(spark: SparkSession, folder: str, table: str, purpose: str, build):
+    """What ``build()`` makes of one table, written once per session and state of the table."""
+    def write():
         df = build()
         place = work_path(spark, purpose)
         df.write.parquet(place)
-        _PREPARED[key] = (place, df.schema)
-    place, schema = _PREPARED[key]
+        return place, df.schema
+
+    place, schema = remembered(spark, folder, table, purpose, write)
     return spark.read.schema(schema).parquet(place)
