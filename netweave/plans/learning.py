@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from netweave.constants import BOOSTING, CLASS_WEIGHTS, CLASSES, METHOD_WEIGHTS, TUNING_GRID
 from netweave.operators import boosting, clean, evaluation, prep, selection, training
-from netweave.plans.cleaning import CLEAN, SPLIT, cleaned, split
+from netweave.plans.cleaning import CLEAN, SPLIT, cleaned, split, split_ends
 from netweave.plans.registry import query
-from netweave.session import prepared, work_path
+from netweave.session import prepared, remembered, work_path
 from netweave.sources import documents, views
 from netweave.sources.views import FLOW_KEYS, FLOW_NUMERIC, LEARNABLE, PREDICTIONS
 
@@ -282,8 +282,10 @@ TREES = 100
 
 
 def learnable(spark, folder):
-    return prepared(spark, folder, "lineitem", "learnable-flows",
-                    lambda: prep.encode_labels(clean.clean(views.learnable_flows(spark, folder))))
+    """The cleaned flows with the label that can be learned; read and cleaned anew, never written."""
+    raw = views.learnable_flows(spark, folder)
+    known = remembered(spark, folder, "lineitem", "learnable-flows", lambda: clean.repairs(raw))
+    return prep.encode_labels(clean.clean(raw, known=known))
 
 
 @query("rf_importance")
@@ -298,17 +300,18 @@ def gbt_importance(spark, folder):
     return found.withColumn("importance", F.round("importance", 6))
 
 
-_MODELS: dict[tuple, training.Classifier] = {}
+def trained_rows(spark, folder):
+    """The learnable flows with their part."""
+    flows = learnable(spark, folder)
+    return split(flows, prepared(spark, folder, "lineitem", "learnable-ends", lambda: split_ends(flows)))
 
 
 def trained(spark, folder, kind="forest"):
     """The split rows and a classifier, fitted once per session, folder and kind."""
-    rows = prepared(spark, folder, "lineitem", "learnable-split", lambda: split(learnable(spark, folder)))
+    rows = trained_rows(spark, folder)
     rounds = TREES if kind == "forest" else BOOSTING["rounds"]
-    key = (spark.sparkContext.applicationId, *rows.inputFiles()[:1], kind)
-    if key not in _MODELS:
-        _MODELS[key] = training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, fit_rows=FIT_ROWS)
-    return rows, _MODELS[key]
+    return rows, remembered(
+        spark, folder, "lineitem", f"{kind}-model", lambda: training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, fit_rows=FIT_ROWS))
 
 
 def tested(rows, model):

@@ -20,3 +20,13 @@ def test_a_class_is_not_one_tasks_work(spark):
         assert many.where("remapped = label_id / 2").count() == prep.FEW_IDS + 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_cleaned_and_split_flows_are_not_written(spark, small):
+    from netweave.plans import cleaning, learning
+
+    for rows, ends in ((cleaning.split_flows(spark, small), "split-ends"), (learning.trained_rows(spark, small), "learnable-ends")):
+        assert all("lineitem.parquet" in f or ends in f for f in rows.inputFiles())
+        assert rows.groupBy("part").count().count() == 3
+    assert all("lineitem.parquet" in f for f in cleaning.cleaned(spark, small).inputFiles())
+    assert all("lineitem.parquet" in f for f in learning.learnable(spark, small).inputFiles())
