@@ -34,37 +34,64 @@ def _gap(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(df: DataFrame, features: list[str], keys: list[str], label: str,
+def numbered(df: DataFrame, features: list[str], keys: list[str], label: str, others: list[str] | None = None) -> DataFrame:
+    """The rows in the order of label and keys: label, keys, ``_f0``.. (the features), ``others``, ``_rank``,
+    ``_id`` (rank of the first row of the same label and keys) and ``_me`` (of the first row equal in all).
+    """
+    named = [f"_f{i}" for i in range(len(features))]
+    rows = df.select(col_of(label), *[col_of(k) for k in keys], *[col_of(c).cast("double").alias(n) for c, n in zip(features, named)],
+                     *[col_of(c) for c in others or []])
+    order = [label, *keys]
+    return ranked(rows, [*order, *named], firsts={"_id": len(order), "_me": len(order) + len(named)})
+
+
+def closest(rows: DataFrame, scaler: list[tuple[float, float]], label: str,
             neighbours: int = SMOTE_NEIGHBOURS, seed: int = SPLIT_SEED) -> DataFrame:
-    """label, keys, ``near``: the closest rows' features of the same class among the candidates.
+    """``_id`` and ``_near``, the ``_me`` of the closest of ``numbered`` rows, the nearest first.
 
-    ``df`` must be deterministic; keys tell rows apart. Distances are between scaled features.
+    A line's rows bear numbers instead of keys, and each row keeps its closest on a line before lines are put together.
     """
-    scaler = fit_scaler(df, features)
-    raw = F.array(*[col_of(c).cast("double") for c in features])
-    scaled = F.array(*[(col_of(c).cast("double") - F.lit(scaler[c][0])) / F.lit(scaler[c][1]) for c in features])
-    rows = df.select(col_of(label).alias("_label"), F.struct(*[col_of(k) for k in keys]).alias("_key"),
-                     raw.alias("_raw"), scaled.alias("_point"))
-    axes = F.array(*[F.array(*[F.lit(float(w)) for w in line]) for line in _lines(len(features), seed)])
-    rows = rows.withColumn("_line", F.explode(F.sequence(F.lit(0), F.lit(LINES - 1))))
-    rows = rows.withColumn("_at", _dot(F.col("_point"), F.get(axes, F.col("_line"))))
-    placed = ranked(rows, ["_line", "_label", "_at", "_key"])
+    named = [f"_f{i}" for i in range(len(scaler))]
+
+    def point(of) -> Column:
+        return F.array(*[(of(n) - F.lit(m)) / F.lit(s) for n, (m, s) in zip(named, scaler)])
+
+    axes = F.array(*[F.array(*[F.lit(float(w)) for w in line]) for line in _lines(len(named), seed)])
+    rows = rows.select(col_of(label).alias("_label"), "_id", "_me", *named, F.explode(F.sequence(F.lit(0), F.lit(LINES - 1))).alias("_line"))
+    rows = rows.withColumn("_at", _dot(point(F.col), F.get(axes, F.col("_line"))))
+    placed = ranked(rows, ["_line", "_label", "_at", "_id", "_me"], ["_line", "_label", "_id", "_me", *named])
     home = F.floor(F.col("_rank") / STRETCH)
     within = F.col("_rank") % STRETCH
     also = F.array_compact(F.array(
         home, F.when(within < neighbours, home - 1), F.when(within >= STRETCH - neighbours, home + 1)))
     placed = placed.withColumn("_stretch", F.explode(also))
     order = Window.partitionBy("_stretch").orderBy("_rank")
-    row = F.struct("_line", "_label", "_key", "_raw", "_point")
+    row = F.struct("_line", "_label", "_me", *named)
     offers = F.array(*[f(row, step).over(order) for step in range(1, neighbours + 1) for f in (F.lag, F.lead)])
     offered = placed.withColumn("_offers", offers).where(F.col("_stretch") == home)
-    pairs = offered.select("_line", "_label", "_key", "_point", F.explode("_offers").alias("o")).where(
-        (F.col("o._line") == F.col("_line")) & F.col("o._label").eqNullSafe(F.col("_label")))
-    # At most 2 * neighbours * LINES candidates per row.
-    told = F.struct(_gap(F.col("_point"), F.col("o._point")).alias("d"), F.col("o._key").alias("k"), F.col("o._raw").alias("p"))
-    found = pairs.groupBy("_label", "_key").agg(F.sort_array(F.collect_set(told)).alias("offers"))
-    near = F.transform(F.slice("offers", 1, neighbours), lambda s: s["p"])
-    return found.select(F.col("_label").alias(label), *[F.col("_key")[k].alias(k) for k in keys], near.alias("near"))
+    alike = F.filter("_offers", lambda o: (o["_line"] == F.col("_line")) & o["_label"].eqNullSafe(F.col("_label")))
+    told = F.transform(alike, lambda o: F.struct(_gap(F.col("_point"), point(lambda n: o[n])).alias("d"), o["_me"].alias("m")))
+    best = offered.withColumn("_point", point(F.col)).select("_id", F.slice(F.sort_array(F.array_distinct(told)), 1, neighbours).alias("_best"))
+    # At most ``neighbours`` pairs of numbers per row and line.
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_best"))))
+    return best.groupBy("_id").agg(F.slice(merged, 1, neighbours).alias("_near")).select("_id", F.col("_near.m").alias("_near"))
+
+
+def nearest(df: DataFrame, features: list[str], keys: list[str], label: str,
+            neighbours: int = SMOTE_NEIGHBOURS, seed: int = SPLIT_SEED) -> DataFrame:
+    """label, keys, ``near``: the closest rows' features of the same class among the candidates.
+
+    ``df`` must be deterministic; keys tell rows apart. Distances are between scaled features.
+    """
+    scaler = fit_scaler(df, features)
+    rows = numbered(df, features, keys, label)
+    found = closest(rows, [scaler[c] for c in features], label, neighbours, seed)
+    points = rows.where(F.col("_rank") == F.col("_me")).select(F.col("_me").alias("_of"), F.array(*[f"_f{i}" for i in range(len(features))]).alias("_raw"))
+    each = found.select("_id", F.posexplode_outer("_near").alias("_place", "_of")).join(points, "_of", "left").groupBy("_id").agg(
+        F.sort_array(F.collect_list(F.struct("_place", "_raw"))).alias("_all"))
+    named = rows.where(F.col("_rank") == F.col("_id")).select("_id", col_of(label), *[col_of(k) for k in keys]).join(each, "_id")
+    near = F.transform(F.filter("_all", lambda s: s["_raw"].isNotNull()), lambda s: s["_raw"])
+    return named.select(col_of(label), *[col_of(k) for k in keys], near.alias("near")).where(F.size("near") > 0)
 
 
 def smote(df: DataFrame, features: list[str], keys: list[str], label: str = "label_id",
@@ -80,23 +107,25 @@ def smote(df: DataFrame, features: list[str], keys: list[str], label: str = "lab
     # One row per class.
     sizes = sizes.withColumn("_lack", F.max("_n").over(Window.partitionBy(F.lit(1))) - F.col("_n"))
     small = join_keys(df, F.broadcast(sizes.where(F.col("_lack") > 0)), [label])
-    numbered = ranked(small, [label, *keys])
-    first = numbered.groupBy(label).agg(F.min("_rank").alias("_first"))
-    numbered = join_keys(numbered, F.broadcast(first), [label])
+    scaler = fit_scaler(small, features)
+    rows = numbered(small, features, keys, label, ["_n", "_lack"])
+    first = rows.groupBy(label).agg(F.min("_rank").alias("_first"))
+    based = join_keys(rows, F.broadcast(first), [label])
     number = F.col("_rank") - F.col("_first")
     copies = F.floor(F.col("_lack") / F.col("_n")) + F.when(number < F.col("_lack") % F.col("_n"), 1).otherwise(0)
-    based = join_keys(numbered, nearest(small, features, keys, label, neighbours, seed), [label, *keys], "left")
-    point = F.array(*[col_of(c).cast("double") for c in features])
-    based = based.withColumns({"_point": point, "_copies": copies}).where(F.col("_copies") > 0)
+    based = based.withColumn("_copies", copies).where(F.col("_copies") > 0)
+    based = based.join(closest(rows, [scaler[c] for c in features], label, neighbours, seed), "_id", "left")
     based = based.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     drawn = F.xxhash64(F.lit(seed), *[col_of(k) for k in keys], F.col("_copy"))
-    some = F.coalesce(F.size("near"), F.lit(0)) > 0
-    chosen = F.when(some, F.get("near", F.pmod(drawn, F.size("near").cast("long")).cast("int"))).otherwise(F.col("_point"))
+    some = F.coalesce(F.size("_near"), F.lit(0)) > 0
+    # A row without any is its own neighbour.
+    chosen = F.when(some, F.get("_near", F.pmod(drawn, F.size("_near").cast("long")).cast("int"))).otherwise(F.col("_me"))
     part = F.pmod(F.xxhash64(F.lit(seed + 1), *[col_of(k) for k in keys], F.col("_copy")), F.lit(1_000_000)) / 1e6
-    mixed = based.withColumns({"_chosen": chosen, "_part": part}).withColumn(
-        "_new", F.zip_with("_point", "_chosen", lambda a, b: a + (b - a) * F.col("_part"))
-    )
+    named = [f"_f{i}" for i in range(len(features))]
+    based = based.select(col_of(label), *named, chosen.alias("_of"), part.alias("_part"))
+    points = rows.where(F.col("_rank") == F.col("_me")).select(F.col("_me").alias("_of"), *[F.col(n).alias(f"{n}_near") for n in named])
+    mixed = based.join(points, "_of")
     made = mixed.select(
-        *[F.col("_new")[i].alias(c) for i, c in enumerate(features)], col_of(label), F.lit(True).alias("is_synthetic")
-    )
+        *[(F.col(n) + (F.col(f"{n}_near") - F.col(n)) * F.col("_part")).alias(c) for n, c in zip(named, features)],
+        col_of(label), F.lit(True).alias("is_synthetic"))
     return given.unionByName(made)

@@ -1,6 +1,6 @@
 """What must not grow with the rows: tasks by class, tables written on the way."""
 
-from netweave.operators import prep
+from netweave.operators import balance, prep
 
 
 def plan_of(df):
@@ -30,3 +30,26 @@ def test_cleaned_and_split_flows_are_not_written(spark, small):
         assert rows.groupBy("part").count().count() == 3
     assert all("lineitem.parquet" in f for f in cleaning.cleaned(spark, small).inputFiles())
     assert all("lineitem.parquet" in f for f in learning.learnable(spark, small).inputFiles())
+
+
+def test_ranks_of_first_equal_rows(spark):
+    rows = [(None, 1, 2.0), ("a", 1, 5.0), ("a", 1, 5.0), ("a", 1, 4.0), ("b", None, 1.0), (None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "k string, l int, x double").repartition(4)
+    found = prep.ranked(df, ["k", "l", "x"], ["k", "x"], {"of_two": 2, "of_all": 3}).orderBy("_rank").collect()
+    assert [tuple(r) for r in found] == [
+        (None, 2.0, 0, 0, 0), (None, 2.0, 1, 0, 0), ("a", 4.0, 2, 2, 2), ("a", 5.0, 3, 2, 3), ("a", 5.0, 4, 2, 3), ("b", 1.0, 5, 5, 5)]
+
+
+def test_neighbours_travel_as_numbers(spark, monkeypatch):
+    monkeypatch.setattr(balance, "STRETCH", 16)
+    rows = [(i % 70, float(i % 70 % 9), float(i % 70 // 9), i % 70 % 2) for i in range(80)]  # ten rows twice
+    df = spark.createDataFrame(rows, "id long, x double, y double, label_id int")
+    numbered = balance.numbered(df, ["x", "y"], ["id"], "label_id")
+    found = balance.closest(numbered, [(0.0, 1.0), (0.0, 1.0)], "label_id")
+    assert dict(found.dtypes) == {"_id": "bigint", "_near": "array<bigint>"}
+    # As before, a row that is there twice is its own neighbour, and equal rows count once.
+    at = {r["_me"]: (r["id"], r["_f0"], r["_f1"], r["label_id"]) for r in numbered.collect()}
+    near = {at[r["_id"]][0]: r["_near"] for r in found.collect()}
+    assert len(near) == 70 and all(len(set(n)) == len(n) for n in near.values())
+    assert all((k in [at[m][0] for m in n]) == (k < 10) for k, n in near.items())
+    assert all(at[m][3] == k % 2 for k, n in near.items() for m in n)
