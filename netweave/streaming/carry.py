@@ -165,8 +165,12 @@ def replay_files(df: DataFrame, time: str, path: str, parts: int = 4, shuffled:
     if shuffled is not False:
         moved = F.pmod(F.xxhash64(time), F.lit(3)) == 0 if shuffled is True else shuffled
         slot = F.when(moved & (slot + 1 < parts), slot + 1).otherwise(slot)
+    # The table is worked out once, by all tasks; what one task does per file is a copy.
+    df.withColumn("_slot", slot.cast("long")).write.mode("overwrite").partitionBy("_slot").parquet(f"{path}-slots")
+    schema = T.StructType([*df.schema.fields, T.StructField("_slot", T.LongType())])
+    dealt = df.sparkSession.read.schema(schema).parquet(f"{path}-slots")
     for i in range(parts):
-        df.where(slot == i).coalesce(1).write.mode("append").parquet(path)
+        dealt.where(F.col("_slot") == i).drop("_slot").coalesce(1).write.mode("append").parquet(path)
     return df.schema
 
 

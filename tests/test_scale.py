@@ -1,6 +1,9 @@
 """What must not grow with the rows: tasks by class, tables written on the way."""
 
+import pandas as pd
+
 from netweave.operators import balance, prep
+from netweave.streaming import suppress
 
 
 def plan_of(df):
@@ -53,3 +56,40 @@ def test_neighbours_travel_as_numbers(spark, monkeypatch):
     assert len(near) == 70 and all(len(set(n)) == len(n) for n in near.values())
     assert all((k in [at[m][0] for m in n]) == (k < 10) for k, n in near.items())
     assert all(at[m][3] == k % 2 for k, n in near.items() for m in n)
+
+
+class State:
+    """A group's state as the engine hands it over."""
+
+    def __init__(self):
+        self.value, self.wake, self.mark = None, None, 0
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentWatermarkMs(self):
+        return self.mark // 1000
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, ms):
+        self.wake = ms
+
+
+def test_keys_share_a_state_and_not_their_times():
+    walk, state = suppress._walk(10_000), State()
+
+    def call(rows, mark):
+        state.mark = mark
+        frame = pd.DataFrame(rows, columns=["_time", "_tie", "_row", "_key"])
+        return sorted(k for f in walk((0,), iter([frame]), state) for k in f["kept"])
+
+    assert call([(5_000, 1, "a1", "a"), (6_000, 2, "b1", "b"), (9_000, 3, "a2", "a")], 0) == [] and state.wake == 6
+    assert call([(30_000, 4, "b2", "b")], 20_000) == ["a1", "b1"] and state.wake == 31
+    assert call([(30_000, 5, "a3", "a")], 20_000) == []
+    assert call([], 31_000) == ["a3", "b2"] and state.wake == 41
+    assert call([], 41_000) == [] and not state.exists
