@@ -54,6 +54,12 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stored(spark: SparkSession, path: str) -> int:
+    """Bytes of a work table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def sweep(spark: SparkSession) -> None:
     """Let the driver collect what is finished, so that shuffle files no longer needed go at once."""
     gc.collect()

@@ -11,6 +11,8 @@ Nothing of either model is collected but the counts of counts that give the disc
 orders count the different symbols that an n-gram follows. Each order's distinct n-grams of
 all documents are joined by shuffle with the counts, with the sums of their contexts and with
 the next lower order; documents, reduced to their distinct n-grams, are joined with the result.
+Both are done in blocks of n-grams, each of which reads all texts again and keeps no more than
+a sum per document, so that the disk in use is that of one block.
 
 A document's perplexity is per character of its words, plus one for each word's end. The
 held-out fifth gives the thresholds: per language, the ``QUANTILE`` of its perplexities,
@@ -28,7 +30,6 @@ alike; an empty table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import sys
@@ -41,7 +42,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from netweave.llm.common import saved, sweep
+from netweave.llm.common import discard, saved, stored, sweep
+from netweave.session import work_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,11 +52,15 @@ QUANTILE, SLACK, LEAST = 0.995, 1.1, 30
 WORDS, LETTERS, POINTS = 3, 5, 0x110001
 FINE = 500
 RUN = 1 << 22
+# Blocks of all texts' n-grams at most, and bytes of stored text that one takes before there are as many.
+# Words and trusted texts' n-grams are fewer and take a block for every ``FEWER`` of them.
+BLOCKS, FULL, FEWER = 16, 1 << 22, 4
 
 # Scripts without blanks between words; longer words are cut so that no share underflows.
 ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(f"[{ALONE}]|(?:(?![{ALONE}])\\w){{1,32}}|[^\\w ]| {{2,32}}")
 START, STOP = "\ufdd0", "\ufdd1"
+LONGEST = 32
 
 
 def character_classes() -> np.ndarray:
@@ -89,13 +95,13 @@ def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Texts in runs of about ``RUN`` characters, with the place of the first."""
+def _runs(texts: pa.Array, run: int = RUN) -> Iterator[tuple[int, list[str]]]:
+    """Texts in runs of about ``run`` characters, with the place of the first."""
     low, held, size = 0, [], 0
     for i, text in enumerate(texts):
         held.append(text.as_py() or "")
         size += len(held[-1])
-        if size >= RUN:
+        if size >= run:
             yield low, held
             low, held, size = i + 1, [], 0
     if held:
@@ -231,37 +237,103 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("good")).where("good >= 1").select("doc_id")
 
 
-def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, learn, text to distinct n-grams per text (s1, s2, s3, n, size), and to words with their ids (row null)."""
-    names = ["row", "s1", "s2", "s3", "n", "size", "learn", "word"]
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind of every code point (0 single, 1 of a word, 2 blank), its random number, and that of every place in a word."""
+    kind = np.zeros(0x110000, np.uint8)
+    # No letter or digit lies beyond plane 3.
+    kind[:0x40000] = np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x40000)), np.uint8, 0x40000)
+    for low, high in re.findall("(.)-(.)", ALONE):
+        kind[ord(low):ord(high) + 1] = 0
+    kind[32] = 2
+    return kind, np.random.PCG64(1).random_raw(0x110000), np.random.PCG64(2).random_raw(LONGEST) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def words_of(texts: list[str], tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """What ``WORD`` finds in the texts: the text of each word, its first place in their concatenation, length and id."""
+    kind, numbers, places = tables
+    lengths = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    starts = np.cumsum(lengths) - lengths
+    kinds = kind[points]
+    fresh = np.ones(len(points), bool)
+    fresh[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 0)
+    fresh[starts[lengths > 0]] = True
+    at = np.arange(len(points), dtype=np.int64)
+    place = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % LONGEST
+    first = np.flatnonzero(place == 0)
+    size = np.diff(np.r_[first, len(points)])
+    ids = _mixed(np.add.reduceat(numbers[points] * places[place], first) + size.astype(np.uint64))
+    ids[ids == 0] = 1
+    word = (kinds[first] != 2) | (size > 1)
+    first, size, ids = first[word], size[word], ids[word]
+    return np.searchsorted(starts, first, "right") - 1, first, size, ids
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """learn, text to the words with their ids."""
+    tables = _tables()
     for batch in batches:
-        keys, learns = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for low, texts in _runs(batch.column(2)):
-            found = [WORD.findall(t) for t in texts]
-            count = np.array([len(f) for f in found], np.int64)
-            coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
-            code, words = coded.indices.to_numpy().astype(np.int64) + 1, coded.dictionary.to_pylist()
-            ids = np.array([0, *[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little", signed=True) for w in words]], np.int64)
-            sizes = np.array([0, *[len(w) + 1 for w in words]], np.int32)
-            ends, base = np.cumsum(count), len(ids)
-            taught = np.zeros(base, bool)
-            parts = []
-            for i, (a, b) in enumerate(zip(ends - count, ends)):
-                mine = code[a:b]
-                if learns[low + i]:
-                    taught[mine] = True
-                # A pair is numbered within its text, so that a triple fits into 64 bits.
-                pair, place = np.unique(np.r_[0, 0, mine][:-2] * base + np.r_[0, mine][:-1], return_inverse=True)
-                gram, n = np.unique(place * base + mine, return_counts=True)
-                before = pair[gram // base] if len(gram) else gram
-                parts.append((np.full(len(gram), low + i), before // base, before % base, gram % base, n))
-            place, one, two, three, n = (np.concatenate(p).astype(np.int64) for p in zip(*parts))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys[place], pa.int64()), pa.array(ids[one]), pa.array(ids[two]), pa.array(ids[three]), pa.array(n, pa.int64()),
-                pa.array(sizes[three]), pa.array(learns[place].astype(bool)), pa.nulls(len(place), pa.string())], names)
-            none = pa.nulls(base - 1, pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                none, none, none, pa.array(ids[1:]), none, pa.array(sizes[1:]), pa.array(taught[1:]), pa.array(words, pa.string())], names)
+        learns = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+        for low, texts in _runs(batch.column(1)):
+            of, first, size, ids = words_of(texts, tables)
+            one, where, which = np.unique(ids, return_index=True, return_inverse=True)
+            taught = np.zeros(len(one), bool)
+            taught[which[learns[low + of]]] = True
+            line = "".join(texts)
+            words = [line[a:b] for a, b in zip(first[where].tolist(), (first + size)[where].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(words, pa.string()), pa.array(taught)], ["s3", "word", "learn"])
+
+
+def _word_grams(block: int, blocks: int, per_text: bool):
+    """row, learn, text to the n-grams whose middle word falls into the block, distinct per text or per run of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables()
+        for batch in batches:
+            keys, learns = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for low, texts in _runs(batch.column(2), 1 << 20):
+                of, _, size, three = words_of(texts, tables)
+                two, one = np.zeros_like(three), np.zeros_like(three)
+                two[1:] = np.where(of[1:] == of[:-1], three[:-1], 0)
+                one[2:] = np.where(of[2:] == of[:-2], three[:-2], 0)
+                mine = np.flatnonzero((two >> np.uint64(33)) % np.uint64(blocks) == block)
+                of, one, two, three, size = of[mine], one[mine], two[mine], three[mine], size[mine]
+                gram = _mixed(_mixed(_mixed(one) + two) + three)
+                if per_text:
+                    _, where, n = np.unique(_mixed(gram + of.astype(np.uint64)), return_index=True, return_counts=True)
+                    more = [pa.array(keys[low + of[where]], pa.int64()), pa.array(size[where] + 1, pa.int32())]
+                else:
+                    _, where, which = np.unique(gram, return_index=True, return_inverse=True)
+                    n = np.bincount(which, learns[low + of].astype(bool), len(where)).astype(np.int64)
+                    more = []
+                grams = [pa.array(s[where].view(np.int64)) for s in (one, two, three)]
+                yield pa.RecordBatch.from_arrays([*grams, pa.array(n, pa.int64()), *more], ["s1", "s2", "s3", "n", "row", "size"][:4 + len(more)])
+
+    return run
+
+
+def counts_of_counts(levels: dict[int, DataFrame]) -> dict[int, list[int]]:
+    """How many n-grams of each order are found once, twice, three and four times."""
+    told = None
+    for k, counts in levels.items():
+        one = counts.agg(F.lit(k).alias("k"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        told = one if told is None else told.unionByName(one)
+    return {r.k: [r.n1, r.n2, r.n3, r.n4] for r in told.collect()}
+
+
+def discounts(few: list[int]) -> list[float]:
+    """What is taken off n-grams found once, twice, and more often."""
+    of = [max(1, v) for v in few]
+    y = of[0] / (of[0] + 2 * of[1])
+    return [min(max(i + 1 - (i + 2) * y * of[i + 1] / of[i], 0.05), i + 1.0) for i in range(3)]
 
 
 def shares(counts: DataFrame, asked: DataFrame, symbols: list[str], base: DataFrame) -> DataFrame:
@@ -269,59 +341,122 @@ def shares(counts: DataFrame, asked: DataFrame, symbols: list[str], base: DataFr
 
     ``counts``: distinct n-grams of trusted text with n. ``base``: the last symbol and p below the lowest order.
     """
+    every = asked.join(counts.hint("merge"), symbols, "full").select(*symbols, F.coalesce("n", F.lit(0)).alias("n"))
+    return saved(counted_shares(every, symbols, base).join(asked, symbols, "left_semi"), "shares")[0]
+
+
+def lower_orders(counts: DataFrame, symbols: list[str]) -> dict[int, DataFrame]:
+    """By order, the distinct n-grams with n, the number of different symbols that one follows in trusted text."""
     levels = {len(symbols): counts}
     for k in range(len(symbols) - 1, 0, -1):
-        levels[k], _ = saved(levels[k + 1].groupBy(*symbols[-k:]).agg(F.count("*").alias("n")), "lower-grams")
-    below = base
-    for k in range(1, len(symbols) + 1):
-        gram, context = symbols[-k:], symbols[-k:-1]
-        few = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        of = [max(1, v or 0) for v in levels[k].agg(*few).first()]
-        y = of[0] / (of[0] + 2 * of[1])
-        off = [min(max(i + 1 - (i + 2) * y * of[i + 1] / of[i], 0.05), i + 1.0) for i in range(3)]
-        taken = F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
-        rows = levels[k].select(*gram, "n", taken.alias("off"))
-        sums = (rows.groupBy(*context) if context else rows).agg(F.sum("n").alias("total"), F.sum("off").alias("free"))
-        wanted = asked if k == len(symbols) else asked.select(*gram).distinct()
-        wanted = wanted.join(rows.hint("merge"), gram, "left")
-        if context:
-            wanted = wanted.join(sums.hint("merge"), context, "left").join(below.hint("merge"), symbols[-max(k - 1, 1):])
-        else:
-            one = sums.first()
-            wanted = wanted.join(below.hint("merge"), gram).withColumns({
-                "total": F.lit(one.total).cast("double"), "free": F.lit(one.free).cast("double")})
-        p = F.coalesce((F.col("n") - F.col("off")) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("free") / F.col("total"), F.lit(1.0)) * F.col("p")
-        below, _ = saved(wanted.select(*gram, p.alias("p")), "shares")
+        levels[k], _ = saved(levels[k + 1].groupBy(*symbols[-k:]).agg(F.count_if(F.col("n") > 0).alias("n")), "lower-grams")
+    return levels
+
+
+def order_shares(counts: DataFrame, gram: list[str], below: DataFrame, less: list[float]) -> DataFrame:
+    """``gram`` and p of the distinct n-grams of one order, by p of its last symbols in ``below`` and the discounts ``less``."""
+    off = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, less[0]).when(F.col("n") == 2, less[1]).otherwise(less[2])
+    rows, context = counts.select(*gram, "n", off.alias("off")), gram[:-1]
+    sums = (rows.where("n > 0").groupBy(*context) if context else rows).agg(F.sum("n").alias("total"), F.sum("off").alias("free"))
+    if context:
+        wanted = rows.join(sums.hint("merge"), context, "left")
+    else:
+        one = sums.first()
+        wanted = rows.withColumns({"total": F.lit(one.total or None).cast("double"), "free": F.lit(one.free).cast("double")})
+    wanted = wanted.join(below.hint("merge"), gram[-max(len(context), 1):])
+    p = F.coalesce((F.col("n") - F.col("off")) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("free") / F.col("total"), F.lit(1.0)) * F.col("p")
+    return wanted.select(*gram, p.alias("p"))
+
+
+def counted_shares(counts: DataFrame, symbols: list[str], base: DataFrame) -> DataFrame:
+    """``symbols`` and p of the distinct n-grams ``counts``, whose n is 0 where trusted text has none."""
+    levels = lower_orders(counts, symbols)
+    few, below = counts_of_counts(levels), base
+    for k in sorted(levels):
+        below = order_shares(levels[k], symbols[-k:], below, discounts(few[k]))
     return below
 
 
-def spelled(words: DataFrame) -> DataFrame:
-    """s3 and p, the share of a word's spelling, of the distinct words (s3, word, learn)."""
+def spelled(words: DataFrame, blocks: int) -> DataFrame:
+    """s3 and p, the share of a word's spelling, of the distinct words (s3, word, learn), worked through in blocks."""
     symbols = [f"c{i}" for i in range(1, LETTERS + 1)]
     padded = F.concat(F.lit(START * (LETTERS - 1)), F.col("word"), F.lit(STOP))
     rows = words.select("s3", "learn", padded.alias("w"), F.explode(F.sequence(F.lit(1), F.char_length("word") + 1)).alias("i"))
-    rows, _ = saved(rows.select("s3", "learn", *[F.substring("w", F.col("i") + k, F.lit(1)).alias(c) for k, c in enumerate(symbols)]), "letters")
-    asked = rows.groupBy(*symbols).agg(F.count_if("learn").alias("n"))
-    asked, _ = saved(asked, "letter-grams")
+    rows = rows.select("s3", "learn", *[F.substring("w", F.col("i") + k, F.lit(1)).alias(c) for k, c in enumerate(symbols)])
+    asked, path = saved(rows.groupBy(*symbols).agg(F.count_if("learn").alias("n")), "letter-grams")
     base = asked.select(symbols[-1]).distinct().withColumn("p", F.lit(1.0 / POINTS))
-    known = shares(asked.where("n > 0"), asked.select(*symbols), symbols, base)
-    return rows.join(known.hint("merge"), symbols).groupBy("s3").agg(F.exp(F.sum(F.log("p"))).alias("p"))
-
-
-def perplexities(rows: DataFrame) -> DataFrame:
-    """row and _kn_log, the logarithm of the perplexity, of the texts with words of a frame row, learn, text."""
-    kinds = "row long, s1 long, s2 long, s3 long, n long, size int, learn boolean, word string"
-    seen, _ = saved(rows.select("row", "learn", "text").mapInArrow(_word_grams, kinds), "text-grams")
-    words = seen.where("row is null").groupBy("s3").agg(F.min("word").alias("word"), F.max("learn").alias("learn"))
-    base, _ = saved(spelled(words), "spellings")
-    sweep(rows.sparkSession)
-    symbols = [f"s{i}" for i in range(1, WORDS + 1)]
-    texts = seen.where("row is not null")
-    asked, _ = saved(texts.groupBy(*symbols).agg(F.sum(F.when(F.col("learn"), F.col("n")).otherwise(0)).alias("n")), "grams")
-    known = shares(asked.where("n > 0"), asked.select(*symbols), symbols, base)
-    sweep(rows.sparkSession)
-    full = texts.select("row", *symbols, "n", "size").join(known.hint("merge"), symbols)
-    return full.groupBy("row").agg((-F.sum(F.col("n") * F.log("p")) / F.sum(F.col("n") * F.col("size"))).alias("_kn_log"))
+    known, shared = saved(counted_shares(asked, symbols, base), "shares")
+    discard(words.sparkSession, path)
+    out = None
+    for block in range(blocks):
+        part = rows.where(F.pmod("s3", F.lit(blocks)) == block).join(known.hint("merge"), symbols)
+        part, _ = saved(part.groupBy("s3").agg(F.exp(F.sum(F.log("p"))).alias("p")), "spellings")
+        sweep(words.sparkSession)
+        out = part if out is None else out.unionByName(part)
+    discard(words.sparkSession, shared)
+    return out
+
+
+def perplexities(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """row and _kn_log, the logarithm of the perplexity, of the texts with words of a frame row, learn, text.
+
+    An n-gram's counts, its context's, and those of its last two words all have its middle word,
+    so n-grams are worked through in blocks by hash of that word, and a block's tables go before
+    the next is begun. The counts of counts and the single words are added up over all blocks first.
+    ``most``: the number of blocks, by the size of the texts if none is given.
+    """
+    spark = rows.sparkSession
+    symbols, grams = [f"s{i}" for i in range(1, WORDS + 1)], "s1 long, s2 long, s3 long, n long"
+    # Texts meet their labels once; every block reads them from here.
+    texts = work_path(spark, "llm-texts")
+    rows.select("row", "learn", "text").write.option("compression", "zstd").parquet(texts)
+    rows = spark.read.schema("row long, learn boolean, text string").parquet(texts)
+    sweep(spark)
+    blocks = most or min(BLOCKS, 1 + stored(spark, texts) // FULL)
+    few_blocks = -(-blocks // FEWER)
+    found = rows.select("learn", "text").mapInArrow(_words, "s3 long, word string, learn boolean")
+    words, path = saved(found.groupBy("s3").agg(F.min("word").alias("word"), F.max("learn").alias("learn")), "words")
+    sweep(spark)
+    base = spelled(words, few_blocks)
+    discard(spark, path)
+
+    few, parts = {k: [0] * 4 for k in (3, 2)}, None
+    for block in range(few_blocks):
+        counts = rows.where("learn").mapInArrow(_word_grams(block, few_blocks, False), grams).groupBy(*symbols).agg(F.sum("n").alias("n"))
+        counts, first = saved(counts, "grams")
+        pairs, second = saved(counts.groupBy("s2", "s3").agg(F.count("*").alias("n")), "pairs")
+        for k, found in counts_of_counts({3: counts, 2: pairs}).items():
+            few[k] = [a + b for a, b in zip(few[k], found)]
+        part, _ = saved(pairs.groupBy("s3").agg(F.count("*").alias("n")), "singles")
+        parts = part if parts is None else parts.unionByName(part)
+        for path in (first, second):
+            discard(spark, path)
+        sweep(spark)
+    single = parts.groupBy("s3").agg(F.sum("n").alias("n"))
+    single = base.select("s3").join(single.hint("merge"), "s3", "left").select("s3", F.coalesce("n", F.lit(0)).alias("n"))
+    single, _ = saved(counted_shares(single, ["s3"], base), "singles")
+
+    sums = None
+    for block in range(blocks):
+        known = rows.mapInArrow(_word_grams(block, blocks, False), grams).groupBy(*symbols).agg(F.sum("n").alias("n"))
+        known, path = saved(known, "grams")
+        sweep(spark)
+        pairs, more = saved(known.groupBy("s2", "s3").agg(F.count_if(F.col("n") > 0).alias("n")), "pairs")
+        below, lower = saved(order_shares(pairs, ["s2", "s3"], single, discounts(few[2])), "shares")
+        sweep(spark)
+        gram = F.xxhash64(*symbols).alias("gram")
+        below, shared = saved(order_shares(known, symbols, below, discounts(few[3])).select(gram, "p"), "shares")
+        for old in (path, more, lower):
+            discard(spark, old)
+        sweep(spark)
+        full = rows.mapInArrow(_word_grams(block, blocks, True), f"{grams}, row long, size int").select(gram, "row", "n", "size")
+        full = full.join(below.hint("merge"), "gram")
+        part, _ = saved(full.groupBy("row").agg(F.sum(F.col("n") * F.log("p")).alias("logs"), F.sum(F.col("n") * F.col("size")).alias("size")), "sums")
+        sums = part if sums is None else sums.unionByName(part)
+        discard(spark, shared)
+        sweep(spark)
+    discard(spark, texts)
+    return sums.groupBy("row").agg((-F.sum("logs") / F.sum("size")).alias("_kn_log"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

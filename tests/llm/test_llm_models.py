@@ -1,6 +1,7 @@
 """Packing, personal data, the language model and the pipeline on small cases."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -293,3 +294,31 @@ def test_stages_take_odd_and_empty_documents(spark, small, name, stage):
         out = stage(spark, docs, small)
         assert out.count() <= max(2, 2 * docs.count()) or name == "pack"
         assert name == "pack" or out.columns == docs.columns
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["", "The cat  sat\n\n on   3.5_x; été İ", "漢字kana かな ไทย x", "a" * 70 + " " * 33 + "b" * 32 + " " * 65, "\t \U0001f600   ", " ", "", "x"]
+    of, first, size, ids = kneser_ney.words_of(texts, kneser_ney._tables())
+    line = "".join(texts)
+    found = [(i, line[a:a + n]) for i, a, n in zip(of.tolist(), first.tolist(), size.tolist())]
+    assert found == [(i, w) for i, t in enumerate(texts) for w in kneser_ney.WORD.findall(t)]
+    assert len(set(ids.tolist())) == len({w for _, w in found}) and 0 not in ids
+    assert all(len(a) == 0 for a in kneser_ney.words_of(["", ""], kneser_ney._tables()))
+
+
+def test_blocks_of_ngrams_give_the_same_and_leave_no_tables(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    words = ["the", "of", "a", "cat", ",", "été", "漢字", "x1"]
+    texts = [" ".join(rng.choice(words[:rng.randint(2, 8)]) for _ in range(rng.randint(1, 40))) for _ in range(80)] + [None, "", "the"]
+    rows = spark.createDataFrame([(i, i % 3 == 0, t) for i, t in enumerate(texts + texts[:5])], "row long, learn boolean, text string")
+    got = []
+    for most in (1, 4):
+        made = []
+        place = lambda spark, purpose: made.append(str(tmp_path / f"{most}-{len(made)}-{purpose}")) or made[-1]
+        monkeypatch.setattr("netweave.llm.common.work_path", place)
+        monkeypatch.setattr("netweave.llm.kneser_ney.work_path", place)
+        got.append({r.row: r._kn_log for r in kneser_ney.perplexities(rows, most).collect()})
+        left = {p.split("-llm-")[1] for p in made if os.path.exists(p)}
+        assert not left & {"texts", "words", "grams", "pairs", "shares"}
+    assert set(got[0]) == set(got[1]) == set(range(80)) | {82} | set(range(83, 88))
+    assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-9) for i in got[0])
