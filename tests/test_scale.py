@@ -1,8 +1,9 @@
 """What must not grow with the rows: tasks by class, tables written on the way."""
 
 import pandas as pd
+import pytest
 
-from netweave.operators import balance, prep
+from netweave.operators import balance, prep, training
 from netweave.streaming import suppress
 
 
@@ -58,6 +59,22 @@ def test_neighbours_travel_as_numbers(spark, monkeypatch):
     assert all(at[m][3] == k % 2 for k, n in near.items() for m in n)
 
 
+def test_the_search_reads_its_few_rows_and_not_the_table(spark, tmp_path, monkeypatch):
+    whole = str(tmp_path / "whole")
+    spark.range(300).selectExpr("id key", "cast(id % 7 as double) a", "cast(id % 3 as int) label_id").write.parquet(whole)
+    seen = []
+
+    def fold(df, key, label="label_id", folds=5):
+        seen.extend(df.inputFiles())
+        assert 0 < df.count() <= 300
+        raise InterruptedError
+
+    monkeypatch.setattr(training, "with_fold", fold)
+    with pytest.raises(InterruptedError):
+        training.grid_search(spark.read.parquet(whole), ["a"], "key", {"n_estimators": [1]}, fit_rows=100)
+    assert seen and not any(whole in f for f in seen)
+
+
 class State:
     """A group's state as the engine hands it over."""
 
