@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from netweave.operators import balance, prep, training
+from netweave.operators import balance, cascade, prep, training
 from netweave.streaming import suppress
 
 
@@ -75,6 +75,16 @@ def test_the_search_reads_its_few_rows_and_not_the_table(spark, tmp_path, monkey
     assert seen and not any(whole in f for f in seen)
 
 
+def test_a_forest_is_asked_once_per_row(spark):
+    df = spark.range(60).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 5 as double) b", "cast(id % 3 as int) label_id")
+    model = training.train(df, ["a", "b"], rounds=2, depth=2, part=None)
+    scored = model.score_valid(df)
+    sure = cascade.suspicious(scored, 0.4).select("id", "attack_type", "confidence")
+    assert plan_of(sure).count("UDF(UDF(") == 1
+    want = {(r.id, r.attack_type, r.confidence) for r in scored.collect() if r.attack_type != "BENIGN" and r.confidence >= 0.4}
+    assert want and {tuple(r) for r in sure.collect()} == want
+
+
 class State:
     """A group's state as the engine hands it over."""
 
