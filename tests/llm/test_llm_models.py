@@ -322,3 +322,37 @@ def test_blocks_of_ngrams_give_the_same_and_leave_no_tables(spark, tmp_path, mon
         assert not left & {"texts", "words", "grams", "pairs", "shares"}
     assert set(got[0]) == set(got[1]) == set(range(80)) | {82} | set(range(83, 88))
     assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-9) for i in got[0])
+
+
+def test_packed_perplexities_match_their_definition(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("SHARD", 48), ("WAVES", 3)):
+        assert getattr(kneser_ney, name) > value
+        monkeypatch.setattr(kneser_ney, name, value)
+    rng = random.Random(9)
+    vocabulary = ["the", "of", "a", "cat", ",", "\u00e9t\u00e9", "\u6f22", "x1", "\n"]
+    texts = [" ".join(rng.choice(vocabulary[:rng.randint(2, 9)]) for _ in range(rng.randint(1, 20))) for _ in range(50)]
+    texts += ["the", "", None, "zebra \U0001f600 the of", texts[0]]
+    found = [kneser_ney.WORD.findall(t or "") for t in texts]
+    learned = [words for i, words in enumerate(found) if i % 3 == 0]
+    counts = Counter(g for words in learned for g in zip([0, 0, *words], [0, *words], words))
+    grams = {w: [tuple(f"{kneser_ney.START * 4}{w}{kneser_ney.STOP}"[i:i + 5]) for i in range(len(w) + 1)] for words in found for w in words}
+    letters = Counter(g for w in {w for words in learned for w in words} for g in grams[w])
+    asked = sorted({g for each in grams.values() for g in each})
+    share = dict(zip(asked, plain_shares(letters, asked, 1 / kneser_ney.POINTS)))
+    spell = {w: math.prod(share[g] for g in each) for w, each in grams.items()}
+    price = {g: plain_shares(counts, [g], spell[g[2]])[0] for words in found for g in zip([0, 0, *words], [0, *words], words)}
+    rows = spark.createDataFrame([(i, i % 3 == 0, t) for i, t in enumerate(texts)], "row long, learn boolean, text string").repartition(3)
+    got = {r.row: r._kn_log for r in kneser_ney.perplexities(rows).collect()}
+    assert set(got) == {i for i, words in enumerate(found) if words}
+    for i in got:
+        logs = sum(math.log(price[g]) for g in zip([0, 0, *found[i]], [0, *found[i]], found[i]))
+        assert math.isclose(got[i], -logs / sum(len(w) + 1 for w in found[i]), rel_tol=1e-9)
+
+
+def test_ids_of_words_are_those_of_texts():
+    texts = ["The cat  sat 3.5_x; \u00e9t\u00e9 \u0130", "\u6f22\u5b57kana \u304b \U0001f600 x", "a" * 40]
+    of, first, size, ids = kneser_ney.words_of(texts, kneser_ney._tables())
+    line = "".join(texts)
+    words = pa.array(["?", *(line[a:a + n] for a, n in zip(first.tolist(), size.tolist()))], pa.string()).slice(1)
+    again, length = kneser_ney._hashes(words, kneser_ney._tables())
+    assert again.tolist() == ids.tolist() and length.tolist() == size.tolist()
