@@ -31,8 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 2048
 GROUP = 8192
-RUN = 1 << 24
-REMEMBERED = 600_000
+RUN = 1 << 23
+REMEMBERED = 300_000
 # Latin letters that change in lower case one by one and are composed already; marks behind.
 LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131\u0134-\u0148\u014a-\u017e]+)([.,;:!?]*)").fullmatch
 
@@ -106,20 +106,28 @@ class WordTokens:
         return [units[parts[0]] + units[parts[1]] if parts else rest[w] for w, parts in zip(words, split)]
 
     def ids(self, texts: pa.Array) -> Iterator[memoryview]:
-        """Little-endian unsigned 32-bit ids of each text, in order."""
+        """Little-endian unsigned 32-bit ids of each text, in order.
+
+        What a run was made of goes as soon as its next form is there, so that two forms of one run are held at most.
+        """
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
         run = np.cumsum(sizes, dtype=np.int64) // RUN
         starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else []
         for low, high in zip(starts, np.r_[starts[1:], len(run)]):
-            plain = pc.replace_substring(pc.fill_null(texts.slice(low, high - low), ""), "\n", " ")
-            lists = pc.split_pattern(plain, " ")
+            lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(low, high - low), ""), "\n", " "), " ")
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             coded = lists.flatten().dictionary_encode()
-            known = pa.array(self._words(coded.dictionary.to_pylist()), pa.large_binary())
-            got = known.take(coded.indices)
-            ends = np.frombuffer(got.buffers()[1], np.int64)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            del lists
+            known, indices = pa.array(self._words(coded.dictionary.to_pylist()), pa.large_binary()), coded.indices
+            del coded
+            got = known.take(indices)
+            del known, indices
+            ends = np.frombuffer(got.buffers()[1], np.int64)[bounds]
             data = memoryview(got.buffers()[2] or b"")
+            del got, bounds
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 yield data[a:b]
+            del data, ends
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, close: int | None = 0, text: str = "text",

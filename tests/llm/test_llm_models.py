@@ -39,6 +39,19 @@ def test_word_tokens_of_odd_words(text):
     assert bytes(next(WORDS.ids(pa.array([text])))) == ids(text)
 
 
+def test_a_run_of_texts_is_held_in_one_form_when_its_ids_are_told(monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 1 << 20)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = pa.array([" ".join(rng.choice(words) for _ in range(2000)) for _ in range(300)])
+    assert texts.nbytes > 2 << 20
+    before, most, n = pa.total_allocated_bytes(), 0, 0
+    for one in WORDS.ids(texts):
+        most, n = max(most, pa.total_allocated_bytes() - before), n + 1
+        assert len(one)
+    assert n == 300 and most < 4 << 20
+
+
 def test_best_two_fit_fills_sequences():
     rng = np.random.default_rng(1)
     for lengths in (rng.integers(1, 2049, 3000), np.full(10, 2048), np.array([1]), rng.integers(600, 800, 999)):
