@@ -12,8 +12,9 @@ block's own word list, blocks to learn from apart from the others. Blocks ask fo
 triples, pairs and words, sorted and packed, dealt to *shards* by hash: a frequent n-gram costs a row per block
 at most and no context is gathered in one place. Blocks to learn from give their counts with it; a shard adds them
 up, answers everyone in order, and tells one block that it is the first to have an n-gram, so that the sums of
-contexts and the different symbols that an n-gram follows are added up over blocks in the next round. Triples, pairs
-and words are asked for in ``WAVES`` of shards, so that the requests of one wave are on disk at a time. Letter n-grams are
+contexts and the different symbols that an n-gram follows are added up over blocks in the next round. Triples and pairs
+are asked for in ``WAVES`` of shards, so that the requests of one wave are on disk at a time; words are asked for by
+``PARTS`` of the blocks, which are scored at once. Letter n-grams are
 counted by Spark's own aggregates and asked for by shards of the distinct words. Nothing is collected but
 the counts of counts that give the discounts.
 
@@ -35,9 +36,11 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import sys
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +63,8 @@ FINE = 500
 RUN = 1 << 22
 # Words of a block, n-grams of a shard at least, waves of triples and pairs, parts in which texts meet their labels.
 BLOCK, SHARD, WAVES, HALVES = 1 << 20, 1 << 19, 4, 2
+# Parts of the blocks that are told of their words and scored one after the other.
+PARTS = 8
 
 # Scripts without blanks between words; longer words are cut so that no share underflows.
 ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -68,8 +73,8 @@ START, STOP = "\ufdd0", "\ufdd1"
 LONGEST = 32
 
 CODED_NAMES = ["block", "rows", "sizes", "words", "codes", "tokens", "learn"]
-CODED = "block long, rows array<long>, sizes binary, words array<string>, codes binary, tokens long, learn boolean"
-LEXICON = "shard long, words array<string>, learn array<boolean>"
+CODED = "block long, rows array<long>, sizes binary, words binary, codes binary, tokens long, learn boolean"
+LEXICON = "shard long, words binary, learn binary"
 GIVEN, ANSWER = "shard long, who long, keys binary, given binary", "who long, shard long, reply binary, few array<long>, gave boolean"
 LETTER_NAMES = [f"c{i}" for i in range(1, LETTERS + 1)]
 
@@ -256,7 +261,16 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for low, high in re.findall("(.)-(.)", ALONE):
         kind[ord(low):ord(high) + 1] = 0
     kind[32] = 2
-    return kind, np.random.PCG64(1).random_raw(0x110000), np.random.PCG64(2).random_raw(LONGEST) | np.uint64(1)
+    return kind, _numbers(0x110000), _places()
+
+
+def _numbers(many: int) -> np.ndarray:
+    """The random numbers of the first code points; those of fewer are the begin of those of more."""
+    return np.random.PCG64(1).random_raw(many)
+
+
+def _places() -> np.ndarray:
+    return np.random.PCG64(2).random_raw(LONGEST) | np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -278,7 +292,7 @@ def words_of(texts: list[str], tables: tuple[np.ndarray, np.ndarray, np.ndarray]
     fresh[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 0)
     fresh[starts[lengths > 0]] = True
     at = np.arange(len(points), dtype=np.int64)
-    place = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % LONGEST
+    place = (at - np.maximum.accumulate(np.where(fresh, at, 0))) & (LONGEST - 1)
     first = np.flatnonzero(place == 0)
     size = np.diff(np.r_[first, len(points)])
     ids = _mixed(np.add.reduceat(numbers[points] * places[place], first) + size.astype(np.uint64))
@@ -288,9 +302,8 @@ def words_of(texts: list[str], tables: tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.searchsorted(starts, first, "right") - 1, first, size, ids
 
 
-def _hashes(words: pa.StringArray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words, as ``words_of`` gives them, and their lengths."""
-    _, numbers, places = tables
+def _hashes(words: pa.StringArray, tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, as ``words_of`` gives them, and their lengths; without tables as many numbers are drawn as the words need."""
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -298,6 +311,7 @@ def _hashes(words: pa.StringArray, tables: tuple[np.ndarray, np.ndarray, np.ndar
     offsets = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1]
     line = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes().decode()
     points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    numbers, places = tables[1:] if tables else (_numbers(int(points.max()) + 1), _places())
     first = np.cumsum(size) - size
     place = np.arange(len(points)) - np.repeat(first, size)
     ids = _mixed(np.add.reduceat(numbers[points] * places[place], first) + size.astype(np.uint64))
@@ -321,21 +335,25 @@ def _coding(half: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, number, part = _tables(), 0, TaskContext.get().partitionId()
-        held = {flag: ([], [], [], {}, []) for flag in (False, True)}
+        # By flag: rows, words per text, words' ids, first places and sizes, the text, and how many words and characters.
+        held = {flag: ([], [], [], [], [], [], [0, 0]) for flag in (False, True)}
 
         def told(flag: bool) -> pa.RecordBatch:
             nonlocal number
-            rows, sizes, codes, known, words = held[flag]
-            sizes, codes = np.concatenate(sizes), np.concatenate(codes)
-            # The words found most often get the smallest codes, which pack best.
-            often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            rows, sizes, ids, first, size, lines, _ = held[flag]
+            held[flag] = ([], [], [], [], [], [], [0, 0])
+            _, where, codes = _distinct(np.concatenate(ids))
+            first, size, line = np.concatenate(first)[where], np.concatenate(size)[where], "".join(lines)
+            words = pa.array([line[a:b] for a, b in zip(first.tolist(), (first + size).tolist())], pa.string())
+            # The words found most often get the smallest codes, which pack best; words found as often stand in their order.
+            n, spelt = np.bincount(codes, minlength=len(words)), pc.sort_indices(words).to_numpy()
+            often = spelt[np.argsort(-n[spelt], kind="stable")]
             rank = np.empty(len(words), np.int32)
             rank[often] = np.arange(len(words), dtype=np.int32)
-            row = [(half << 56) + (part << 32) + number, np.concatenate(rows).tolist(), _pack(sizes.astype(np.int32)),
-                   [words[i] for i in often.tolist()], _pack(rank[codes]), len(codes), flag]
+            row = [(half << 56) + (part << 32) + number, np.concatenate(rows).tolist(), _pack(np.concatenate(sizes).astype(np.int32)),
+                   _pack_words(words.take(pa.array(often))), _pack(rank[codes]), len(codes), flag]
             number += 1
-            held[flag] = ([], [], [], {}, [])
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.bool_()]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], CODED_NAMES)
 
         for batch in batches:
@@ -345,41 +363,90 @@ def _coding(half: int):
                 keys = mine.column(0).to_numpy(zero_copy_only=False)
                 for low, texts in _runs(mine.column(2), 1 << 20):
                     of, first, size, ids = words_of(texts, tables)
-                    rows, sizes, codes, known, words = held[flag]
-                    one, where, which = _distinct(ids)
-                    before = len(known)
-                    code = np.fromiter((known.setdefault(i, len(known)) for i in one.tolist()), np.int32, len(one))
-                    line, new = "".join(texts), where[code >= before]
-                    words += [line[a:b] for a, b in zip(first[new].tolist(), (first + size)[new].tolist())]
+                    so_far = held[flag][6]
                     n = np.bincount(of, minlength=len(texts))
-                    rows.append(keys[low:low + len(texts)][n > 0])
-                    sizes.append(n[n > 0])
-                    codes.append(code[which])
-                    if sum(map(len, codes)) >= BLOCK:
+                    for into, new in zip(held[flag], (keys[low:low + len(texts)][n > 0], n[n > 0], ids, first + so_far[1], size, "".join(texts))):
+                        into.append(new)
+                    so_far[0] += len(ids)
+                    so_far[1] += len(held[flag][5][-1])
+                    if so_far[0] >= BLOCK:
                         yield told(flag)
         for flag in (False, True):
-            if sum(map(len, held[flag][2])):
+            if held[flag][6][0]:
                 yield told(flag)
 
     return run
 
 
+def _pack_words(words: pa.StringArray) -> bytes:
+    """Words as their sizes and their text, compressed."""
+    offsets, data = words.buffers()[1:]
+    offsets = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1]
+    n = int(offsets[-1] - offsets[0])
+    sizes = _pack(np.diff(offsets).astype(np.uint8))  # a word has at most 32 code points
+    return struct.pack("<qq", len(sizes), n) + sizes + pa.compress(data.slice(int(offsets[0]), n), "zstd", asbytes=True)
+
+
+def _unpack_words(packed: bytes) -> pa.StringArray:
+    k, n = struct.unpack_from("<qq", packed)
+    offsets = np.cumsum(np.r_[0, _unpack(packed[16:16 + k], np.uint8)], dtype=np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(pa.decompress(packed[16 + k:], n, "zstd", asbytes=True)))
+
+
+def _pack_rows(rows: np.ndarray) -> bytes:
+    """Unsigned numbers of a few columns: most rows are alike, so that each is one code of a list of distinct rows."""
+    large = (rows > 255).any(axis=0)
+    key = np.zeros(rows.shape[1], np.uint64)
+    for c in rows:
+        key = (key << np.uint64(8)) | c.astype(np.uint64)
+    key[large] = ~np.uint64(0)
+    kinds, codes, n = np.unique(key, return_inverse=True, return_counts=True)
+    often = np.argsort(-n, kind="stable")
+    rank = np.empty(len(kinds), np.uint32)
+    rank[often] = np.arange(len(kinds), dtype=np.uint32)
+    parts = [_pack(kinds[often]), _pack(rank[codes]), _pack(rows[:, large].astype(np.uint32).ravel())]
+    return struct.pack("<qq", *map(len, parts[:2])) + b"".join(parts)
+
+
+def _unpack_rows(packed: bytes, columns: int) -> np.ndarray:
+    a, b = struct.unpack_from("<qq", packed)
+    kinds, codes = _unpack(packed[16:16 + a], np.uint64), _unpack(packed[16 + a:16 + a + b], np.uint32)
+    each = np.stack([(kinds >> np.uint64(8 * k)) & np.uint64(255) for k in reversed(range(columns))]).astype(np.uint32)
+    rows = each[:, codes]
+    rows[:, (kinds == ~np.uint64(0))[codes]] = _unpack(packed[16 + a + b:], np.uint32).reshape(columns, -1)
+    return rows
+
+
 class _Coded:
     """A block: its words' ids and, position by position, the codes and keys of words, pairs and triples."""
 
-    def __init__(self, table, i: int, tables):
-        one = {c: table.column(c)[i] for c in ("block", "rows", "sizes", "words", "codes", "learn")}
-        self.block, self.learn, self.rows = one["block"].as_py(), one["learn"].as_py(), one["rows"].values.to_numpy()
-        self.words = one["words"].values
-        ids, self.lengths = _hashes(self.words, tables)
+    def __init__(self, table, i: int):
+        self.row = {c: table.column(c)[i] for c in table.schema.names}
+        self.block, self.learn = self.row["block"].as_py(), self.row["learn"].as_py()
+        self.words = _unpack_words(self.row["words"].as_py())
+        ids, self.lengths = _hashes(self.words)
         self.ids = np.r_[ids, np.uint64(0)]  # what stands before a text
-        self.codes = _unpack(one["codes"].as_py(), np.int32)
-        self.sizes = _unpack(one["sizes"].as_py(), np.int32).astype(np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        three = self.ids[self.codes]
-        self.pair = _mixed(self.behind(_mixed(self.ids)[self.codes], 0) + three)
-        self.context = self.behind(self.pair, 0)
-        self.triple = _mixed(self.context + three)
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return _unpack(self.row["codes"].as_py(), np.int32)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        sizes = _unpack(self.row["sizes"].as_py(), np.int32).astype(np.int64)
+        return np.cumsum(sizes) - sizes
+
+    @cached_property
+    def pair(self) -> np.ndarray:
+        return _mixed(self.behind(_mixed(self.ids)[self.codes], 0) + self.ids[self.codes])
+
+    @cached_property
+    def context(self) -> np.ndarray:
+        return self.behind(self.pair, 0)
+
+    @cached_property
+    def triple(self) -> np.ndarray:
+        return _mixed(self.context + self.ids[self.codes])
 
     def behind(self, values: np.ndarray, start) -> np.ndarray:
         """Each position's value of the position before it in its text."""
@@ -390,10 +457,9 @@ class _Coded:
 
 
 def _blocks(batches: Iterator) -> Iterator[_Coded]:
-    tables = _tables()
     for batch in batches:
         for i in range(batch.num_rows):
-            yield _Coded(batch, i, tables)
+            yield _Coded(batch, i)
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -464,7 +530,7 @@ def _answers(table: pa.Table, columns: int, kind, count: int | None = None, firs
         if first is not None and v is not None:
             reply = np.concatenate([reply, owned[None, at:at + len(mine)].astype(kind)])
             at += len(mine)
-        blobs.append(_pack(reply.ravel()))
+        blobs.append(_pack_rows(reply) if kind is np.uint32 else _pack(reply.ravel()))
     few = [_few(sums[count])] if count is not None else [None]
     return pa.Table.from_arrays([
         table.column("who"), table.column("shard"), pa.array(blobs, pa.binary()),
@@ -472,10 +538,11 @@ def _answers(table: pa.Table, columns: int, kind, count: int | None = None, firs
     ], ["who", "shard", "reply", "few", "gave"])
 
 
-def _replies(told: pa.Table, kind, columns: int, of: int | None = None) -> np.ndarray:
-    """The answers of all shards in order, a row per column."""
+def _replies(told: pa.Table, kind, columns: int, of: int | None = None, counts: bool = True) -> np.ndarray:
+    """The answers of all shards in order, a row per column; ``counts``: whole numbers are packed row by row."""
     rows = zip(*(told.column(c).to_pylist() for c in ("shard", "reply", "round" if of is not None else "shard")))
-    parts = [_unpack(reply, kind).reshape(columns, -1) for _, reply, _ in sorted((r for r in rows if of is None or r[2] == of), key=lambda r: r[0])]
+    mine = [r[1] for r in sorted((r for r in rows if of is None or r[2] == of), key=lambda r: r[0])]
+    parts = [_unpack_rows(r, columns) if counts and kind is np.uint32 else _unpack(r, kind).reshape(columns, -1) for r in mine]
     return np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), kind)
 
 
@@ -542,10 +609,10 @@ def _give_words(shards: int):
     return run
 
 
-def _ask_words(shards: int, some: tuple[int, int]):
+def _ask_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            yield _dealt(b.block, shards, some, np.sort(_among(b.ids, shards, some)))
+            yield _dealt(b.block, shards, (0, shards), np.sort(b.ids))
     return run
 
 
@@ -557,26 +624,28 @@ def _tell_words(shards: int):
             shard = _shard(b.ids[order], shards).astype(np.int64)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             some = np.flatnonzero(np.diff(cuts)).tolist()
-            words = pa.ListArray.from_arrays(pa.array(np.r_[cuts[some], cuts[-1:]].astype(np.int32)), b.words.take(pa.array(order)))
+            words = b.words.take(pa.array(order))
+            packed = [_pack_words(words.slice(cuts[i], cuts[i + 1] - cuts[i])) for i in some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), pa.array([b.learn] * len(some), pa.bool_()), words], ["shard", "learn", "words"])
+                [pa.array(some, pa.int64()), pa.array([b.learn] * len(some), pa.bool_()), pa.array(packed, pa.binary())], ["shard", "learn", "words"])
     return run
 
 
 def _lexicon(table: pa.Table) -> pa.Table:
     """The distinct words of a shard in the order of their ids, and which are learned from."""
     learned: dict[str, bool] = {}
-    for words, learn in zip(table.column("words").to_pylist(), table.column("learn").to_pylist()):
+    for packed, learn in zip(table.column("words").to_pylist(), table.column("learn").to_pylist()):
+        words = _unpack_words(packed).to_pylist()
         if learn:
             learned.update(dict.fromkeys(words, True))
         else:
             for w in words:
                 learned.setdefault(w, False)
-    words = list(learned)
-    order = np.argsort(_hashes(pa.array(words, pa.string()), _tables())[0]).tolist()
+    words = pa.array(list(learned), pa.string())
+    order = np.argsort(_hashes(words)[0])
     return pa.Table.from_arrays([
-        table.column("shard").slice(0, 1), pa.array([[words[i] for i in order]], pa.list_(pa.string())),
-        pa.array([[learned[words[i]] for i in order]], pa.list_(pa.bool_()))], ["shard", "words", "learn"])
+        table.column("shard").slice(0, 1), pa.array([_pack_words(words.take(pa.array(order)))], pa.binary()),
+        pa.array([_pack(np.array(list(learned.values()), np.uint8)[order])], pa.binary())], ["shard", "words", "learn"])
 
 
 def _spelling(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -601,9 +670,9 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the lexicon to their distinct letter n-grams with the number found in words to learn from."""
     for batch in batches:
         for words, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            columns, keys, number = _spelling(words)
+            columns, keys, number = _spelling(_unpack_words(words).to_pylist())
             one, where, place = _distinct(keys)
-            n = np.bincount(place, np.repeat(np.array(learn, bool), number), len(one)).astype(np.int64)
+            n = np.bincount(place, np.repeat(_unpack(learn, np.uint8), number), len(one)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(pa.array(c[where]) for c in columns), pa.array(n)], [*LETTER_NAMES, "n"])
 
 
@@ -620,19 +689,19 @@ def _ask_letters(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield _dealt(number, shards, (0, shards), _distinct(_spelling(words)[1])[0])
+                yield _dealt(number, shards, (0, shards), np.unique(_spelling(_unpack_words(words).to_pylist())[1]))
     return run
 
 
 def _spelled(row: pa.Table, told: pa.Table) -> pa.Table:
     """Keys and shares of the spelling of a lexicon's words."""
-    words = row.column("words")[0].as_py()
-    _, keys, number = _spelling(words)
+    words = _unpack_words(row.column("words")[0].as_py())
+    _, keys, number = _spelling(words.to_pylist())
     p = _replies(told, np.float64, 1)[0][_distinct(keys)[2]]
     share = np.exp(np.add.reduceat(np.log(p), np.cumsum(number) - number))
-    ids, _ = _hashes(pa.array(words, pa.string()), _tables())
     return pa.Table.from_arrays([
-        row.column("shard"), pa.array([-2], pa.int64()), pa.array([_pack_keys(ids)], pa.binary()), pa.array([_pack(share)], pa.binary()),
+        row.column("shard"), pa.array([-2], pa.int64()), pa.array([_pack_keys(_hashes(words)[0])], pa.binary()),
+        pa.array([_pack(share)], pa.binary()),
     ], ["shard", "who", "keys", "given"])
 
 
@@ -650,8 +719,8 @@ def _prices(few: list[int], less: list[float]):
     """To every word asked for: its share, as two halves, and as a context its total and how many follow it once, twice, more often."""
     total, free = few[5], few[0] * less[0] + few[1] * less[1] + few[4] * less[2]
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("who", "keys", "given"))))
+    def run(spelt: pa.Table, table: pa.Table) -> pa.Table:
+        rows = [r for t in (spelt, table) for r in zip(*(t.column(c).to_pylist() for c in ("who", "keys", "given")))]
         known = {who: (_unpack_keys(k), _unpack(v, np.int64 if who == -1 else np.float64)) for who, k, v in rows if who < 0}
         counts, sums = known.get(-1, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         words, spell = known.get(-2, (np.zeros(0, np.uint64), np.zeros(0)))
@@ -670,7 +739,7 @@ def _prices(few: list[int], less: list[float]):
         columns = list(zip(*out)) or [(), (), ()]
         return pa.Table.from_arrays([
             *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))),
-            pa.array([None] * len(out), pa.list_(pa.int64())), pa.array([False] * len(out))], ["who", "shard", "reply", "few", "gave"])
+            pa.array([None] * len(out), pa.list_(pa.int64())), pa.array([False] * len(out), pa.bool_())], ["who", "shard", "reply", "few", "gave"])
     return run
 
 
@@ -688,7 +757,7 @@ def _scored(three: list[float], two: list[float]):
         place = _distinct(np.r_[b.pair, np.uint64(0)])[2]
         own, zero = place[:-1], place[-1]
         before = b.behind(own, zero)
-        words = _replies(told, np.uint32, 6, 2)[:, _distinct(b.ids)[2]]
+        words = _replies(told, np.uint32, 6, 2, False)[:, _distinct(b.ids)[2]]
         share = np.ascontiguousarray(words[:2].T).view(np.float64).ravel()
         words, last = words[2:].astype(np.int64), b.behind(b.codes, len(b.ids) - 1)
         n2, total2 = pairs[4][own], words[0][last]
@@ -698,7 +767,7 @@ def _scored(three: list[float], two: list[float]):
         loose = np.divide(pairs[1:4].T @ np.array(three), pairs[0], out=np.ones(pairs.shape[1]), where=pairs[0] > 0)
         p = np.divide(n3 - _off(n3, three), total3, out=np.zeros(len(own)), where=total3 > 0) + loose[before] * p
         return pa.Table.from_arrays([
-            pa.array(b.rows), pa.array(np.add.reduceat(np.log(p), b.starts)), pa.array(np.add.reduceat(b.lengths[b.codes] + 1, b.starts)),
+            b.row["rows"].values, pa.array(np.add.reduceat(np.log(p), b.starts)), pa.array(np.add.reduceat(b.lengths[b.codes] + 1, b.starts)),
         ], ["row", "logs", "size"])
     return run
 
@@ -760,21 +829,34 @@ def counted_shares(counts: DataFrame, symbols: list[str], base: DataFrame) -> Da
     return below
 
 
-def spelled(lexicon: DataFrame) -> tuple[DataFrame, str]:
-    """The shares of the spelling of all words of the lexicon, as what a shard of words is given, and their path."""
+def spelled(lexicon: DataFrame, buckets: int) -> tuple[DataFrame, str, str]:
+    """The shares of the spelling of all words of the lexicon, as what each of ``buckets`` shards of words is given; ``bucketed`` by shard."""
+    spark = lexicon.sparkSession
     symbols = list(LETTER_NAMES)
     found = lexicon.select("words", "learn").mapInArrow(_letters, ", ".join(f"{c} int" for c in symbols) + ", n long")
     asked, path = saved(found.groupBy(*symbols).agg(F.sum("n").alias("n")), "letter-grams")
+    sweep(spark)
     base = asked.select(symbols[-1]).distinct().withColumn("p", F.lit(1.0 / POINTS))
     known, shared = saved(counted_shares(asked, symbols, base), "shares")
+    discard(spark, path)
+    sweep(spark)
     shards = 1 + known.count() // SHARD
     together = known.mapInArrow(_give_letters(shards), GIVEN).unionByName(
         lexicon.select("shard", "words").mapInArrow(_ask_letters(shards), GIVEN))
     answers = together.groupBy("shard").applyInArrow(lambda t: _answers(t, 1, np.float64), ANSWER).where("who >= 0")
-    shares = saved(lexicon.groupBy("shard").cogroup(answers.groupBy("who")).applyInArrow(_spelled, GIVEN), "spellings")
-    for old in (path, shared):
-        discard(lexicon.sparkSession, old)
-    return shares
+    shares, name, place = bucketed(
+        lexicon.groupBy("shard").cogroup(answers.groupBy("who")).applyInArrow(_spelled, GIVEN), "shard", 1 + buckets // 4, "spellings")
+    discard(spark, shared)
+    sweep(spark)
+    return shares, name, place
+
+
+def bucketed(df: DataFrame, by: str, buckets: int, purpose: str) -> tuple[DataFrame, str, str]:
+    """Write ``df`` by a key, so that others meet it without a shuffle of it; the frame that reads it, the table's name and path."""
+    spark = df.sparkSession
+    path, name = work_path(spark, f"llm-{purpose}"), f"kn_{purpose}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    return spark.table(name), name, path
 
 
 def _few_of(answers: DataFrame) -> list[int]:
@@ -792,7 +874,7 @@ def perplexities(rows: DataFrame, most: int | None = None) -> DataFrame:
     # Written by block, so that what a block is told meets it without another shuffle of the blocks.
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     path, name = work_path(spark, "llm-coded"), f"kn_coded_{uuid.uuid4().hex}"
-    paths, aside = [path], []
+    paths = [path]
     for half in range(HALVES):
         coded = rows.where(F.pmod("row", F.lit(HALVES)) == half).mapInArrow(_coding(half), CODED)
         coded.write.mode("append").partitionBy("learn").bucketBy(1 + size // (4 * BLOCK), "block").option(
@@ -808,16 +890,15 @@ def perplexities(rows: DataFrame, most: int | None = None) -> DataFrame:
     def kept(df: DataFrame, purpose: str) -> DataFrame:
         df, place = saved(df, purpose)
         paths.append(place)
-        if purpose in ("lexicon", "totals"):
-            aside.append(place)
         sweep(spark)
         return df
 
-    words = blocks.mapInArrow(_tell_words(shards), "shard long, learn boolean, words array<string>")
-    lexicon = kept(words.groupBy("shard").applyInArrow(_lexicon, LEXICON), "lexicon")
-    spellings, place = spelled(lexicon)
-    paths.append(place)
-    aside.append(place)
+    words = blocks.select("block", "learn", "words").mapInArrow(_tell_words(shards), "shard long, learn boolean, words binary")
+    lexicon, place = saved(words.groupBy("shard").applyInArrow(_lexicon, LEXICON), "lexicon")
+    sweep(spark)
+    spellings, spelt, path = spelled(lexicon, shards)
+    paths.append(path)
+    discard(spark, place)
 
     told = spark.createDataFrame([], f"{ANSWER}, round int")
 
@@ -841,20 +922,19 @@ def perplexities(rows: DataFrame, most: int | None = None) -> DataFrame:
     totals = kept(given.groupBy("shard").applyInArrow(_totals, f"{GIVEN}, few array<long>"), "totals")
     single = _few_of(totals)
     less = {3: discounts(few[3][:4]), 2: discounts(few[2][:4])}
-    given = totals.drop("few").unionByName(spellings)
-    for part in parts:
-        asked = given.where(F.col("shard").between(part[0], part[1] - 1)).unionByName(blocks.mapInArrow(_ask_words(shards, part), GIVEN))
-        prices = asked.groupBy("shard").applyInArrow(_prices(single, discounts(single[:4])), ANSWER)
-        told = told.unionByName(kept(prices.withColumn("round", F.lit(2)), "answers"))
-    for old in (paths.pop(paths.index(p)) for p in list(aside)):
-        discard(spark, old)
-    sums = None
-    for part in range(waves):
-        mine = [df.where(F.pmod(F.xxhash64(c), F.lit(waves)) == part).groupBy(c) for df, c in ((blocks, "block"), (told, "who"))]
-        scored = kept(mine[0].cogroup(mine[1]).applyInArrow(_scored(less[3], less[2]), "row long, logs double, size long"), "scored")
+    # Some blocks after the others ask for their words and are scored at once, so that these answers are never written whole.
+    sums, pieces = None, most or PARTS
+    for part in range(pieces):
+        some, theirs = (df.where(F.pmod(F.xxhash64(c), F.lit(pieces)) == part) for df, c in ((blocks, "block"), (told, "who")))
+        asked = totals.drop("few").unionByName(some.select("block", "learn", "words").mapInArrow(_ask_words(shards), GIVEN))
+        prices = spellings.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_prices(single, discounts(single[:4])), ANSWER)
+        theirs = theirs.unionByName(prices.withColumn("round", F.lit(2)))
+        run = _scored(less[3], less[2])
+        scored = kept(some.groupBy("block").cogroup(theirs.groupBy("who")).applyInArrow(run, "row long, logs double, size long"), "scored")
         sums = scored if sums is None else sums.unionByName(scored)
     found, _ = saved(sums.groupBy("row").agg((-F.sum("logs") / F.sum("size")).alias("_kn_log")), "sums")
-    spark.sql(f"drop table {name}")
+    for old in (name, spelt):
+        spark.sql(f"drop table {old}")
     for old in paths:
         discard(spark, old)
     sweep(spark)

@@ -369,3 +369,35 @@ def test_ids_of_words_are_those_of_texts():
     words = pa.array(["?", *(line[a:a + n] for a, n in zip(first.tolist(), size.tolist()))], pa.string()).slice(1)
     again, length = kneser_ney._hashes(words, kneser_ney._tables())
     assert again.tolist() == ids.tolist() and length.tolist() == size.tolist()
+
+
+def test_words_and_rows_of_counts_come_back_from_their_packed_form():
+    words = pa.array(["the", "\n", "\u6f22", "\U0001f600" * 32, "x", "y"], pa.string())
+    for some in (words, words.slice(1, 4), words.slice(0, 0)):
+        assert kneser_ney._unpack_words(kneser_ney._pack_words(some)).to_pylist() == some.to_pylist()
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 4000):
+        for columns in (1, 2, 5, 6):
+            rows = (rng.integers(0, 300, (columns, n)) // rng.integers(1, 300, (1, n))).astype(np.uint32)
+            rows[:, :1] = 0xFFFFFFFF
+            packed = kneser_ney._pack_rows(rows)
+            again = kneser_ney._unpack_rows(packed, columns)
+            assert again.dtype == np.uint32 and (again == rows).all()
+    assert len(kneser_ney._pack_rows(np.ones((6, 1 << 16), np.uint32))) < 200
+
+
+def test_answers_on_words_are_not_written_for_all_blocks_at_once(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("SHARD", 256), ("WAVES", 1)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    written, saved = [], kneser_ney.saved
+
+    def recorded(df, purpose):
+        out = saved(df, purpose)
+        written.append((purpose, {r["round"] for r in out[0].select("round").distinct().collect()} if purpose == "answers" else None))
+        return out
+
+    monkeypatch.setattr(kneser_ney, "saved", recorded)
+    rows = spark.createDataFrame([(i, i % 2 == 0, f"one {i % 7} of {i % 5} and more") for i in range(60)], "row long, learn boolean, text string")
+    assert kneser_ney.perplexities(rows).count() == 60
+    assert [rounds for purpose, rounds in written if purpose == "answers"] == [{0}, {1}]
+    assert sum(purpose == "scored" for purpose, _ in written) == kneser_ney.PARTS > 1
