@@ -62,7 +62,7 @@ WORDS, LETTERS, POINTS = 3, 5, 0x110001
 FINE = 500
 RUN = 1 << 22
 # Words of a block, n-grams of a shard at least, waves of triples and pairs, parts in which texts meet their labels.
-BLOCK, SHARD, WAVES, HALVES = 1 << 20, 1 << 19, 4, 2
+BLOCK, SHARD, WAVES, HALVES = 1 << 20, 1 << 20, 6, 2
 # Parts of the blocks that are told of their words and scored one after the other.
 PARTS = 8
 
