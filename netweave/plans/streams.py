@@ -9,7 +9,7 @@ from netweave.operators import flows, training
 from netweave.plans import flowing
 from netweave.plans.detection import COLUMNS, KEPT, WINDOW, passed_rows
 from netweave.plans.flowing import GAP
-from netweave.plans.learning import FIT_ROWS, TREES
+from netweave.plans.learning import TREES
 from netweave.plans.registry import query
 from netweave.session import pinned, work_path
 from netweave.sources import views
@@ -138,7 +138,7 @@ def stream_detect(spark, folder):
     labelled = known.withColumn("label_id", F.when(F.col("protocol") == "UDP", 1).when(
         F.col("dst_port") == 443, 2).when(F.col("` Flow Duration`") > 0, 3).otherwise(0))
     labelled = pinned(labelled, "labelled-flows")
-    model = training.train(labelled, list(flows.MODEL_FEATURES), rounds=TREES, part=None, fit_rows=FIT_ROWS)
+    model = training.train(labelled, list(flows.MODEL_FEATURES), rounds=TREES, part=None)
     stream, path = _replayed(spark, views.packets(spark, folder), "stream-detect")
     found = jobs.stream_detect(
         spark, stream, path, DAY_US, model, lambda: views.allow_list(spark, folder), GAP, 0.5, WINDOW)

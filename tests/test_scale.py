@@ -75,6 +75,41 @@ def test_the_search_reads_its_few_rows_and_not_the_table(spark, tmp_path, monkey
     assert seen and not any(whole in f for f in seen)
 
 
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_registered_fits_take_all_rows(spark, monkeypatch, kind):
+    from netweave.plans import learning
+
+    df = spark.range(25_000).selectExpr("id", "cast(id % 7919 as double) a", "cast(id % 3 as int) label_id", "if(id < 24000, 'train', 'test') part")
+    seen = []
+
+    def stop(rows, purpose):
+        seen.append((purpose, rows.count()))
+        raise InterruptedError
+
+    monkeypatch.setattr(learning, "trained_rows", lambda *a: df)
+    monkeypatch.setattr(learning, "remembered", lambda *a: a[-1]())
+    monkeypatch.setattr(learning, "FLOW_NUMERIC", ["a"])
+    monkeypatch.setattr(training, "written", stop)
+    with pytest.raises(InterruptedError):
+        learning.trained(spark, None, kind)
+    assert seen == [("fit-rows", 24_000)]
+
+
+def test_streamed_detection_learns_from_all_flows(spark, small, monkeypatch):
+    from netweave.plans import streams
+
+    told = {}
+
+    def stop(df, features, **named):
+        told.update(named, rows=df.count())
+        raise InterruptedError
+
+    monkeypatch.setattr(training, "train", stop)
+    with pytest.raises(InterruptedError):
+        streams.stream_detect(spark, small)
+    assert told["rows"] and told.get("fit_rows") is None
+
+
 def test_a_forest_is_asked_once_per_row(spark):
     df = spark.range(60).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 5 as double) b", "cast(id % 3 as int) label_id")
     model = training.train(df, ["a", "b"], rounds=2, depth=2, part=None)
