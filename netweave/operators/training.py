@@ -137,22 +137,24 @@ def train(df: DataFrame, features: list[str], kind: str = "forest", rounds: int
     held = F.col(part) == "validation" if part else F.lit(False)
     if kind == "boosted":
         known = with_weight(usable.where(F.col("label_id").isin(ids)), weights)
-        rows = pinned(boosting_rows(known, features, _numbered(ids), F.col("weight"), held), "fit-rows")
+        rows, files = written(boosting_rows(known, features, _numbered(ids), F.col("weight"), held), "fit-rows")
         fit = Fit(1, depth, rate, subsample, columns, BOOSTING["gamma"], BOOSTING["alpha"], BOOSTING["ridge"])
         booster = Booster(rows, features, [fit], len(ids), seed=seed)
         boost(booster, rounds, patience if part else None)
         booster.close()
+        discard(df.sparkSession, files)
         grown = booster.grown[0]
         return BoostedClassifier(features, booster.thresholds(0, grown.best()), ids, grown.losses)
     prepare = scaling_stage(features, fit_scaler(fitting, features))
     rows = with_weight(prepare.transform(usable), weights).select(
         "features", "weight", _numbered(ids).cast("double").alias("target"), held.alias("held"))
-    # Fitting reads its rows many times over; they are prepared once.
-    rows = pinned(rows, "fit-rows")
+    # Fitting reads its rows some times over; they are prepared once.
+    rows, files = written(rows.where(~F.col("held")).drop("held"), "fit-rows")
     model = RandomForestClassifier(
         featuresCol="features", labelCol="target", weightCol="weight", numTrees=rounds,
         maxDepth=depth, subsamplingRate=subsample, seed=seed,
-    ).fit(rows.where(~F.col("held")))
+    ).fit(rows)
+    discard(df.sparkSession, files)
     return Classifier(kind, features, prepare, [model], ids)
 
 

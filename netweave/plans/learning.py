@@ -273,9 +273,7 @@ def method_matrix(spark, folder):
 
 # --- classifiers -----------------------------------------------------------------
 
-#: Bound on the labelled rows of a fit; trees, rounds and depth are the declared ones.
-FIT_ROWS = 20_000
-#: The same for the grid search, whose 72 models are fitted over all rows.
+#: The labelled rows that the grid search takes: all of them.
 GRID_ROWS = None
 TREES = 100
 
@@ -289,13 +287,13 @@ def learnable(spark, folder):
 
 @query("rf_importance")
 def rf_importance(spark, folder):
-    found = training.forest_importance(learnable(spark, folder), FLOW_NUMERIC, TREES, fit_rows=FIT_ROWS)
+    found = training.forest_importance(learnable(spark, folder), FLOW_NUMERIC, TREES)
     return found.withColumn("importance", F.round("importance", 6))
 
 
 @query("gbt_importance")
 def gbt_importance(spark, folder):
-    found = training.boosted_importance(learnable(spark, folder), FLOW_NUMERIC, fit_rows=FIT_ROWS)
+    found = training.boosted_importance(learnable(spark, folder), FLOW_NUMERIC)
     return found.withColumn("importance", F.round("importance", 6))
 
 
@@ -310,7 +308,7 @@ def trained(spark, folder, kind="forest"):
     rows = trained_rows(spark, folder)
     rounds = TREES if kind == "forest" else BOOSTING["rounds"]
     return rows, remembered(
-        spark, folder, "lineitem", f"{kind}-model", lambda: training.train(rows, FLOW_NUMERIC, kind, rounds=rounds, fit_rows=FIT_ROWS))
+        spark, folder, "lineitem", f"{kind}-model", lambda: training.train(rows, FLOW_NUMERIC, kind, rounds=rounds))
 
 
 def tested(rows, model):
