@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -91,6 +92,12 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect what is finished, so that shuffle files no longer needed go at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _KNOWN: dict[tuple, object] = {}
 
 

@@ -2,6 +2,7 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from netweave.operators import balance, cascade, prep, training
 from netweave.streaming import suppress
@@ -59,6 +60,41 @@ def test_neighbours_travel_as_numbers(spark, monkeypatch):
     assert all(at[m][3] == k % 2 for k, n in near.items() for m in n)
 
 
+@pytest.mark.parametrize("parts", [2, 40])
+def test_only_wanted_rows_keep_their_closest(spark, monkeypatch, parts):
+    monkeypatch.setattr(balance, "STRETCH", 5)
+    plain = [(i % 50, None if i % 50 % 3 == 0 else f"c{i % 50 % 3}", float(i % 50 * 7 % 11), float(i % 50 * 5 % 13)) for i in range(60)]  # ten rows twice
+    df = spark.createDataFrame(plain, "id long, label string, x double, y double")
+    scaler = [(1.0, 2.0), (0.5, 3.0)]
+    rows, written, write = balance.numbered(df, ["x", "y"], ["id"], "label"), [], balance.pinned
+
+    def pinned(df, purpose):
+        out = write(df, purpose)
+        written.append(out)
+        return out
+
+    monkeypatch.setattr(balance, "pinned", pinned)
+    known = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["_id"]: r["_near"] for r in balance.closest(rows, scaler, "label", wanted=F.col("_id") % 2 == 0).collect()}
+    finally:
+        for c, v in known.items():
+            spark.conf.set(c, v)
+    assert sum(t.where("_part is null").count() for t in written) == balance.LINES * sum(r["_id"] % 2 == 0 for r in rows.collect())
+    points = [(r["label"] or "", r["_id"], r["_me"], (r["_f0"] - 1.0) / 2.0, (r["_f1"] - 0.5) / 3.0) for r in rows.collect()]
+    offers = {p[1]: set() for p in points if p[1] % 2 == 0}
+    for line in balance._lines(2, balance.SPLIT_SEED):
+        for label in {p[0] for p in points}:
+            order = sorted((p for p in points if p[0] == label), key=lambda p: (0.0 + p[3] * line[0] + p[4] * line[1], *p[1:3]))
+            for i, p in enumerate(order):
+                for q in order[max(0, i - 3):i] + order[i + 1:i + 4]:
+                    if p[1] in offers:
+                        offers[p[1]].add(((p[3] - q[3]) ** 2 + (p[4] - q[4]) ** 2, q[2]))
+    assert found == {k: [m for _, m in sorted(of)[:3]] for k, of in offers.items()}
+
+
 def test_the_search_reads_its_few_rows_and_not_the_table(spark, tmp_path, monkeypatch):
     whole = str(tmp_path / "whole")
     spark.range(300).selectExpr("id key", "cast(id % 7 as double) a", "cast(id % 3 as int) label_id").write.parquet(whole)
