@@ -19,7 +19,8 @@ be there, the next, so that documents of comparable size meet under one scheme.
 Equal sets are one entry. Within a section, entries are first paired with one of them only.
 Of these pairs each entry's best is verified, then those that are still in different
 components; then each entry tries its best partner of another component, and at last all
-pairs that are still in different components are compared as well. So no link between
+pairs that are still in different components are compared as well: those that were found with
+the best ones, and anew those of sections with too many of them to be told. So no link between
 components is lost, and groups of copies don't expand into all pairs.
 
 Words are runs without ASCII white space, with A-Z in lower case. Sets hold 64-bit hashes.
@@ -50,6 +51,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GROUPS = 512
 LEAF = 64
 BLOCK = 1024
+#: Entries of a section up to which it is compared together with others, pairs compared in one go, and pairs per entry
+#: up to which a section tells all of them at once.
+FEW, PAIRS, TOLD = 64, 4096, 4
 BUFFER = 1_500_000
 REMEMBERED = 500_000
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -67,16 +71,27 @@ def _odd(which: int, times: int) -> np.uint64:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return found
 
 
 class Shingles:
     """Sorted distinct 64-bit shingle hashes of a text given as UTF-8."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
+        self.size, self.known = size, _Hashes()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.translate(FOLD).split() if text else []
@@ -85,14 +100,16 @@ class Shingles:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little", signed=True)
         h = np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
         k = min(self.size, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
         for j in range(k):
             out = _mix(out + h[j:len(h) - k + 1 + j]) * ODD[j % len(ODD)]
-        return np.unique(_mix(out))
+        out = _mix(out)
+        out.sort()
+        new = np.ones(len(out), bool)
+        np.not_equal(out[1:], out[:-1], out=new[1:])
+        return out[new]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -113,6 +130,15 @@ def points(cells: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(c, kinds[len(c)]) for c in cells])
 
 
+def _cells(column: pa.Array) -> np.ndarray:
+    """``points`` of a column, without a look at every row where all counts are of one byte."""
+    if pa.types.is_binary(column.type) and not column.null_count:
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+        if (np.diff(at) == GROUPS).all():
+            return np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(-1, GROUPS)
+    return points(column.to_pylist())
+
+
 class Sections:
     """Keys of a set's sections under the scheme of its size level and of the next."""
 
@@ -308,16 +334,27 @@ def _sets(size: int):
     return run
 
 
+def _best(group: np.ndarray, p: np.ndarray, q: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which pairs are the best of their group for an entry: the greatest share, then the smallest other entry."""
+    of, own, other, many = np.r_[group, group], np.r_[p, q], np.r_[q, p], np.r_[share, share]
+    order = np.lexsort((other, -many, own, of))
+    first = np.r_[True, (own[order][1:] != own[order][:-1]) | (of[order][1:] != of[order][:-1])]
+    best = np.zeros(len(p), bool)
+    best[order[first] % len(p)] = True
+    return best
+
+
 def _across(num: int, den: int, best: bool):
     """Pairs of different components within a section, by boxes and then by points.
 
-    With ``best``, of each entry's pairs only that of the greatest bound.
+    With ``best``, each entry's pair of the greatest bound, and the other pairs as ``rest``; of a section with more than
+    ``TOLD`` pairs per entry the ``key`` instead of these.
 
     Rows come sorted by (key, part); ``side`` tells which of two blocks an entry is in, 0
-    and 0 being one block met with itself.
+    and 0 being one block met with itself. Sections of few entries are compared together.
     """
-    def pairs(a, n, c, comp, left, right):
-        out_a, out_b, out_m = [], [], []
+    def boxed(a, n, c, comp, left, right):
+        found = [[np.empty(0, np.int64)] for _ in range(3)]
         leaves = [[idx[i:i + LEAF] for i in range(0, len(idx), LEAF)] for idx in (left, right)]
         boxes = [[(c[x].max(0), n[x].min(), n[x].max(), comp[x].min(), comp[x].max()) for x in side] for side in leaves]
         same = left is right
@@ -334,45 +371,82 @@ def _across(num: int, den: int, best: bool):
                 if same and i == j:
                     ok &= np.triu(np.ones(ok.shape, bool), 1)
                 p, q = np.nonzero(ok)
-                out_a.append(a[x[p]])
-                out_b.append(a[y[q]])
-                out_m.append(most[p, q] / (n[x[p]] + n[y[q]]))
-        none = np.empty(0, np.int64)
-        p, q = np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+                for to, v in zip(found, (a[x[p]], a[y[q]], most[p, q] / (n[x[p]] + n[y[q]]))):
+                    to.append(v)
+        return [np.concatenate(v) for v in found]
+
+    def told(key, size, group, p, q, share):
+        """Pairs and keys of groups (key and number of entries of each)."""
+        kind = np.zeros(len(p), bool)
+        open_keys = np.empty(0, np.int64)
         if best and len(p):
-            many, own, other = np.concatenate(out_m), np.r_[p, q], np.r_[q, p]
-            order = np.lexsort((other, -np.r_[many, many], own))
-            own, other = own[order], other[order]
-            first = np.r_[True, own[1:] != own[:-1]]
-            p, q = own[first], other[first]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
-
-    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
+            kind = ~_best(group, p, q, share)
+            much = np.bincount(group, minlength=len(key)) > TOLD * size
+            open_keys = key[much]
+            keep = ~(kind & much[group])
+            p, q, kind = p[keep], q[keep], kind[keep]
+        none = len(open_keys)
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.nulls(none, pa.int64())]),
+            pa.concat_arrays([pa.array(np.maximum(p, q), pa.int64()), pa.nulls(none, pa.int64())]),
+            pa.concat_arrays([pa.array(kind), pa.nulls(none, pa.bool_())]),
+            pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(open_keys, pa.int64())])], ["a", "b", "rest", "key"])
+
+    def whole(t: pa.RecordBatch) -> pa.RecordBatch:
         a, n, comp, side = (t.column(x).to_numpy() for x in ("sid", "n", "comp", "side"))
-        c = points(t.column("cells").to_pylist())
+        c = _cells(t.column("cells"))
         n = n.astype(np.int64)
         order = np.lexsort((c[:, 0], n, comp))  # leaves of one component meet no leaf of their own
         a, n, comp, side, c = a[order], n[order], comp[order], side[order], c[order]
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
-        return pairs(a, n, c, comp, left, right if len(right) else left)
+        p, q, share = boxed(a, n, c, comp, left, right if len(right) else left)
+        return told(t.column("key").to_numpy()[:1], np.array([len(a)]), np.zeros(len(p), np.int64), p, q, share)
+
+    def together(t: pa.RecordBatch, starts: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Groups of few entries, from ``starts``: all their pairs side by side."""
+        a, n, comp, side = (t.column(x).to_numpy() for x in ("sid", "n", "comp", "side"))
+        c, n = _cells(t.column("cells")), n.astype(np.int64)
+        group, one, other = ([np.empty(0, np.int64)] for _ in range(3))
+        for m in np.unique(size):
+            mine = np.flatnonzero(size == m)
+            i, j = np.triu_indices(m, 1)
+            group.append(np.repeat(mine, len(i)))
+            one.append((starts[mine][:, None] + i).ravel())
+            other.append((starts[mine][:, None] + j).ravel())
+        group, one, other = (np.concatenate(v) for v in (group, one, other))
+        later = np.r_[0, np.cumsum(side == 1)]
+        two = later[starts + size] > later[starts]
+        some = (comp[one] != comp[other]) & ((side[one] != side[other]) | ~two[group])
+        some &= np.minimum(n[one], n[other]) * den >= np.maximum(n[one], n[other]) * num
+        group, one, other = group[some], one[some], other[some]
+        most = [np.minimum(c[one[low:low + PAIRS]], c[other[low:low + PAIRS]]).sum(1, dtype=np.int64) for low in range(0, len(one), PAIRS)]
+        most = np.concatenate([np.empty(0, np.int64), *most])
+        ok = den * most >= num * (n[one] + n[other] - most)
+        group, one, other, share = group[ok], one[ok], other[ok], most[ok] / (n[one[ok]] + n[other[ok]])
+        yield told(t.column("key").to_numpy()[starts], size, group, a[one], a[other], share)
+
+    def groups(t: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, size = cuts[:-1], np.diff(cuts)
+        few = (size <= FEW) & (size > 1)
+        if few.any():
+            yield from together(t, starts[few], size[few])
+        for low, m in zip(starts[size > FEW], size[size > FEW]):
+            yield whole(t.slice(low, m))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held = None
         for batch in batches:
-            k, p = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1
-            for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(k)]):
-                if high == low:
-                    continue
-                if held and (k[low], p[low]) != now:
-                    yield whole(held)
-                    held = []
-                now = (k[low], p[low])
-                held.append(batch.slice(low, high - low))
-        if held:
-            yield whole(held)
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not t.num_rows:
+                continue
+            t = t.to_batches()[0]
+            k, p = t.column(0).to_numpy(), t.column(1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1]
+            yield from groups(t, cuts)
+            held = t.slice(cuts[-1])
+        if held is not None:
+            yield from groups(held, np.array([0, held.num_rows]))
 
     return run
 
@@ -437,16 +511,18 @@ class JaccardJoin:
         full = pairs.join(a, "a", "left").join(b, "b", "left")
         return full.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def across(self, comps: DataFrame, best: bool = False) -> DataFrame:
-        """Candidate pairs of different components within a section.
+    def across(self, comps: DataFrame, best: bool = False, keys: DataFrame | None = None) -> DataFrame:
+        """Candidate pairs of different components within a section, or within those of ``keys``: a, b, rest, key (see ``_across``).
 
         Members of sections that hold one component only drop out before anything is
         gathered. Larger sections are split into blocks that meet pair by pair.
         """
-        both = self.star.select("key", F.col("a").alias("sid")).unionByName(self.star.select("key", F.col("b").alias("sid")))
+        star = self.star if keys is None else self.star.join(keys, "key", "left_semi")
+        both = star.select("key", F.col("a").alias("sid")).unionByName(star.select("key", F.col("b").alias("sid")))
         of = both.distinct().join(comps, F.col("sid") == F.col("node"), "left").select(
             "key", "sid", F.coalesce("comp", "sid").alias("comp"))
         of = self._saved(of, "members")
+        sweep(self.spark)
         mixed = of.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
         mixed = mixed.where("low <> high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
@@ -457,7 +533,7 @@ class JaccardJoin:
         rows = rows.select("key", part.cast("long").alias("part"), "sid", "comp", side.cast("int").alias("side"))
         rows = rows.join(self.heads.select("sid", "n", "cells"), "sid").select("key", "part", "sid", "comp", "side", "n", "cells")
         dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-        return dealt.mapInArrow(_across(self.num, self.den, best), "a long, b long").distinct()
+        return dealt.mapInArrow(_across(self.num, self.den, best), "a long, b long, rest boolean, key long").distinct()
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
@@ -467,9 +543,20 @@ class JaccardJoin:
         tried = self._saved(best, "tried")
         links = self.verified(tried)
         rest = first.select("a", "b").join(tried, ["a", "b"], "left_anti")
-        steps = [lambda: self.apart(rest, links), lambda: self.across(components(links), True), lambda: self.across(components(links))]
-        for step in steps:
+        within: list[DataFrame] = []
+
+        def best_across() -> DataFrame:
+            within.append(self._saved(self.across(components(links), True), "within"))
+            return within[0].where("not rest").select("a", "b").distinct()
+
+        def all_across() -> DataFrame:
+            pairs = self.apart(within[0].where("rest").select("a", "b").distinct(), links)
+            keys = within[0].where("key is not null").select("key")
+            return pairs if keys.isEmpty() else pairs.unionByName(self.across(components(links), keys=keys).select("a", "b")).distinct()
+
+        for step in (lambda: self.apart(rest, links), best_across, all_across):
             found = self._saved(step(), "candidates")
+            sweep(self.spark)
             new = self._saved(found.join(tried, ["a", "b"], "left_anti"), "tried")
             links = links.unionByName(self.verified(new))
             tried = tried.unionByName(new)

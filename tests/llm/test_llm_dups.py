@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import empty_documents, odd_documents
 
@@ -115,6 +116,62 @@ def test_jaccard_matches_brute_force(spark, size, num, monkeypatch):
     assert got == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+@pytest.mark.parametrize("few,told", [(64, 4), (1, 4), (3, 0), (64, 10**6)])
+def test_sections_give_all_pairs_whichever_way(monkeypatch, few, told):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "TOLD", told)
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    monkeypatch.setattr(ngram_join, "PAIRS", 50)
+    rng, num, den = np.random.default_rng(few + told), 80, 100
+    rows, expected, best, opened, sid = [], set(), set(), set(), 0
+    for key in range(60):
+        size, two, base = int(rng.integers(1, 20)), bool(key % 3 == 0), rng.integers(0, 3, ngram_join.GROUPS)
+        group = []
+        for _ in range(size):
+            counts = base + rng.integers(0, 2, ngram_join.GROUPS) * (rng.random() < 0.6) * (300 if key == 7 else 1)
+            kind = "u1" if counts.max() < 256 else "<u2"
+            group.append((key - 30, key % 5, sid, int(rng.integers(0, 4)), int(rng.integers(0, 2)) if two else 0, int(counts.sum()), counts.astype(kind).tobytes(), counts))
+            sid += 1
+        rows += group
+        if two and all(r[4] for r in group):
+            continue  # one block of two is empty
+        found = {}
+        for x, y in combinations(group, 2):
+            most = int(np.minimum(x[7], y[7]).sum())
+            if x[3] != y[3] and (x[4] != y[4] or not any(r[4] for r in group)) and den * most >= num * (x[5] + y[5] - most):
+                found[x[2], y[2]] = most / (x[5] + y[5])
+        expected |= set(found)
+        for r in group:
+            mine = [(-share, *(q for q in pair if q != r[2])) for pair, share in found.items() if r[2] in pair]
+            if mine:
+                best.add(tuple(sorted((r[2], min(mine)[1]))))
+        if len(found) > told * size:
+            opened.add(key - 30)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "part", "sid", "comp", "side", "n", "cells"])
+    batches = [whole.slice(low, 17) for low in range(0, len(rows), 17)]
+
+    def run(of_best):
+        return [r for b in ngram_join._across(num, den, of_best)(iter(batches)) for r in b.to_pylist()]
+
+    assert len(expected) > 200 and {(r["a"], r["b"]) for r in run(False)} == expected
+    out = run(True)
+    assert {(r["a"], r["b"]) for r in out if r["rest"] is False} == best and {r["key"] for r in out} - {None} == opened
+    left = {(r["a"], r["b"]) for r in out if r["rest"]}
+    gone = {(x[2], y[2]) for x, y in combinations(rows, 2) if x[0] == y[0] and x[0] in opened}
+    assert left == expected - best - gone
+
+
+def test_jaccard_with_all_pairs_of_a_section_anew(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.04 else f"n{rng.randrange(5)}" for w in base) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    whole = {tuple(r) for r in ngram_join.jaccard_classes(frame, 3, 70, 100).collect()}
+    monkeypatch.setattr(ngram_join, "TOLD", 0)
+    assert {tuple(r) for r in ngram_join.jaccard_classes(frame, 3, 70, 100).collect()} == whole
+
+
 def test_jaccard_of_odd_documents(spark):
     out = ngram_join.jaccard_classes(odd_documents(spark)).collect()
     assert len(out) == 10 and all(r.component_id == r.doc_id for r in out)
